@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from coppice.llm import sharding, simhash, warc
+from coppice.llm import avi, decontamination, line_dedup, packing, pii, sharding, simhash, warc
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op6_warc_normaliser": warc.op6_warc_normaliser,
+    "op7_decontamination": decontamination.op7_decontamination,
+    "op8_pii_deobfuscation": pii.op8_pii_deobfuscation,
     "op9_virtual_slots": sharding.op9_virtual_slots,
+    "op10_avi_motion_jpeg": avi.op10_avi_motion_jpeg,
+}
+ORACLES = {
+    "op3_line_dedup": line_dedup.OP3_SQL,
+    "op6_warc_normaliser": warc.OP6_SQL,
+    "op7_decontamination": decontamination.OP7_SQL,
 }
-ORACLES = {"op6_warc_normaliser": warc.OP6_SQL}
