@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from coppice.llm import avi, decontamination, line_dedup, packing, pii, sharding, simhash, warc
+from coppice.llm import avi, decontamination, line_dedup, packing, pii, sharding, simhash, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
