@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from coppice.llm import avi, decontamination, line_dedup, packing, pii, sharding, simhash, toxicity, warc
+from coppice.llm import avi, decontamination, line_dedup, packing, pii, sharding, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup,
     "op6_warc_normaliser": warc.op6_warc_normaliser,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_pii_deobfuscation": pii.op8_pii_deobfuscation,
