@@ -100,13 +100,26 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda acc: acc["n"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash, word counts, hit words, hit items and verdict of every document."""
+def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """doc key, span and item of every occurrence of a window."""
     wins = materialize(windows(benchmark, width), "windows")
     small = bounded(wins)
     prefix = materialize(prefixes(docs, wins, small), "prefixes")
     found = matches(docs, prefix, small, width).join(F.broadcast(wins) if small else wins, "window")
-    found = found.select(*KEY, F.struct("start", "len").alias("span"), F.col("item_id").cast("string").alias("item"))
+    return found.select(*KEY, F.struct("start", "len").alias("span"), F.col("item_id").cast("string").alias("item"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """The rows, with all their columns, in which no window occurs."""
+    hit = materialize(hits(docs, benchmark, width).select(*(F.col(k).alias(f"hit_{k}") for k in KEY)).distinct(), "contaminated")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("hit_doc_id")) & (F.col("hash") == F.col("hit_text_hash"))
+    return keyed.join(F.broadcast(hit) if bounded(hit, 10 * BROADCAST_ROWS) else hit, same, "left_anti").select("row.*")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """doc_id, text_hash, word counts, hit words, hit items and verdict of every document."""
+    found = hits(docs, benchmark, width)
     per_doc = found.groupBy(*(F.col(k).alias(f"hit_{k}") for k in KEY)).agg(
         F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items")
     )

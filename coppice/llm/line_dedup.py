@@ -75,28 +75,39 @@ def repeated(docs: DataFrame) -> DataFrame:
     return again.groupBy("doc_id", "text_hash").agg(F.collect_set("k").alias("gone"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """Every row with its text less the repeated chunks, and n_chunks, n_removed."""
+def _joined(docs: DataFrame) -> DataFrame:
+    """Each row, its chunks and the places of those to remove."""
     gone = repeated(docs).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "gone")
-    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(gone["gone_id"]) & (keyed["text_hash"] == gone["gone_hash"])
-    parts = chunks(F.col("text"))
-    kept = F.array_join(
-        F.filter(parts, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"
-    )
-    joined = keyed.join(gone, same, "left")
-    return joined.select(
-        *[c for c in docs.columns if c != "text"],
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
-        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_chunks"),
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    return keyed.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")), "left")
+
+
+def _kept(text: Column) -> Column:
+    left = F.filter(chunks(text), lambda x, i: ~F.array_contains(F.col("gone"), i))
+    return F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """Every row with its text less the repeated chunks; n_chars, if there, is that of the new text."""
+    new = {"text": _kept(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length(new["text"]).cast(docs.schema["n_chars"].dataType))
+    return _joined(docs).select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """doc_id, the kept text, n_chunks and n_removed of every row."""
+    return _joined(docs).select(
+        F.col("id").alias("doc_id"), _kept(F.col("row.text")).alias("kept"),
+        F.coalesce(F.size(chunks(F.col("row.text"))), F.lit(0)).cast("long").alias("n_chunks"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+    )
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kept text of every document, by its size and digest."""
-    rows = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    kept = F.coalesce("text", F.lit("")).cast("binary")
+    rows = counted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("kept", F.lit("")).cast("binary")
     return rows.select("doc_id", "n_chunks", "n_removed", F.octet_length(kept).cast("long").alias("kept_bytes"), F.sha2(kept, 256).alias("kept_sha256"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from coppice.llm import avi, decontamination, line_dedup, packing, pii, sharding, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_line_dedup": line_dedup.op3_line_dedup,

@@ -63,16 +63,18 @@ def fingerprint(data: bytes, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp BIGINT) of every document."""
+    """(doc_id, text_hash, fp BIGINT) of every document."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(x or b"", width) for x in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(x or b"", width) for x in batch.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"]
+            )
 
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("data"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("data"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(compute, f"doc_id {kind}, fp bigint")
+    return rows.mapInArrow(compute, f"doc_id {kind}, text_hash bigint, fp bigint")
 
 
 def gray_rank(fp):
@@ -215,14 +217,18 @@ def near_edges(fps: DataFrame) -> DataFrame:
         masks = [c for m in masks for c in children(m)]
 
 
+def components(each: DataFrame) -> DataFrame:
+    """fp -> root, a fingerprint that stands for its component."""
+    fps = materialize(each.select("fp").distinct(), "distinct-fingerprints")
+    roots = connected_components(near_edges(fps))
+    return fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document."""
     each = materialize(fingerprints(docs, width), "fingerprints")
-    fps = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    roots = connected_components(near_edges(fps.select("fp")))
-    joined = fps.join(roots, fps["fp"] == roots["node"], "left").select(
-        "fp", "least_id", F.coalesce("component", "fp").alias("root")
-    )
+    least_ids = each.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    joined = materialize(least_ids.join(components(each), "fp"), "rooted")
     least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
     labelled = joined.join(least, "root").select("fp", "component_id")
     return each.join(labelled, "fp").select(
@@ -230,5 +236,19 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
+    """One row of every component, that of the smallest doc_id (null first), then text hash; all columns."""
+    each = materialize(fingerprints(docs, width), "fingerprints")
+    rows = each.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("n")).join(components(each), "fp")
+    first = F.min(F.struct("doc_id", "text_hash", "n")).alias("first")
+    kept = materialize(rows.groupBy("root").agg(first).select("first.*"), "kept-documents")
+    kept = kept.withColumnsRenamed({"doc_id": "kept_id", "text_hash": "kept_hash"})
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    joined = keyed.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")))
+    if not kept.where("n > 1").isEmpty():
+        joined = joined.where("n = 1").union(joined.where("n > 1").dropDuplicates(["id", "hash"]))
+    return joined.select("row.*")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

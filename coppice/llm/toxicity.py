@@ -278,19 +278,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Langu
     return model, intercept, {f: float(weight[k]) for f, k in number.items() if weight[k] > 0}
 
 
-def score(docs: DataFrame, model: LanguageModel, intercept: float, weight: dict[str, float]) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, list(weight), list(weight.values())))
+def scorer(spark: SparkSession, model: LanguageModel, intercept: float, weight: dict[str, float]):
+    """A function to be called once in a task, which makes one of texts to scores."""
+    shared = spark.sparkContext.broadcast((model, list(weight), list(weight.values())))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         model, names, values = shared.value
         memo: dict[str, tuple[str, ...]] = {}
         known = _Known({f: k for k, f in enumerate(names)})
+
+        def scores(texts: list[str | None]) -> list[float]:
+            logits = (intercept + sum(values[k] for k in known.of(words_of(t or "", memo, model))) for t in texts)
+            return [1 / (1 + math.exp(-min(x, 30.0))) for x in logits]
+
+        return scores
+
+    return start
+
+
+def score(docs: DataFrame, model: LanguageModel, intercept: float, weight: dict[str, float]) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
+    start = scorer(docs.sparkSession, model, intercept, weight)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = start()
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                logit = intercept + sum(values[k] for k in known.of(words_of(text or "", memo, model)))
-                out.append(1 / (1 + math.exp(-min(logit, 30.0))))
+            out = scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -300,6 +313,18 @@ def score(docs: DataFrame, model: LanguageModel, intercept: float, weight: dict[
     )
 
 
+def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, with all their columns, that score below a half."""
+    start, text = scorer(docs.sparkSession, *fit(docs, labels)), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = start()
+        for batch in batches:
+            yield batch.filter(pa.array([x < 0.5 for x in scores(batch.column(text).to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 class _Known(dict):
     """word -> numbers of its known features, remembered for a bounded number of words."""
 
