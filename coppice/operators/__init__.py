@@ -1 +1 @@
-
+"""Operators: tables in, a DataFrame out."""
