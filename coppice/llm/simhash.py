@@ -213,8 +213,8 @@ def near_edges(fps: DataFrame) -> DataFrame:
         split = F.create_map(
             *[x for m in masks for x in (F.lit(signed(m)), F.array(*[F.lit(signed(c)) for c in children(m)]))]
         )
-        level = nodes(again.select("fp", F.explode(split[F.col("mask")]).alias("mask")))
-        masks = [c for m in masks for c in children(m)]
+        level = nodes(again.select("fp", F.explode(split[F.col("mask")]).alias("mask"))).distinct()
+        masks = list(dict.fromkeys(c for m in masks for c in children(m)))
 
 
 def components(each: DataFrame) -> DataFrame:
