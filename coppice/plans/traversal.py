@@ -31,7 +31,7 @@ def reach(
     shortest chains, as an array of nodes. A node is expanded once a source, so cycles
     end. Null ends never match; seeds without edges are returned at depth 0.
     """
-    steps = edges.select("src", "dst").distinct()
+    steps = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
     chain = {"chain": F.array("node")} if chains else {}
     frontier = materialize(seeds.select("source", "node").distinct().select("*", F.lit(0).alias("depth"), *(c.alias(k) for k, c in chain.items())), "frontier")
     reached = [frontier]

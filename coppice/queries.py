@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coppice.functions import paths
 from coppice.operators import bridges, coverage, diff, graph, metrics, search, symbols
 from coppice.plans.storage import materialize, table
+from coppice.sources import extract
 from coppice.sources import projection as p
+from coppice.streaming import patch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -467,3 +470,60 @@ query("style_map", _PAGES + _inventory_sql("pg", search.STYLES))(lambda t: searc
 query("markup_lints", _PAGES + _inventory_sql("pg", search.LINTS))(lambda t: search.inventory(_pages(t), search.LINTS))
 query("page_links", one("""SELECT target, count(*) AS pages FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS target FROM pages) GROUP BY target"""))(
     lambda t: search.links(t.raw("pages")))
+
+# Paths, sources and streams -------------------------------------------------------------
+
+
+def _crawled(t: Tables) -> DataFrame:
+    """Page addresses as paths: what follows the host, with the page number as a name."""
+    path = F.concat(F.regexp_replace(F.regexp_extract("url", "^https?://[^/]+/([^?#]*)", 1), "/$", ""), F.lit("/page_"), F.col("page_id").cast("string"), F.lit(".html"))
+    return t.raw("pages").select(path.alias("path"), F.col("html").alias("content"))
+
+
+_CRAWLED = r"""pg AS (SELECT regexp_replace(regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1), '/$', '') || '/page_' || page_id || '.html' AS path, html AS content FROM pages),
+"""
+query("module_keys", one(f"SELECT path, {_KEY.format('path')} AS module FROM files WHERE language <> 'go' UNION ALL SELECT path, path || ':' FROM files WHERE language = 'go'"))(
+    lambda t: t.files.select("path", paths.module_key(F.col("path")).alias("module")))
+query("file_classes", """
+k AS (SELECT CASE WHEN path LIKE '%/tests/%' THEN true ELSE false END AS test, CASE WHEN language IN ('ts', 'tsx', 'py', 'rs', 'go') THEN 'code' ELSE 'style' END AS kind, loc FROM files )
+SELECT test, kind, 'product' AS artifact, count(*) AS files, sum(loc)::BIGINT AS loc FROM k GROUP BY ALL""")(
+    lambda t: t.files.groupBy(paths.is_test_path(F.col("path")).alias("test"), paths.file_kind(F.col("path")).alias("kind"), paths.artifact_class(F.col("path")).alias("artifact")).agg(F.count("*").alias("files"), F.sum("loc").alias("loc")))
+query("path_suffix_matches", """
+s AS (SELECT path, regexp_extract(path, '[^/]*$') AS tail FROM files UNION SELECT path, 'tests/' || regexp_extract(path, '[^/]*$') FROM files WHERE is_test UNION SELECT path, path FROM files )
+SELECT tail, count(*) AS files, min(path) AS first FROM s GROUP BY tail""")(
+    lambda t: t.files.select("path", F.explode(paths.suffixes(F.col("path"))).alias("tail")).groupBy("tail").agg(F.count("*").alias("files"), F.min("path").alias("first")))
+query("extracted_page_links", _CRAWLED + """
+ln AS (SELECT path, unnest(string_split(content, chr(10))) AS text FROM pg WHERE content IS NOT NULL),
+l AS (SELECT path, regexp_extract(text, '<a\\s[^>]*href=[''"]([^''"#]+)[''"]', 1) AS name FROM ln WHERE regexp_matches(text, '<a\\s[^>]*href=[''"]([^''"#]+)[''"]'))
+SELECT name, count(*) AS n, count(DISTINCT path) AS files FROM l GROUP BY name""")(
+    lambda t: extract.extract(_crawled(t)).where("kind = 'link'").groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("path").alias("files")))
+query("page_file_table", _CRAWLED + """
+k AS (SELECT *, split_part(path, '/', 1) AS top FROM pg)
+SELECT top, count(*) AS files, sum(len(string_split(content, chr(10))))::BIGINT AS loc, count(DISTINCT sha256(content)) AS contents FROM k GROUP BY top""")(
+    lambda t: extract.file_table(_crawled(t)).groupBy(F.substring_index("path", "/", 1).alias("top")).agg(F.count("*").alias("files"), F.sum("loc").alias("loc"), F.count_distinct("fingerprint").alias("contents")))
+query("stream_newest_states", one("SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max_by(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id"))(
+    lambda t: patch.replay(t.spark, t.sf_dir, "events", "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type"))
+query("debounced_changes", """
+e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM e)
+SELECT 'unit_' || user_id AS path, min(ts) AS first_change, max(ts) + INTERVAL 30 MINUTE AS quiet_at, count(*) AS changes FROM g GROUP BY user_id, burst""")(
+    lambda t: patch.debounced(t.raw("events").select(F.concat(F.lit("unit_"), F.col("user_id").cast("string")).alias("path"), "ts")))
+query("json_paths", one("SELECT (props ->> '$.k')::BIGINT AS k, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE (props ->> '$.k')::BIGINT % 2 = 0 GROUP BY ALL"))(
+    lambda t: t.raw("events").select(F.get_json_object("props", "$.k").cast("long").alias("k"), "event_type", "value").where("k % 2 = 0").groupBy("k", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")))
+query("table_fingerprint")(lambda t: diff.fingerprint(t.edges))
+query("context_pack", _INCOMING + """,
+h AS (SELECT path, row_number() OVER (ORDER BY importers_direct DESC, import_edges DESC, path) AS place FROM incoming WHERE importers_direct > 0),
+s AS (SELECT 'hub' AS slice, path AS item FROM h WHERE place <= 5 UNION ALL
+  SELECT DISTINCT 'needs', dst FROM edges WHERE src IN (SELECT path FROM h WHERE place <= 5) UNION ALL
+  SELECT DISTINCT 'used_by', src FROM edges WHERE dst IN (SELECT path FROM h WHERE place <= 5))
+SELECT slice, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM s GROUP BY slice""")(lambda t: _context_pack(t))
+
+
+def _context_pack(t: Tables) -> DataFrame:
+    edges = t.kept_edges()
+    hubs = metrics.top_hubs(t.files, edges, 5).select("path")
+    seed = hubs.select(F.col("path").alias("src"))
+    rows = hubs.select(F.lit("hub").alias("slice"), F.col("path").alias("item"))
+    rows = rows.union(edges.join(seed, "src", "left_semi").select(F.lit("needs"), "dst").distinct())
+    rows = rows.union(edges.join(seed.withColumnRenamed("src", "dst"), "dst", "left_semi").select(F.lit("used_by"), "src").distinct())
+    return rows.groupBy("slice").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"))
