@@ -44,7 +44,12 @@ def replay(spark: SparkSession, source: str, table_name: str, key: str, order: l
     """Streams a Parquet table through an Upsert to its end and returns the final state."""
     sink = Upsert(spark, key, order)
     path = f"{source}/{table_name}.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+    batch = spark.read.parquet(path)
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", files_a_batch)
+    if any(f.endswith(f"/{table_name}.parquet") for f in batch.inputFiles()):  # a table of one file: a stream reads folders
+        stream = stream.option("pathGlobFilter", f"{table_name}.parquet").parquet(source)
+    else:
+        stream = stream.parquet(path)
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start()
     query.awaitTermination()
     return sink.table()
