@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.functions import paths
-from coppice.operators import bridges, coverage, diff, graph, metrics, search, symbols
+from coppice.operators import bridges, coverage, diff, facts, graph, metrics, search, symbols
 from coppice.plans.storage import materialize, table
 from coppice.sources import extract
 from coppice.sources import projection as p
@@ -527,3 +527,77 @@ def _context_pack(t: Tables) -> DataFrame:
     rows = rows.union(edges.join(seed, "src", "left_semi").select(F.lit("needs"), "dst").distinct())
     rows = rows.union(edges.join(seed.withColumnRenamed("src", "dst"), "dst", "left_semi").select(F.lit("used_by"), "src").distinct())
     return rows.groupBy("slice").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"))
+
+# Bindings, cross-checks and tags ----------------------------------------------------------
+
+
+def _scoped_uses(t: Tables) -> DataFrame:
+    return t.imports.where("name <> '*'").select("path", F.substring_index("path", "/", 1).alias("dir"), "name").distinct()
+
+
+query("bound_symbols", """
+u AS (SELECT DISTINCT path, split_part(path, '/', 1) AS dir, name FROM imports WHERE name <> '*'),
+n AS (SELECT dir, name, min(path) AS target FROM exports GROUP BY ALL HAVING count(DISTINCT path) = 1), a AS (SELECT name, min(path) AS target FROM exports GROUP BY ALL HAVING count(DISTINCT path) = 1)
+SELECT u.path, u.name, coalesce(n.target, a.target) AS target, CASE WHEN n.target IS NOT NULL THEN 'directory' WHEN a.target IS NOT NULL THEN 'anywhere' ELSE 'unbound' END AS scope
+FROM u LEFT JOIN n ON n.dir = u.dir AND n.name = u.name LEFT JOIN a ON a.name = u.name""")(lambda t: facts.bind_symbols(_scoped_uses(t), t.exports))
+
+
+def _benchmark_words(t: Tables) -> DataFrame:
+    words = t.raw("benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("name"))
+    return words.where(F.length("name") > 6).distinct().withColumn("path", F.lit(None).cast("string"))
+
+
+query("token_cross_check", """
+c AS (SELECT DISTINCT name FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM benchmark) WHERE length(name) > 6),
+k AS (SELECT path, unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM texts ),
+h AS (SELECT name, count(*) AS hits, count(DISTINCT path) AS files FROM k WHERE name IN (SELECT name FROM c) GROUP BY name)
+SELECT c.name, coalesce(hits, 0)::BIGINT AS hits, coalesce(files, 0)::BIGINT AS files, coalesce(files, 0) > 0 AS degraded FROM c LEFT JOIN h ON h.name = c.name""")(
+    lambda t: facts.cross_check(_benchmark_words(t), t.texts))
+query("opaque_types", one("""SELECT path, name FROM exports WHERE kind = 'class' AND path IN (SELECT dst FROM edges WHERE label = 'reexport')
+  AND path NOT IN (SELECT dst FROM edges WHERE label <> 'reexport')"""))(lambda t: facts.opaque_types(t.exports, t.edges))
+query("component_of", one("SELECT DISTINCT dst AS target, src AS path, CASE WHEN label = 'reexport' THEN 'barrel' ELSE 'parent' END AS role FROM edges WHERE dst IN (SELECT path FROM files WHERE is_test)"))(
+    lambda t: facts.component_of(t.edges, t.files.where("is_test")))
+query("cyclic_subset", _CLOSURE.format("", "NOT contains(src, '/tests/') AND NOT contains(dst, '/tests/')") + " SELECT * FROM scc")(
+    lambda t: facts.cyclic_subset(t.kept_edges(), t.files.where("NOT is_test")))
+query("symbol_anchors", one("SELECT DISTINCT path, name, substr(sha256(path), 1, 12) AS file_anchor, substr(sha256(path || '::' || name), 1, 12) AS anchor FROM exports"))(
+    lambda t: facts.anchors(t.exports))
+query("symbol_changes", """
+a AS (SELECT path, name, min(line) AS l FROM exports WHERE dir <> 'brand_3' GROUP BY ALL), b AS (SELECT path, name, min(line + CASE WHEN line % 2 = 0 THEN 1 ELSE 0 END) AS l FROM exports WHERE dir <> 'brand_4' GROUP BY ALL),
+k AS (SELECT coalesce(a.path, b.path) AS path, coalesce(a.name, b.name) AS name, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.l IS DISTINCT FROM b.l THEN 'changed' END AS change
+  FROM a FULL JOIN b ON a.path = b.path AND a.name = b.name)
+SELECT * FROM k WHERE change IS NOT NULL""")(
+    lambda t: facts.symbol_changes(t.exports.where("dir <> 'brand_3'"), t.exports.where("dir <> 'brand_4'").withColumn("line", F.col("line") + F.when(F.col("line") % 2 == 0, 1).otherwise(0))))
+query("renamed_files", """
+f AS (SELECT path, CAST(loc AS VARCHAR) || dir AS fp, id FROM files ),
+g AS (SELECT fp, min(path) AS old_path FROM f WHERE id % 9 = 0 GROUP BY fp HAVING count(*) = 1), n AS (SELECT fp, min('moved/' || path) AS new_path FROM f WHERE id % 9 = 0 GROUP BY fp HAVING count(*) = 1)
+SELECT old_path, new_path FROM g JOIN n ON g.fp = n.fp""")(lambda t: facts.renames(*_moved(t)))
+
+
+def _moved(t: Tables) -> tuple[DataFrame, DataFrame]:
+    before = t.files.select("path", F.concat(F.col("loc").cast("string"), "dir").alias("fingerprint"), "id")
+    path = F.when(F.col("id") % 9 == 0, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
+    return before.drop("id"), before.withColumn("path", path).drop("id")
+
+
+_TAG = "CASE " + " ".join(f"WHEN regexp_matches({c}, '{p_}') THEN '{k}'" for k, (c, p_) in facts.IDIOMS.items()) + " END"
+query("idiom_tags", one(f"SELECT DISTINCT path, name, {_TAG} AS tag FROM exports WHERE {_TAG} IS NOT NULL"))(lambda t: facts.idiom_tags(t.exports))
+query("dead_exports_less_idioms", _DEAD + f" SELECT * FROM dead WHERE coalesce({_TAG}, '') NOT IN ('style', 'metal')")(
+    lambda t: facts.suppressed_by_idiom(symbols.dead_exports(t.exports, t.imports), facts.idiom_tags(t.exports), ("style", "metal")))
+_ROLE = "CASE " + " ".join(f"WHEN regexp_matches(text, '{v.replace('{}', 'track').replace(chr(39), chr(39) * 2)}') THEN '{k}'" for k, v in facts.ROLES.items()) + " ELSE 'reference' END"
+query("occurrence_roles", _PAGES + f"""
+ln AS (SELECT path, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM pg)
+SELECT path, line, {_ROLE} AS role FROM ln WHERE regexp_matches(text, '\\btrack\\b')""")(lambda t: facts.occurrence_roles(_pages(t), "track"))
+query("entrypoint_drift", """
+d AS (SELECT path FROM files WHERE id % 5 = 0 UNION ALL SELECT 'gone/' || path FROM files WHERE id % 70 = 0), k AS (SELECT DISTINCT src AS path FROM edges WHERE src NOT IN (SELECT dst FROM edges ))
+SELECT path, 'unresolved' AS drift FROM d WHERE path NOT IN (SELECT path FROM files ) UNION
+SELECT path, 'declared_only' FROM d WHERE path IN (SELECT path FROM files ) AND path NOT IN (SELECT path FROM k) UNION SELECT path, 'detected_only' FROM k WHERE path NOT IN (SELECT path FROM d)""")(
+    lambda t: facts.entrypoint_drift(*_entrypoints(t), t.files.select("path")))
+
+
+def _entrypoints(t: Tables) -> tuple[DataFrame, DataFrame]:
+    declared = t.files.where("id % 5 = 0").select("path").union(t.files.where("id % 70 = 0").select(F.concat(F.lit("gone/"), "path")))
+    edges = t.edges
+    return declared, edges.select(F.col("src").alias("path")).distinct().join(edges.select(F.col("dst").alias("path")), "path", "left_anti")
+
+
+query("answer_receipt")(lambda t: facts.receipt(symbols.dead_exports(t.exports, t.imports), t.files))
