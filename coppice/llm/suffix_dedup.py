@@ -15,11 +15,12 @@ Repeated suffixes are then resolved exactly, by hashes of whole strings. A strin
 starts d bytes before its anchor is one of ``SPREAD``; strings are taken together in
 ranges of d, ``WIDTHS`` wide. All strings of a range share the bytes common to them (the
 range's key), and together they span its union. Places with equal unions repeat each
-other at every d of the range; places with equal keys and other unions are split into
-narrower ranges, down to single strings. Each step is a count by hash over all places,
-so no group is ever gathered. Between steps a Bloom filter of ``BLOOM_BITS`` bits, of
-fixed size whatever the data, keeps settled places from being looked at again; it lets
-some through needlessly and loses none.
+other at every d of the range and are settled. Places whose key others have with another
+union are split into narrower ranges, down to single strings; a settled union takes
+part with one place only. Each step is a count by hash over all places, so no group is
+ever gathered. Between steps Bloom filters of ``BLOOM_BITS`` bits, of fixed size whatever
+the data, keep settled places and texts from being looked at again; they let some
+through needlessly and lose none.
 
 Hashes have 64 bits beside 64 bits of leading text or of a second hash.
 
@@ -46,6 +47,7 @@ DEPTH = MATCH + 1 - SPREAD
 WIDTHS = (200, 50, 10, 1)
 BATCHES = 4
 BLOOM_BITS = 1 << 26
+ROWS, SEEN = 20_000, 500_000
 KEY = ["lead", "fp"]
 TEXT = ["text_hash", "n_bytes"]
 _A, _B, _HIGH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFFFFFFFF00000000)
@@ -85,28 +87,43 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(data).alias("text_hash"), F.octet_length(data).alias("n_bytes"), data.alias("data"))
 
 
-def _pass(rows: DataFrame, each: Callable[[bytes], list[tuple]], schema: str, start: Callable[[], Callable] | None = None) -> DataFrame:
-    """Text columns beside every tuple of numbers that `each` yields for a text; one reading of all texts."""
+def _pass(rows: DataFrame, start: Callable[[], Callable[[int, pa.Scalar], list[tuple]]], schema: str) -> DataFrame:
+    """Text columns beside every tuple of numbers that a text yields; one reading of all texts.
+
+    start: called once in a task; what it returns is called with each text's hash and bytes.
+    """
     names = [c.split()[0] for c in schema.split(",")]
 
+    def made(batch: pa.RecordBatch, at: list[int], found: list[tuple]) -> pa.RecordBatch:
+        take, numbers = pa.array(at, pa.int64()), np.array(found, dtype=np.int64).T
+        columns = [batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, numbers)]
+        return pa.RecordBatch.from_arrays(columns, names=[*TEXT, *names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = start() if start else each
+        work = start()
         for batch in batches:
-            at, found = [], []
-            for row, data in enumerate(batch.column(2).to_pylist()):
-                if len(data) >= MATCH and (new := work(data)):
+            at, found, texts_ = [], [], batch.column(2)
+            for row, (text_hash, size) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if size >= MATCH and (new := work(text_hash, texts_[row])):
                     found += new
                     at += [row] * len(new)
+                    if len(found) >= ROWS:
+                        yield made(batch, at, found)
+                        at, found = [], []
             if found:
-                take = pa.array(at, pa.int64())
-                numbers = np.array(found, dtype=np.int64).T
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, numbers)], names=[*TEXT, *names]
-                )
+                yield made(batch, at, found)
 
     return rows.mapInArrow(run, f"text_hash bigint, n_bytes int, {schema}")
 
 
+def _suffixes() -> Callable[[int, pa.Scalar], list[tuple]]:
+    def work(_: int, text: pa.Scalar) -> list[tuple]:
+        data = text.as_py()
+        return [(*suffix_key(data, a), a) for a in anchors(data).tolist()]
+
+    return work
+
+
 class SuffixFamily:
     """Levels of suffix arrays, of which the k-th holds 2^k batches or none."""
 
@@ -121,7 +138,7 @@ class SuffixFamily:
 
     def add(self, rows: DataFrame) -> DataFrame:
         """Adds a batch of texts; the suffixes that it repeats, within itself or from a level."""
-        places = _pass(rows, lambda data: [(*suffix_key(data, a), a) for a in anchors(data).tolist()], "lead bigint, fp bigint, at bigint")
+        places = _pass(rows, _suffixes, "lead bigint, fp bigint, at bigint")
         first = F.struct("text_hash", "at").alias("first")
         new = self.array(places.select(*KEY, F.lit(1).cast("long").alias("places"), first))
         found = new.where("places > 1").select(*KEY)
@@ -148,24 +165,24 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def bloom(keys: DataFrame) -> np.ndarray:
-    """Bits of the keys' hashes, as 64-bit words; at most BLOOM_BITS bits come to the driver."""
-    bit = F.col("key").bitwiseAND(F.lit(BLOOM_BITS - 1))
-    words = keys.groupBy(F.shiftright(bit, 6).alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")
-    )
-    out, got = np.zeros(BLOOM_BITS // 64, dtype=np.int64), words.toArrow()
+def bloom(keys: DataFrame) -> bytes:
+    """A bit for each of the 64-bit keys; at most BLOOM_BITS bits come to the driver."""
+    key = F.col("key")
+    bit = key.bitwiseXOR(F.shiftrightunsigned(key, 32)).bitwiseAND(F.lit(BLOOM_BITS - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    words = keys.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+    out, got = np.zeros(BLOOM_BITS // 64, dtype="<i8"), words.toArrow()
     out[got["word"].to_numpy()] = got["bits"].to_numpy()
-    return out.view(np.uint64)
+    return out.tobytes()
 
 
-def _in(filter_: np.ndarray, key: int) -> bool:
-    bit = key & (BLOOM_BITS - 1)
-    return bool(int(filter_[bit >> 6]) >> (bit & 63) & 1)
+def _in(bits: bytes, key: int) -> int:
+    bit = (key ^ (key >> 32 & 0xFFFFFFFF)) & (BLOOM_BITS - 1)
+    return bits[bit >> 3] >> (bit & 7) & 1
 
 
-def _ranges(data: bytes, at: int, depth: int, filters: list[np.ndarray], low: int = 0, level: int = 0) -> Iterator[tuple]:
-    """(key, more of it, union, its begin and end) of an anchor's ranges of d at a level, below keys that the filters hold."""
+def _ranges(data: bytes, text_hash: int, at: int, depth: int, marks: list[bytes], low: int = 0, level: int = 0) -> Iterator[tuple]:
+    """(key, more of it, union, its begin and end) of an anchor's ranges of d at a level, inside ranges that are marked."""
     first, last = max(0, at + MATCH - len(data)), min(SPREAD - 1, at)
     width = WIDTHS[level]
     top = low + (WIDTHS[level - 1] if level else SPREAD)
@@ -174,51 +191,67 @@ def _ranges(data: bytes, at: int, depth: int, filters: list[np.ndarray], low: in
         if lo > last or hi < first:
             continue
         common = data[at - lo : at - hi + MATCH]
-        key = _hash(common, lo)
+        key, begin = _hash(common, lo), at - min(hi, last)
         if level < depth:
-            if _in(filters[level + 1], key):
-                yield from _ranges(data, at, depth, filters, lo, level + 1)
+            if _in(marks[level], key ^ text_hash ^ begin << 32):
+                yield from _ranges(data, text_hash, at, depth, marks, lo, level + 1)
             continue
-        begin, end = at - min(hi, last), at - max(lo, first) + MATCH
+        end = at - max(lo, first) + MATCH
         yield key, _hash(common, lo + 1000), _hash(data[begin:end], (at - begin) * 1000 + end - at), begin, end
 
 
+def _searched(level: int, shared) -> Callable[[], Callable[[int, pa.Scalar], list[tuple]]]:
+    """Ranges of one level, of texts that are still to be looked at, each once in a task."""
+
+    def start() -> Callable[[int, pa.Scalar], list[tuple]]:
+        repeated, marks, wanted = shared.value
+        seen: set[int] = set()
+
+        def work(text_hash: int, text: pa.Scalar) -> list[tuple]:
+            if level:
+                if text_hash in seen or not _in(wanted, text_hash):
+                    return []
+                if len(seen) < SEEN:
+                    seen.add(text_hash)
+            data = text.as_py()
+            return [
+                found
+                for at in anchors(data).tolist()
+                if _in(repeated, suffix_key(data, at)[1])
+                for found in _ranges(data, text_hash, at, level, marks)
+            ]
+
+        return work
+
+    return start
+
+
 def resolve(rows: DataFrame, repeated: DataFrame) -> DataFrame:
-    """text_hash, n_bytes, begin and end of strings that repeat, from the repeated suffixes."""
-    filters = [bloom(repeated.select(F.col("fp").alias("key")))]
-    spans = []
+    """text_hash, n_bytes, begin and end of strings that repeat, from the repeated suffixes.
+
+    A step passes on one place of every union of a key that has a union of one place: that
+    place itself, or of a settled union the first place, which stands for all of them.
+    """
     context = rows.sparkSession.sparkContext
+    filter_, marks, wanted, spans = bloom(repeated.select(F.col("fp").alias("key"))), [], b"", []
+    union = ["key", "more", "whole"]
     for level in range(len(WIDTHS)):
-        shared = context.broadcast(filters)
-
-        def start(level: int = level, shared=shared) -> Callable:
-            held = shared.value
-
-            def work(data: bytes) -> list[tuple]:
-                return [
-                    found
-                    for at in anchors(data).tolist()
-                    if _in(held[0], suffix_key(data, at)[1])
-                    for found in _ranges(data, at, level, held)
-                ]
-
-            return work
-
-        places = materialize(
-            _pass(rows, list, "key bigint, more bigint, whole bigint, begin bigint, end bigint", start).select(
-                *TEXT, "key", "more", "whole", F.col("begin").cast("int"), F.col("end").cast("int")
-            ),
-            f"places-{WIDTHS[level]}",
-        )
-        groups = materialize(places.groupBy("key", "more", "whole").count(), f"groups-{WIDTHS[level]}")
-        settled = groups.where("count > 1").select("key", "more", "whole")
-        spans.append(
-            materialize(places.join(settled, ["key", "more", "whole"], "left_semi").select(*TEXT, "begin", "end").distinct(), f"spans-{WIDTHS[level]}")
-        )
-        drop(places)
+        shared = context.broadcast((filter_, marks, wanted))
+        found = _pass(rows, _searched(level, shared), "key bigint, more bigint, whole bigint, begin bigint, end bigint")
+        places = materialize(found.withColumns({c: F.col(c).cast("int") for c in ("begin", "end")}), f"places-{WIDTHS[level]}")
+        first = F.min(F.struct("text_hash", "begin")).alias("first")
+        groups = materialize(places.groupBy(*union).agg(F.count("*").alias("n"), first), f"unions-{WIDTHS[level]}")
+        settled = places.join(groups.where("n > 1").select(*union), union, "left_semi")
+        spans.append(materialize(settled.select(*TEXT, "begin", "end").distinct(), f"spans-{WIDTHS[level]}"))
         if level + 1 < len(WIDTHS):
-            parts = groups.groupBy("key", "more").agg(F.count("*").alias("n"), F.min("count").alias("least"))
-            filters.append(bloom(parts.where("n > 1 AND least = 1").select("key")))
+            kinds = groups.groupBy("key", "more").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
+            left = groups.join(kinds.where("kinds > 1 AND least = 1").select("key", "more"), ["key", "more"], "left_semi")
+            left = materialize(left.select("key", "first.*"), f"left-{WIDTHS[level]}")
+            place = F.shiftleft(F.col("begin").cast("long"), 32)
+            marks.append(bloom(left.select(F.col("key").bitwiseXOR(F.col("text_hash")).bitwiseXOR(place).alias("key"))))
+            wanted = bloom(left.select(F.col("text_hash").alias("key")))
+            drop(left)
+        drop(places)
         drop(groups)
         shared.unpersist()
         context._jvm.System.gc()  # shuffle files go once the driver has collected what stands for them
