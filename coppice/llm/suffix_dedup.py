@@ -31,6 +31,7 @@ one; further columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -50,6 +51,7 @@ BLOOM_BITS = 1 << 26
 ROWS, SEEN = 20_000, 500_000
 KEY = ["lead", "fp"]
 TEXT = ["text_hash", "n_bytes"]
+_LOW = (1 << 64) - 1
 _A, _B, _HIGH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFFFFFFFF00000000)
 
 
@@ -87,39 +89,42 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(data).alias("text_hash"), F.octet_length(data).alias("n_bytes"), data.alias("data"))
 
 
-def _pass(rows: DataFrame, start: Callable[[], Callable[[int, pa.Scalar], list[tuple]]], schema: str) -> DataFrame:
-    """Text columns beside every tuple of numbers that a text yields; one reading of all texts.
+def _pass(rows: DataFrame, start: Callable[[], Callable[[int, pa.Scalar], list[int]]], schema: str) -> DataFrame:
+    """Text columns beside every row of numbers that a text yields; one reading of all texts.
 
-    start: called once in a task; what it returns is called with each text's hash and bytes.
+    start: called once in a task; what it returns is called with each text's hash and
+    bytes and gives its rows' numbers one after the other.
     """
     names = [c.split()[0] for c in schema.split(",")]
 
-    def made(batch: pa.RecordBatch, at: list[int], found: list[tuple]) -> pa.RecordBatch:
-        take, numbers = pa.array(at, pa.int64()), np.array(found, dtype=np.int64).T
-        columns = [batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, numbers)]
+    def made(batch: pa.RecordBatch, at: list[int], counts: list[int], found: array) -> pa.RecordBatch:
+        take = pa.array(np.repeat(at, counts))
+        numbers = np.frombuffer(found, dtype=np.int64).reshape(-1, len(names)).T
+        columns = [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(np.ascontiguousarray(c)) for c in numbers)]
         return pa.RecordBatch.from_arrays(columns, names=[*TEXT, *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            at, found, texts_ = [], [], batch.column(2)
+            at, counts, found, data = [], [], array("q"), batch.column(2)
             for row, (text_hash, size) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if size >= MATCH and (new := work(text_hash, texts_[row])):
-                    found += new
-                    at += [row] * len(new)
-                    if len(found) >= ROWS:
-                        yield made(batch, at, found)
-                        at, found = [], []
+                if size >= MATCH and (new := work(text_hash, data[row])):
+                    found.extend(new)
+                    at.append(row)
+                    counts.append(len(new) // len(names))
+                    if len(found) >= ROWS * len(names):
+                        yield made(batch, at, counts, found)
+                        at, counts, found = [], [], array("q")
             if found:
-                yield made(batch, at, found)
+                yield made(batch, at, counts, found)
 
     return rows.mapInArrow(run, f"text_hash bigint, n_bytes int, {schema}")
 
 
-def _suffixes() -> Callable[[int, pa.Scalar], list[tuple]]:
-    def work(_: int, text: pa.Scalar) -> list[tuple]:
+def _suffixes() -> Callable[[int, pa.Scalar], list[int]]:
+    def work(_: int, text: pa.Scalar) -> list[int]:
         data = text.as_py()
-        return [(*suffix_key(data, a), a) for a in anchors(data).tolist()]
+        return [x for a in anchors(data).tolist() for x in (*suffix_key(data, a), a)]
 
     return work
 
@@ -181,47 +186,59 @@ def _in(bits: bytes, key: int) -> int:
     return bits[bit >> 3] >> (bit & 7) & 1
 
 
-def _ranges(data: bytes, text_hash: int, at: int, depth: int, marks: list[bytes], low: int = 0, level: int = 0) -> Iterator[tuple]:
-    """(key, more of it, union, its begin and end) of an anchor's ranges of d at a level, inside ranges that are marked."""
-    first, last = max(0, at + MATCH - len(data)), min(SPREAD - 1, at)
+def _limits(at: int, size: int) -> tuple[int, int]:
+    """The least and greatest d of strings that lie in a text of that size."""
+    return max(0, at + MATCH - size), min(SPREAD - 1, at)
+
+
+def _ranges(out: list[int], data: bytes, text_hash: int, at: int, depth: int, marks: list[bytes], low: int, level: int) -> None:
+    """Adds key, more of it, union, its begin and end of an anchor's ranges of d at a level, inside ranges that are marked."""
+    first, last = _limits(at, len(data))
     width = WIDTHS[level]
-    top = low + (WIDTHS[level - 1] if level else SPREAD)
-    for lo in range(low, top, width):
+    for lo in range(low, min(low + WIDTHS[level - 1], last + 1), width):
         hi = lo + width - 1
-        if lo > last or hi < first:
+        if hi < first:
             continue
-        common = data[at - lo : at - hi + MATCH]
-        key, begin = _hash(common, lo), at - min(hi, last)
+        hashed = xxhash.xxh3_128_intdigest(data[at - lo : at - hi + MATCH], lo)
+        key, begin = (hashed >> 64) - (1 << 63), at - min(hi, last)
         if level < depth:
             if _in(marks[level], key ^ text_hash ^ begin << 32):
-                yield from _ranges(data, text_hash, at, depth, marks, lo, level + 1)
+                _ranges(out, data, text_hash, at, depth, marks, lo, level + 1)
             continue
         end = at - max(lo, first) + MATCH
-        yield key, _hash(common, lo + 1000), _hash(data[begin:end], (at - begin) * 1000 + end - at), begin, end
+        whole = key if width == 1 else _hash(data[begin:end], (at - begin) * 1000 + end - at)
+        out += (key, (hashed & _LOW) - (1 << 63), whole, begin, end)
 
 
-def _searched(level: int, shared) -> Callable[[], Callable[[int, pa.Scalar], list[tuple]]]:
+def _searched(level: int, shared) -> Callable[[], Callable[[int, pa.Scalar], list[int]]]:
     """Ranges of one level, of texts that are still to be looked at, each once in a task."""
 
-    def start() -> Callable[[int, pa.Scalar], list[tuple]]:
+    def start() -> Callable[[int, pa.Scalar], list[int]]:
         repeated, marks, wanted = shared.value
         seen: set[int] = set()
 
-        def work(text_hash: int, text: pa.Scalar) -> list[tuple]:
-            if level:
-                if text_hash in seen or not _in(wanted, text_hash):
-                    return []
-                if len(seen) < SEEN:
-                    seen.add(text_hash)
-            data = text.as_py()
-            return [
-                found
-                for at in anchors(data).tolist()
-                if _in(repeated, suffix_key(data, at)[1])
-                for found in _ranges(data, text_hash, at, level, marks)
-            ]
-
-        return work
+        def everywhere(text_hash: int, text: pa.Scalar) -> list[int]:
+            data, out = text.as_py(), []
+            for at in anchors(data).tolist():
+                suffix = data[at : at + DEPTH]
+                if _in(repeated, key := _hash(suffix)):
+                    first, last = _limits(at, len(data))
+                    begin, end = at - last, at - first + MATCH
+                    out += (key, _hash(suffix, 1), _hash(data[begin:end], last * 1000 + end - at), begin, end)
+            return out
+
+        def marked(text_hash: int, text: pa.Scalar) -> list[int]:
+            if text_hash in seen or not _in(wanted, text_hash):
+                return []
+            if len(seen) < SEEN:
+                seen.add(text_hash)
+            data, out = text.as_py(), []
+            for at in anchors(data).tolist():
+                if _in(marks[0], _hash(data[at : at + DEPTH]) ^ text_hash ^ at - _limits(at, len(data))[1] << 32):
+                    _ranges(out, data, text_hash, at, level, marks, 0, 1)
+            return out
+
+        return marked if level else everywhere
 
     return start
 
@@ -242,7 +259,7 @@ def resolve(rows: DataFrame, repeated: DataFrame) -> DataFrame:
         first = F.min(F.struct("text_hash", "begin")).alias("first")
         groups = materialize(places.groupBy(*union).agg(F.count("*").alias("n"), first), f"unions-{WIDTHS[level]}")
         settled = places.join(groups.where("n > 1").select(*union), union, "left_semi")
-        spans.append(materialize(settled.select(*TEXT, "begin", "end").distinct(), f"spans-{WIDTHS[level]}"))
+        spans.append(materialize(settled.select(*TEXT, "begin", "end"), f"spans-{WIDTHS[level]}"))
         if level + 1 < len(WIDTHS):
             kinds = groups.groupBy("key", "more").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
             left = groups.join(kinds.where("kinds > 1 AND least = 1").select("key", "more"), ["key", "more"], "left_semi")
