@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.functions.paths import artifact_class, dirname, extension, file_kind, is_test_path, matches_glob
+from coppice.functions.paths import artifact_class, basename, dirname, extension, file_kind, is_test_path, matches_glob
 
 # Fixed values: (extensions, table, kind, pattern of a line); the first group is the name or source.
 RULES = [
@@ -47,7 +47,13 @@ RULES = [
     (("html", "htm"), "imports", "script", r"<script[^>]*\ssrc=['\"]([^'\"]+)['\"]"),
     (("html", "htm"), "imports", "link", r"<a\s[^>]*href=['\"]([^'\"#]+)['\"]"),
     (("py", "ts", "tsx", "js", "jsx", "rs", "sh"), "env_reads", "env", r"(?:environ(?:\.get)?[\[(]\s*['\"]|process\.env\.|env::var\(\s*\"|\$\{?)([A-Z][A-Z0-9_]{2,})"),
-    (("env",), "env_declarations", "dotenv", r"^\s*(?:export\s+)?([A-Z][A-Z0-9_]*)\s*="),
+    (("py",), "routes", "route", r"^\s*@\w+\.(?:get|post|put|delete|patch|route)\(\s*['\"]([^'\"]+)"),
+    (("py",), "races", "shared_state", r"^\s*global\s+(\w+)"),
+    (("makefile", "mk"), "exports", "target", r"^([A-Za-z0-9_.-]+)\s*:(?!=)"),
+    (("env", "envrc"), "env_declarations", "dotenv", r"^\s*(?:export\s+)?([A-Z][A-Z0-9_]*)\s*="),
+    (("dockerfile",), "env_declarations", "dockerfile", r"^\s*(?:ENV|ARG)\s+([A-Z][A-Z0-9_]*)"),
+    (("yml", "yaml"), "env_declarations", "compose", r"^\s*-\s*([A-Z][A-Z0-9_]*)="),
+    (("yml", "yaml"), "env_declarations", "k8s", r"^\s*-?\s*name:\s*([A-Z][A-Z0-9_]+)\s*$"),
 ]
 #: Endings and index files tried for a relative import, in this order.
 CANDIDATES = ("", ".ts", ".tsx", ".js", ".jsx", ".py", ".rs", "/index.ts", "/index.tsx", "/index.js", "/__init__.py", "/mod.rs")
@@ -80,7 +86,7 @@ def file_table(texts: DataFrame) -> DataFrame:
 def extract(texts: DataFrame) -> DataFrame:
     """path, line, table, kind and name of everything that a rule finds."""
     ext = extension(F.col("path"))
-    rows = texts.select("path", F.when(ext == "", F.lit("env")).otherwise(ext).alias("ext"), F.posexplode(F.split("content", "\n")).alias("i", "text"))
+    rows = texts.select("path", F.when(ext == "", F.lower(basename(F.col("path")))).otherwise(ext).alias("ext"), F.posexplode(F.split("content", "\n")).alias("i", "text"))
     found = F.array(*[
         F.struct(F.lit(table).alias("table"), F.lit(kind).alias("kind"), F.when(F.col("ext").isin(*exts) & F.col("text").rlike(pattern), F.regexp_extract("text", pattern, 1)).alias("name"))
         for exts, table, kind, pattern in RULES
@@ -113,3 +119,25 @@ def import_edges(resolved: DataFrame) -> DataFrame:
     """Edges of resolved imports, with the label that the graph operators know."""
     label = F.when(F.col("kind") == "reexport", "reexport").when(F.col("kind") == "dynamic", "lazy_import").when(F.col("kind") == "mod", "mod").otherwise("import")
     return resolved.where("resolved_path IS NOT NULL").select(F.col("path").alias("src"), F.col("resolved_path").alias("dst"), label.alias("label"))
+
+
+PACKAGE = "name string, version string, main string, scripts map<string,string>, dependencies map<string,string>, devDependencies map<string,string>"
+# Files and dependencies that tell a framework.
+FRAMEWORKS = {"react": ("dependency", "react"), "vue": ("dependency", "vue"), "express": ("dependency", "express"), "rust": ("file", "Cargo.toml"), "python": ("file", "pyproject.toml"), "node": ("file", "package.json")}
+
+
+def packages(texts: DataFrame) -> DataFrame:
+    """A row per package.json: path, name, version, entry file and numbers of scripts and dependencies; broken JSON gives nulls."""
+    m = texts.where(basename(F.col("path")) == "package.json").select("path", F.from_json("content", PACKAGE).alias("m"))
+    count = lambda c: F.coalesce(F.size(F.map_keys(c)), F.lit(0)).cast("long")
+    return m.select("path", "m.name", "m.version", "m.main", count("m.scripts").alias("scripts"), (count("m.dependencies") + count("m.devDependencies")).alias("dependencies"))
+
+
+def frameworks(texts: DataFrame) -> DataFrame:
+    """Frameworks that a marker file or a declared dependency tells, with the first path that does."""
+    m = texts.where(basename(F.col("path")) == "package.json").select("path", F.from_json("content", PACKAGE).alias("m"))
+    deps = m.select("path", F.explode(F.map_keys("m.dependencies")).alias("name"), F.lit("dependency").alias("by"))
+    marks = deps.union(texts.select("path", basename(F.col("path")).alias("name"), F.lit("file").alias("by")))
+    rules = F.explode(F.array(*[F.struct(F.lit(f).alias("framework"), F.lit(by).alias("rule_by"), F.lit(n).alias("rule_name")) for f, (by, n) in FRAMEWORKS.items()]))
+    hits = marks.select("path", "name", "by", rules.alias("r")).where("r.rule_by = by AND r.rule_name = name")
+    return hits.groupBy(F.col("r.framework").alias("framework")).agg(F.min("path").alias("evidence"))
