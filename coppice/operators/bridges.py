@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coppice.functions.names import command_key, event_key
@@ -81,14 +81,14 @@ def _ranked(declarations: DataFrame) -> DataFrame:
 
 def env_truth(declarations: DataFrame, stale_days: int = 30) -> DataFrame:
     """Per variable: the source that wins, the next one, and whether values differ or an old one overrides a fresh one."""
-    order = Window.partitionBy("name").orderBy(F.desc("rank"), "path")
-    rows = _ranked(declarations).select(
-        "*", F.row_number().over(order).alias("place"), F.lead("path").over(order).alias("next_path"), F.lead("age_days").over(order).alias("next_age")
-    )
+    key = F.struct((-F.col("rank")).alias("o"), "path", "source_kind", "age_days")
+    rows = _ranked(declarations).select("name", key.alias("k"))
+    best = rows.groupBy("name").agg(F.min("k").alias("w"))
+    second = rows.join(best, "name").where("k > w").groupBy("name").agg(F.min("k").alias("x"))
     spread = declarations.groupBy("name").agg(F.count("*").alias("sources"), F.count_distinct("value_hash").alias("hashes"))
-    stale = F.coalesce(F.col("age_days") - F.col("next_age") >= stale_days, F.lit(False))
-    return rows.where("place = 1").join(spread, "name").select(
-        "name", F.col("path").alias("winner"), F.col("source_kind").alias("kind"), "next_path", "sources",
+    stale = F.coalesce(F.col("w.age_days") - F.col("x.age_days") >= stale_days, F.lit(False))
+    return best.join(second, "name", "left").join(spread, "name").select(
+        "name", F.col("w.path").alias("winner"), F.col("w.source_kind").alias("kind"), F.col("x.path").alias("next_path"), "sources",
         (F.col("hashes") > 1).alias("value_mismatch"), stale.alias("stale_overrides_fresh"),
     )
 

@@ -83,6 +83,6 @@ def quick_wins(findings: DataFrame, caps: dict[str, int]) -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
     cap = F.element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("kind"))
     within = F.row_number().over(Window.partitionBy("kind").orderBy("target"))
-    return findings.where(F.col("kind").isin(*kinds)).withColumn("within", within).where(F.col("within") <= cap).select(
+    return findings.where(F.col("kind").isin(*kinds)).withColumn("within", within).where(F.col("within") <= max(caps.values())).where(F.col("within") <= cap).select(
         "kind", "target", (rank * 1000 + F.col("within")).cast("long").alias("priority")
     )

@@ -82,13 +82,9 @@ def exact_twins(exports: DataFrame, imports: DataFrame) -> DataFrame:
     per name keeps the result linear in the number of places.
     """
     rows = symbol_registry(_named(exports), imports).join(exports.select("path", "name", "signature").distinct(), ["path", "name"])
-    order = [F.desc("import_count"), F.length("path"), F.asc("path")]
-    first = rows.groupBy("name").agg(
-        F.max_by(F.struct("path", "signature"), F.struct(F.col("import_count"), -F.length("path"))).alias("any"), F.count("*").alias("places")
-    ).where("places > 1").select("name", "places")
-    ranked = rows.join(first, "name").withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(*order)))
-    head = ranked.where("rank = 1").select("name", F.col("path").alias("canonical"), F.col("signature").alias("head"))
-    pairs = ranked.where("rank > 1").join(head, "name")
+    first = F.min(F.struct((-F.col("import_count")).alias("o"), F.length("path").alias("l"), "path", "signature")).alias("h")
+    head = rows.groupBy("name").agg(first).select("name", F.col("h.path").alias("canonical"), F.col("h.signature").alias("head"))
+    pairs = rows.join(head, "name").where("path <> canonical")
     similarity = jaccard(F.col("signature"), F.col("head"), both_empty=1.0)
     kind = F.when(similarity >= 0.999, "EXACT").when(similarity >= 0.4, "SHAPE_SIMILAR").otherwise("NAME_COLLISION")
     return pairs.select("name", "canonical", "path", F.round(similarity, 6).alias("similarity"), kind.alias("class"))
@@ -186,18 +182,22 @@ def crowds(exports: DataFrame, edges: DataFrame) -> DataFrame:
     return grouped.withColumn("score", F.round(score, 6))
 
 
-def similar_files(imports: DataFrame, above: float = 0.3, most: int = 200) -> DataFrame:
-    """Pairs of files whose sets of imported modules have a Jaccard similarity above a bound.
+def similar_files(imports: DataFrame, above: float = 0.3) -> DataFrame:
+    """Pairs of sets of imported modules with a Jaccard similarity above a bound.
 
-    Pairs come from an inverted index of modules with at most `most` importers; a hub
-    that more files import says little about any two of them and would pair them all.
+    Files with equal sets are one class: its first path stands for it, with their number.
+    Classes meet on prefixes only: the modules of a set in order of rarity, as many of
+    them as a similar set can't avoid all; the pair is then measured on the whole sets.
     """
-    rows = imports.select("path", "resolved_path").distinct()
-    sizes = rows.groupBy("path").agg(F.count("*").alias("size"))
-    rare = rows.groupBy("resolved_path").agg(F.count("*").alias("n")).where(F.col("n").between(2, most)).select("resolved_path")
-    index = rows.join(rare, "resolved_path", "left_semi")
-    pairs = index.alias("x").join(index.alias("y"), "resolved_path").where("x.path < y.path")
-    shared = pairs.groupBy(F.col("x.path").alias("a"), F.col("y.path").alias("b")).agg(F.count("*").alias("shared"))
-    out = shared.join(sizes.select(F.col("path").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("path").alias("b"), F.col("size").alias("sb")), "b")
-    similarity = F.col("shared") / (F.col("sa") + F.col("sb") - F.col("shared"))
-    return out.where(similarity > above).select("a", "b", F.round(similarity, 6).alias("similarity"))
+    rows = imports.select("path", "resolved_path").where("resolved_path IS NOT NULL").distinct()
+    often = rows.groupBy("resolved_path").agg(F.count("*").alias("n"))
+    module = F.struct("n", "resolved_path")
+    sets = rows.join(often, "resolved_path").groupBy("path").agg(F.sort_array(F.collect_list(module)).alias("modules"))
+    classes = sets.groupBy("modules").agg(F.min("path").alias("path"), F.count("*").alias("files"))
+    least = F.size("modules") - F.ceil(F.size("modules") * F.lit(above)) + 1
+    heads = classes.select("path", "files", "modules", F.explode(F.slice("modules", 1, least.cast("int"))).alias("head"))
+    x = heads.select(F.col("path").alias("a"), F.col("files").alias("a_files"), F.col("modules").alias("ma"), "head")
+    y = heads.select(F.col("path").alias("b"), F.col("files").alias("b_files"), F.col("modules").alias("mb"), "head")
+    similarity = jaccard(F.col("ma"), F.col("mb"))
+    pairs = x.join(y, "head").where("a < b").withColumn("similarity", similarity).where(F.col("similarity") > above)
+    return pairs.select("a", "b", "a_files", "b_files", F.round("similarity", 6).alias("similarity")).distinct()

@@ -203,10 +203,10 @@ SELECT name, members, primary_ AS "primary", underused,
   round(least(least(members - 1, 3) + 1.5 * ((underused > 0)::INT + (members >= 3)::INT) + 0.5 * underused, 10.0)::DOUBLE, 6) AS score FROM u""")(
     lambda t: symbols.crowds(t.exports, t.edges))
 query("similar_files", """
-r AS (SELECT DISTINCT path, resolved_path FROM imports),
-k AS (SELECT resolved_path FROM r GROUP BY 1 HAVING count(*) BETWEEN 2 AND 200), z AS (SELECT path, count(*) AS n FROM r GROUP BY 1),
-s AS (SELECT x.path AS a, y.path AS b, count(*) AS shared FROM r x JOIN r y ON x.resolved_path = y.resolved_path AND x.path < y.path JOIN k ON k.resolved_path = x.resolved_path GROUP BY ALL)
-SELECT a, b, round(shared / (za.n + zb.n - shared), 6) AS similarity FROM s JOIN z za ON za.path = a JOIN z zb ON zb.path = b WHERE shared / (za.n + zb.n - shared) > 0.3""")(
+r AS (SELECT DISTINCT path, resolved_path FROM imports ), z AS (SELECT path, list_sort(list(resolved_path)) AS m FROM r GROUP BY path),
+k AS (SELECT m, min(path) AS path, count(*) AS files FROM z GROUP BY m),
+s AS (SELECT x.path AS a, y.path AS b, x.files AS a_files, y.files AS b_files, len(list_intersect(x.m, y.m)) / len(list_distinct(list_concat(x.m, y.m))) AS j FROM k x JOIN k y ON x.path < y.path)
+SELECT a, b, a_files, b_files, round(j, 6) AS similarity FROM s WHERE j > 0.3""")(
     lambda t: symbols.similar_files(t.imports))
 
 # Bridges ----------------------------------------------------------------------------
