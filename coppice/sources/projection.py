@@ -72,7 +72,7 @@ LISTENS = _EVENT + " WHERE value < 25"
 ENV_DECLARATIONS = """
 SELECT concat('VAR_', CAST(s_suppkey % 61 AS STRING)) AS name, CASE s_nationkey % 5 WHEN 0 THEN 'dotenv' WHEN 1 THEN 'compose'
        WHEN 2 THEN 'k8s' WHEN 3 THEN 'dockerfile' ELSE 'sealed_secret' END AS source_kind,
-       concat('deploy/', CAST(s_nationkey AS STRING), '/', s_name) AS path, CAST(s_acctbal AS BIGINT) % 17 AS value_hash,
+       concat('deploy/', CAST(s_nationkey AS STRING), '/', s_name) AS path, CAST(floor(s_acctbal) AS BIGINT) % 17 AS value_hash,
        s_suppkey % 400 AS age_days
 FROM {supplier}"""
 
