@@ -275,15 +275,14 @@ def resolve(rows: DataFrame, repeated: DataFrame) -> DataFrame:
     return _union(spans)
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of the union of spans."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+    if not len(begin):
+        return begin, end
+    order = np.argsort(begin, kind="stable")
+    begin, upto = begin[order], np.maximum.accumulate(end[order])
+    starts = np.r_[True, begin[1:] > upto[:-1]].nonzero()[0]
+    return begin[starts], upto[np.r_[starts[1:], len(begin)] - 1]
 
 
 def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -308,13 +307,16 @@ def removed(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            kept, n_removed, n_spans = [], [], []
-            for data, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                runs = merged([(s["begin"], s["end"]) for s in spans or ()])
-                cuts = [0, *(x for r in runs for x in r), len(data)]
+            kept, n_removed, n_spans, texts_, spans = [], [], [], batch.column(1), batch.column(2)
+            begin, end = (spans.values.field(c).to_numpy() for c in ("begin", "end"))
+            places = spans.offsets.to_numpy()
+            for row in range(batch.num_rows):
+                data, own = texts_[row].as_py(), slice(places[row], places[row + 1])
+                starts, ends = merged(begin[own], end[own])
+                cuts = [0, *np.stack([starts, ends], axis=1).ravel().tolist(), len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
                 n_removed.append(len(data) - len(kept[-1]))
-                n_spans.append(len(runs))
+                n_spans.append(len(starts))
             sizes = pa.array([a + b for a, b in zip(n_removed, map(len, kept), strict=True)], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), sizes, pa.array(kept, pa.binary()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64())],
