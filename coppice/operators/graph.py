@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,25 +123,29 @@ def lazy_cycles(edges: DataFrame) -> DataFrame:
     return everything.join(classified_cycles(edges, strict=True).select("members"), "members", "left_anti")
 
 
-def simple_cycles(edges: DataFrame, longest: int = 5, each: int = 10) -> DataFrame:
-    """Simple cycles up to a length, each from its smallest file; the first ones of every component by length and path.
+def simple_cycles(edges: DataFrame, longest: int | None = None, each: int = 10) -> DataFrame:
+    """Simple cycles, each from its smallest file; the first ones of every component by length and path.
 
-    Paths grow by joins within a component, so no component is ever in one task.
+    Paths grow by joins within a component, so no component is ever in one task. A
+    component is done when it has its number of cycles or no open path is left.
     """
     members = materialize(import_cycles(edges), "cycles")
     side = lambda c, name: members.select(F.col("path").alias(c), F.col("component").alias(name))
     inside = edges.select("src", "dst").distinct().join(side("src", "c1"), "src").join(side("dst", "c2"), "dst")
     steps = materialize(inside.where("c1 = c2").select("src", "dst", F.col("c1").alias("component")), "cycle-edges")
     paths = steps.where("src <= dst").select("component", F.col("src").alias("start"), F.array("src").alias("cycle"), F.col("dst").alias("at"))
-    closed = []
-    for _ in range(longest):
-        closed.append(paths.where("at = start").select("component", "cycle"))
+    rows = paths.where("at = start").select("component", "cycle").limit(0)
+    for _ in count() if longest is None else range(longest):
+        closed = paths.where("at = start").select("component", "cycle")
         open_ = paths.where((F.col("at") > F.col("start")) & ~F.array_contains("cycle", F.col("at")))
+        if not closed.isEmpty():
+            rows = materialize(rows.union(closed), "closed-cycles")
+        done = rows.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= each)
+        open_ = open_.join(done, "component", "left_anti")
         walked = open_.withColumn("cycle", F.array_append("cycle", F.col("at"))).withColumnRenamed("at", "src").join(steps.select("src", "dst"), "src")
         paths = materialize(walked.select("component", "start", "cycle", F.col("dst").alias("at")), "cycle-paths")
-    rows = closed[0]
-    for more in closed[1:]:
-        rows = rows.union(more)
+        if paths.isEmpty():
+            break
     order = Window.partitionBy("component").orderBy(F.size("cycle"), "cycle")
     ranked = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
     return ranked.select(F.array_join("cycle", ">").alias("cycle"), F.size("cycle").cast("long").alias("length"))
