@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coppice.functions.names import jaccard
 from coppice.functions.paths import dirname, is_dev_path, is_test_path, module_key, stem
+from coppice.plans.storage import materialize
 
 # Names too general to count as duplicates.
 GENERIC_NAMES = ("default", "main", "index", "new", "get", "set", "run", "init", "props", "config")
@@ -133,15 +136,22 @@ def reexport_cascades(edges: DataFrame) -> DataFrame:
     return again.select("src", "dst").join(again.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").distinct()
 
 
-def reexport_chains(edges: DataFrame, longest: int = 20) -> DataFrame:
+def reexport_chains(edges: DataFrame, longest: int | None = None) -> DataFrame:
     """From every re-exporting file, the path along the first (smallest) target while that re-exports; more than two steps."""
     again = edges.where("label = 'reexport'").groupBy("src").agg(F.min("dst").alias("next"))
-    rows = again.select("src", F.array("src", "next").alias("chain"), F.col("next").alias("at"))
-    step = again.select(F.col("src").alias("at"), F.col("next").alias("to"))
-    for _ in range(longest):
+    rows = materialize(again.select("src", F.array("src", "next").alias("chain"), F.col("next").alias("at")), "chains")
+    step = materialize(again.select(F.col("src").alias("at"), F.col("next").alias("to")), "chain-steps")
+    ended = []
+    for _ in count() if longest is None else range(longest):
         grown = rows.join(step, "at", "left")
-        ahead = F.col("to").isNotNull() & ~F.array_contains("chain", F.col("to"))
-        rows = grown.select("src", F.when(ahead, F.array_append("chain", F.col("to"))).otherwise(F.col("chain")).alias("chain"), F.when(ahead, F.col("to")).alias("at"))
+        ahead = F.coalesce(F.col("to").isNotNull() & ~F.array_contains("chain", F.col("to")), F.lit(False))
+        grown = materialize(grown.select("src", F.when(ahead, F.array_append("chain", F.col("to"))).otherwise(F.col("chain")).alias("chain"), F.when(ahead, F.col("to")).alias("at")), "chains")
+        ended.append(grown.where("at IS NULL"))
+        rows = grown.where("at IS NOT NULL")
+        if rows.isEmpty():
+            break
+    for more in ended:
+        rows = rows.union(more)
     return rows.where(F.size("chain") > 3).select("src", F.array_join("chain", ">").alias("chain"), (F.size("chain") - 1).cast("long").alias("steps"))
 
 
