@@ -167,7 +167,7 @@ def disguised(text: str) -> bool:
         not text.isascii() and ODD.search(text)
         or BRACKETS.search(text)
         or SPOKEN_GATE.search(text)
-        or not SPOKEN.keys().isdisjoint(text.lower().split()) and spoken_digits(text)
+        or spoken_digits(text)
     )
 
 
