@@ -7,6 +7,15 @@ at least two lines that aren't blank is a candidate. Chunks whose 64-bit hash an
 length occur more than once are compared by their bytes; of equal chunks the first,
 by doc_id and place, stays and the others go.
 
+Before this, the pipeline's stage takes repeated passages out, wherever they begin
+(``without_passages``). A passage is found by its windows of ``WINDOW`` words. A window
+starts at a word of the least hash among some ``NEAR`` neighbours, or after the end of a
+line, or it ends with a line or text. So a repeated run of
+``WINDOW + NEAR - 1`` words or more has a window wherever it stands, and no gap between
+its windows; less than ``NEAR`` words at either end may stay within a line. Of equal
+windows, by two 64-bit hashes, the first stays and the words of the others go. Rows carry
+hashes and places and no text.
+
 Defined results: a null text stays null and has no chunk; an empty text is one
 blank line and stays; documents with equal doc_id and text count as one document
 (each keeps its first chunks); of chunks at equal doc_id and place but in different
@@ -16,6 +25,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +36,9 @@ ROLL = 3
 MEAN_LINES = 4
 BASE = 31
 BROADCAST_ROWS = 200_000
+WINDOW = 20
+NEAR = 10
+PLACE = 24
 
 
 def chunks(text: Column) -> Column:
@@ -75,9 +89,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     return again.groupBy("doc_id", "text_hash").agg(F.collect_set("k").alias("gone"))
 
 
-def _joined(docs: DataFrame) -> DataFrame:
-    """Each row, its chunks and the places of those to remove."""
-    gone = repeated(docs).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "gone")
+def _joined(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Each row and the places of what to remove from it."""
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "gone")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
     return keyed.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")), "left")
 
@@ -87,17 +101,90 @@ def _kept(text: Column) -> Column:
     return F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """Every row with its text less the repeated chunks; n_chars, if there, is that of the new text."""
-    new = {"text": _kept(F.col("row.text"))}
+def _rewritten(docs: DataFrame, gone: DataFrame, kept: Callable[[Column], Column]) -> DataFrame:
+    new = {"text": kept(F.col("row.text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length(new["text"]).cast(docs.schema["n_chars"].dataType))
-    return _joined(docs).select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+    return _joined(docs, gone).select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """Every row with its text less the repeated chunks; n_chars, if there, is that of the new text."""
+    return _rewritten(docs, repeated(docs), _kept)
+
+
+def words(text: Column) -> Column:
+    """A text's words, each with the white space behind it; joined they are the text."""
+    return F.split(text, r"(?<=\s)(?=\S)")
+
+
+def windows(text: Column) -> Column:
+    """(k, passage) of the windows of a text: the place of the first word and the words, without white space behind."""
+    held = words(text)
+    stops = F.transform(held, lambda x: F.contains(x, F.lit("\n")))
+    # A word's hash in the upper bits and its place in the lower ones.
+    trimmed = lambda x: F.xxhash64(F.rtrim(x, F.lit(" \t\r\n")))
+    keys = F.transform(held, lambda x, i: F.shiftleft(F.shiftright(trimmed(x), PLACE), PLACE).bitwiseOR(i.cast("long")))
+    built = F.struct(held.alias("words"), stops.alias("stops"), keys.alias("keys"))
+
+    def found(made: Column) -> Column:
+        size = F.size(made["words"])
+        places = F.sequence(F.lit(0), size - WINDOW)
+
+        def least(k: Column) -> Column:
+            return F.array_min(F.slice(made["keys"], k + 1, NEAR)).bitwiseAND(F.lit(2**PLACE - 1)).cast("int")
+
+        def edge(k: Column) -> Column:
+            end = k + WINDOW
+            return (k == 0) | F.get(made["stops"], k - 1) | (end == size) | F.get(made["stops"], end - 1)
+
+        def window(k: Column) -> Column:
+            return F.struct(k.alias("k"), F.rtrim(F.array_join(F.slice(made["words"], k + 1, WINDOW), ""), F.lit(" \t\r\n")).alias("passage"))
+
+        chosen = F.filter(F.transform(places, least), lambda k: k <= size - WINDOW)
+        return F.transform(F.array_union(chosen, F.filter(places, edge)), window)
+
+    long = F.when(F.size(held) >= WINDOW, F.get(F.transform(F.array(built), found), F.lit(0)))
+    return F.coalesce(long, F.array().cast("array<struct<k:int,passage:string>>"))
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """Windows to remove, per document: doc_id, text_hash and the places k of their first words."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.inline(windows(F.col("text"))))
+    rows = rows.select(F.xxhash64("passage").alias("h"), F.xxhash64(F.lit(WINDOW), "passage").alias("h2"), "doc_id", "text_hash", "k")
+    often = materialize(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-window-hashes")
+    rows = rows.join(F.broadcast(often) if often.count() <= BROADCAST_ROWS else often, "h", "left_semi")
+    rows = materialize(rows, "candidate-windows")
+    first = rows.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = rows.join(first, ["h", "h2"]).where(~F.struct("doc_id", "k").eqNullSafe(F.col("first")))
+    return again.groupBy("doc_id", "text_hash").agg(F.collect_set("k").alias("gone"))
+
+
+def _outside(text: Column) -> Column:
+    """The text less the words of the windows that begin at `gone`."""
+
+    def rest(held: Column) -> Column:
+        def part(begin: Column, end: Column) -> Column:
+            return F.array_join(F.slice(held, begin + 1, end - begin), "")
+
+        def step(acc: Column, k: Column) -> Column:
+            more = F.when(k > acc["at"], F.concat(acc["parts"], F.array(part(acc["at"], k)))).otherwise(acc["parts"])
+            return F.struct((k + WINDOW).alias("at"), more.alias("parts"))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+        return F.aggregate(F.sort_array("gone"), start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), part(acc["at"], F.size(held))))
+
+    return F.when(F.col("gone").isNull(), text).otherwise(F.get(F.transform(F.array(words(text)), rest), F.lit(0)))
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """Every row with its text less the repeated passages; n_chars, if there, is that of the new text."""
+    return _rewritten(docs, repeated_windows(docs), _outside)
 
 
 def counted(docs: DataFrame) -> DataFrame:
     """doc_id, the kept text, n_chunks and n_removed of every row."""
-    return _joined(docs).select(
+    return _joined(docs, repeated(docs)).select(
         F.col("id").alias("doc_id"), _kept(F.col("row.text")).alias("kept"),
         F.coalesce(F.size(chunks(F.col("row.text"))), F.lit(0)).cast("long").alias("n_chunks"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),

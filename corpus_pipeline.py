@@ -1,7 +1,7 @@
 """A corpus from documents: five stages, each a table of all that the one before kept.
 
 toxicity          documents whose restored text scores at least a half go
-line_dedup        multi-line chunks that an earlier place has go from the texts
+line_dedup        passages, then multi-line chunks, that an earlier place has go from the texts
 near_duplicates   of documents linked by fingerprint one stays
 decontamination   documents in which a benchmark window occurs go
 packing           what is left is packed into sequences of 2048 tokens
@@ -24,7 +24,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicated(docs)
+    return line_dedup.deduplicated(materialize(line_dedup.without_passages(docs), "without-passages"))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
