@@ -236,10 +236,8 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
-    """One row of every component, that of the smallest doc_id (null first), then text hash; all columns."""
-    each = materialize(fingerprints(docs, width), "fingerprints")
-    rows = each.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("n")).join(components(each), "fp")
+def first_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents of the first (doc_id, text_hash) of every root, one row each; rows: root, doc_id, text_hash, n equal rows."""
     first = F.min(F.struct("doc_id", "text_hash", "n")).alias("first")
     kept = materialize(rows.groupBy("root").agg(first).select("first.*"), "kept-documents")
     kept = kept.withColumnsRenamed({"doc_id": "kept_id", "text_hash": "kept_hash"})
@@ -250,5 +248,11 @@ def one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
     return joined.select("row.*")
 
 
+def one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
+    """One row of every component, that of the smallest doc_id (null first), then text hash; all columns."""
+    each = materialize(fingerprints(docs, width), "fingerprints")
+    return first_rows(docs, each.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("n")).join(components(each), "fp"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 toxicity          documents whose restored text scores at least a half go
 line_dedup        passages, then multi-line chunks, that an earlier place has go from the texts
-near_duplicates   of documents linked by fingerprint one stays
+near_duplicates   of documents linked by similar five-word shingles one stays
 decontamination   documents in which a benchmark window occurs go
 packing           what is left is packed into sequences of 2048 tokens
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coppice.llm import decontamination, line_dedup, packing, simhash, toxicity
+from coppice.llm import decontamination, line_dedup, near_copies, packing, toxicity
 from coppice.plans.storage import materialize, table
 
 
@@ -28,7 +28,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
