@@ -1,37 +1,41 @@
 """Removal of long repeated byte strings with a logarithmic family of suffix arrays.
 
-Every string of ``MATCH`` bytes holds an anchor: the place, among its first ``SPREAD``,
-whose next 16 bytes have the smallest hash. Equal strings have equal anchors, so
-suffixes are indexed at anchors only (about one place in a hundred), to a depth of
-``DEPTH`` bytes, all of which lie in the string.
-
-The index is a family of levels. Documents arrive in ``BATCHES`` batches; a batch's
-suffix array (leading bytes, fingerprint to the full depth, number of places and the
-first one, in sorted shards) is merge-scanned against every level, suffixes found on
-both sides or twice in the batch are noted as repeated, and levels of equal rank merge
-into one of the next, as a binary counter carries.
-
-Repeated suffixes are then resolved exactly, by hashes of whole strings. A string that
-starts d bytes before its anchor is one of ``SPREAD``; strings are taken together in
-ranges of d, ``WIDTHS`` wide. All strings of a range share the bytes common to them (the
-range's key), and together they span its union. Places with equal unions repeat each
-other at every d of the range and are settled. Places whose key others have with another
-union are split into narrower ranges, down to single strings; a settled union takes
-part with one place only. Each step is a count by hash over all places, so no group is
-ever gathered. Between steps Bloom filters of ``BLOOM_BITS`` bits, of fixed size whatever
-the data, keep settled places and texts from being looked at again; they let some
-through needlessly and lose none.
-
-Hashes have 64 bits beside 64 bits of leading text or of a second hash.
+**Suffixes.** Every string of ``MATCH`` bytes holds an anchor: the place, among its first
+``SPREAD``, whose next 16 bytes have the smallest hash. Equal strings have equal anchors,
+so suffixes are indexed at anchors only, about one place in a hundred. An entry stands in
+the order of its suffix: by the leading 8 bytes, then by fingerprints of ever longer
+parts (``SHORT`` bytes, ``DEPTH`` bytes, and all bytes that strings of this anchor can
+reach). Neighbours in this order have the longest common parts, as in any suffix array.
+
+**Family.** One pass over the texts writes all entries. Batches of them are added to a
+family whose k-th level holds 2^k batches or none. A batch is sorted and merge-scanned
+with every level: each entry is held against its neighbours, and what they have in common
+is noted. Levels of equal rank become one of the next rank in the same scan, as a binary
+counter carries.
+
+**Matches.** A place with the same reach as another is settled: all strings in it repeat.
+Places that have ``DEPTH`` bytes in common with others and a reach of their own are
+compared by bytes. The contexts of such a group stand in the order of the bytes from the
+anchor on, and again in the order of the bytes before it, read backwards. Neighbours in
+the two orders give the longest common parts on either side; strings of an anchor that
+repeat cover an interval around it, so its two ends are all that is looked for. Where two
+neighbours between them don't decide an end, the strings in question are compared in the
+whole group. Groups of more than ``CROWD`` different contexts are never in one task:
+their strings are counted by 128-bit hashes instead.
+
+Hashes that decide anything have 64 bits beside 64 bits of leading text, or 128 bits.
 
 Defined results: null is empty; texts shorter than ``MATCH`` bytes stay whole; equal
 texts repeat each other, wholly, whatever their doc_id; rows are returned one for
-one; further columns are ignored; an empty table gives an empty result.
+one; further columns are ignored; an empty table gives an empty result. ``repeats`` says
+that the text has ``SHORT`` bytes or more in common with another place; it finds every
+common run of ``SPREAD + SHORT - 1`` bytes, removed or not.
 """
 
 from __future__ import annotations
 
 from array import array
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,28 +44,33 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.plans.storage import drop, materialize, table
+from coppice.plans.storage import drop, materialize, release, table
 
 MATCH = 400
 SPREAD = 200
-DEPTH = MATCH + 1 - SPREAD
-WIDTHS = (200, 50, 10, 1)
+LEFT = SPREAD - 1
+DEPTH = MATCH - LEFT
+SHORT = 101
 BATCHES = 4
-BLOOM_BITS = 1 << 26
-ROWS, SEEN = 20_000, 500_000
-KEY = ["lead", "fp"]
+CROWD = 20_000
+#: Rows of an Arrow batch, and texts that a task remembers to pass over their copies.
+ROWS, SEEN = 20_000, 300_000
+#: Crowded groups are broadcast up to this number.
+BROADCAST_ROWS = 50_000
 TEXT = ["text_hash", "n_bytes"]
-_LOW = (1 << 64) - 1
-_A, _B, _HIGH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFFFFFFFF00000000)
+ORDER = ["lead", "short", "fp", "reach", "text_hash", "at"]
+ENTRY = "text_hash bigint, n_bytes int, lead bigint, short bigint, fp int, reach bigint, at int"
+_A, _HIGH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFFFF00000000)
+_h64, _h128 = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_intdigest
 
 
 def anchors(data: bytes) -> np.ndarray:
     """Sorted anchor places: of each window of SPREAD places the one with the smallest hash, the first of equal ones."""
-    n, m = len(data), len(data) - MATCH + SPREAD
-    if n < MATCH:
+    n, m = len(data), len(data) - SHORT + 1
+    if m < SPREAD:
         return np.empty(0, dtype=np.int64)
     eight = np.ndarray((n - 7,), dtype="<u8", buffer=data, strides=(1,))
-    h = eight[:m] * _A + eight[8 : 8 + m] * _B
+    h = eight[:m] * _A + eight[8 : 8 + m] * np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(29)
     h = (h * _A & _HIGH) | np.arange(m, dtype=np.uint64)
     rows = -(-m // SPREAD)
@@ -75,58 +84,89 @@ def anchors(data: bytes) -> np.ndarray:
     return least[np.r_[True, least[1:] != least[:-1]]]
 
 
-def suffix_key(data: bytes, at: int) -> tuple[int, int]:
-    """The suffix's first 8 bytes, in byte order as a signed number, and the fingerprint of DEPTH bytes."""
-    return int.from_bytes(data[at : at + 8], "big") - (1 << 63), _hash(data[at : at + DEPTH])
-
-
-def _hash(data: bytes, seed: int = 0) -> int:
-    return xxhash.xxh3_64_intdigest(data, seed) - (1 << 63)
-
-
 def texts(docs: DataFrame) -> DataFrame:
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return docs.select(F.xxhash64(data).alias("text_hash"), F.octet_length(data).alias("n_bytes"), data.alias("data"))
 
 
-def _pass(rows: DataFrame, start: Callable[[], Callable[[int, pa.Scalar], list[int]]], schema: str) -> DataFrame:
-    """Text columns beside every row of numbers that a text yields; one reading of all texts.
+def _signed(values: array | np.ndarray) -> pa.Array:
+    return pa.array(np.frombuffer(values, dtype=np.int64) if isinstance(values, array) else values.view(np.int64))
 
-    start: called once in a task; what it returns is called with each text's hash and
-    bytes and gives its rows' numbers one after the other.
-    """
-    names = [c.split()[0] for c in schema.split(",")]
 
-    def made(batch: pa.RecordBatch, at: list[int], counts: list[int], found: array) -> pa.RecordBatch:
-        take = pa.array(np.repeat(at, counts))
-        numbers = np.frombuffer(found, dtype=np.int64).reshape(-1, len(names)).T
-        columns = [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(np.ascontiguousarray(c)) for c in numbers)]
-        return pa.RecordBatch.from_arrays(columns, names=[*TEXT, *names])
+def entries(rows: DataFrame) -> DataFrame:
+    """An entry of the suffix array for every anchor of every text; copies within a task are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = start()
+        seen: set[int] = set()
         for batch in batches:
-            at, counts, found, data = [], [], array("q"), batch.column(2)
-            for row, (text_hash, size) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if size >= MATCH and (new := work(text_hash, data[row])):
-                    found.extend(new)
-                    at.append(row)
-                    counts.append(len(new) // len(names))
-                    if len(found) >= ROWS * len(names):
-                        yield made(batch, at, counts, found)
-                        at, counts, found = [], [], array("q")
-            if found:
-                yield made(batch, at, counts, found)
+            at, places, leads, hashes = [], [], [], array("Q")
 
-    return rows.mapInArrow(run, f"text_hash bigint, n_bytes int, {schema}")
+            def made(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                take, three = pa.array(np.repeat(at, [len(p) for p in places])), np.frombuffer(hashes, dtype=np.uint64).reshape(-1, 3).T
+                columns = [
+                    batch.column(0).take(take), batch.column(1).take(take), _signed(np.concatenate(leads) ^ np.uint64(1 << 63)), _signed(np.ascontiguousarray(three[0])),
+                    pa.array(three[1].astype(np.uint32).view(np.int32)), _signed(np.ascontiguousarray(three[2])), pa.array(np.concatenate(places).astype(np.int32)),
+                ]
+                return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ENTRY.split(", ")])
 
+            for row, (text_hash, size) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if size < SPREAD + SHORT - 1 or text_hash in seen:
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(text_hash)
+                data = batch.column(2)[row].as_py()
+                found = anchors(data)
+                leads.append(np.ndarray((size - 7,), dtype=">u8", buffer=data, strides=(1,))[found].astype(np.uint64))
+                for a in found.tolist():
+                    left = min(a, LEFT)
+                    hashes.extend((_h64(data[a : a + SHORT]), _h64(data[a : a + DEPTH]), _h64(data[a - left : a + MATCH], left)))
+                at.append(row)
+                places.append(found)
+                if len(hashes) >= 3 * ROWS:
+                    yield made()
+                    at, places, leads, hashes = [], [], [], array("Q")
+            if at:
+                yield made()
+
+    return rows.mapInArrow(run, ENTRY)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scan of sorted entries: what each has in common with its neighbours, and whether it is the first of its reach.
+
+    common: 0 nothing, 1 SHORT bytes, 2 DEPTH bytes, 3 the whole reach. An entry of one
+    place that stands there twice counts once.
+    """
+    names = [*ORDER, "n_bytes", "kept"]
 
-def _suffixes() -> Callable[[int, pa.Scalar], list[int]]:
-    def work(_: int, text: pa.Scalar) -> list[int]:
-        data = text.as_py()
-        return [x for a in anchors(data).tolist() for x in (*suffix_key(data, a), a)]
+    def out(rows: np.ndarray, common: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        some = (rows[:, 7] != 0) | (common > 0)
+        rows, kinds = rows[some], {"fp": np.int32, "at": np.int32, "n_bytes": np.int32, "kept": np.bool_}
+        columns = [pa.array(rows[:, k].astype(kinds.get(c, np.int64))) for k, c in enumerate(names)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(common[some].astype(np.int32)), pa.array(first[some])], names=[*names, "common", "first"])
 
-    return work
+    held, over = np.empty((0, len(names)), dtype=np.int64), 0  # the last rows, of which the first `over` are out already
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.concatenate([held, np.stack([batch.column(c).cast(pa.int64()).to_numpy() for c in names], axis=1)])
+        same = rows[1:, :6] == rows[:-1, :6]
+        new = np.r_[True, ~same.all(axis=1)]
+        rows, same = rows[new], same[new[1:]]
+        part = same[:, 0] & same[:, 1]
+        behind = np.r_[0, part.astype(np.int64) + (part & same[:, 2]) + (part & same[:, 2] & same[:, 3])]
+        if len(rows) - over > 1:
+            yield out(rows[over:-1], np.maximum(behind[:-1], behind[1:])[over:], (behind < 3)[over:-1])
+        held, over = (rows[-2:], 1) if len(rows) > 1 else (rows, 0)
+        last = behind[-1:]
+    if len(held) > over:
+        yield out(held[over:], last, last < 3)
+
+
+def scanned(rows: DataFrame) -> DataFrame:
+    """Entries in the order of their suffixes within shards, each held against its neighbours."""
+    ordered = rows.repartition("lead", "short").sortWithinPartitions(*ORDER)
+    return ordered.mapInArrow(_neighbours, "lead bigint, short bigint, fp int, reach bigint, text_hash bigint, at int, n_bytes int, kept boolean, common int, first boolean")
 
 
 class SuffixFamily:
@@ -134,145 +174,176 @@ class SuffixFamily:
 
     def __init__(self) -> None:
         self.levels: list[DataFrame | None] = []
+        self.tables: list[DataFrame] = []
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Adds a batch of entries; all entries, new or old, that then have something in common with another."""
+        rank = next((k for k, level in enumerate(self.levels) if level is None), len(self.levels))
+        rows = batch.withColumn("kept", F.lit(True))
+        for k, level in enumerate(self.levels):
+            if level is not None:
+                rows = rows.unionByName(level.withColumn("kept", F.lit(k < rank)))
+        done = materialize(scanned(rows), "suffix-array")
+        self.tables.append(done)
+        self.levels[: rank + 1] = [None] * rank + [done.where("kept").select(*ORDER, "n_bytes")]
+        return done.where("common > 0").select(*ORDER, "n_bytes")
+
+    def drop(self) -> None:
+        for one in self.tables:
+            drop(one)
+
+
+def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Lengths of the common beginnings of rows."""
+    apart = a != b
+    return np.minimum(np.where(apart.any(axis=1), apart.argmax(axis=1), a.shape[1]), most)
+
+
+def _grid(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(p.ljust(width, b"\0") for p in parts), dtype=np.uint8).reshape(-1, width), np.array([len(p) for p in parts])
+
+
+def ends(left: list[bytes], right: list[bytes], settled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far repeated strings reach before and after each anchor of a group in suffix order; -1 where none repeats."""
+    m = len(left)
+    back = [x[::-1] for x in left]
+    before, n_before = _grid(back, LEFT)
+    after, n_after = _grid(right, MATCH)
+    begin, end = np.full(m, -1), np.full(m, -1)
+    most = [np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64)]
+    orders = np.arange(m), np.array(sorted(range(m), key=back.__getitem__))
+    for side, order in enumerate(orders):
+        i, j = order[:-1], order[1:]
+        lr = _common(after[i], after[j], np.minimum(n_after[i], n_after[j])), _common(before[i], before[j], np.minimum(n_before[i], n_before[j]))
+        repeated = lr[0] + lr[1] >= MATCH
+        for one in (i, j):
+            most[side][one] = np.maximum(most[side][one], lr[side])
+            end[one[repeated]] = np.maximum(end[one[repeated]], lr[0][repeated])
+            begin[one[repeated]] = np.maximum(begin[one[repeated]], lr[1][repeated])
+    furthest, earliest = most
+    doubt = (~settled & (earliest + furthest >= MATCH) & ((begin < earliest) | (end < furthest))).nonzero()[0]
+    asked: dict[int, list[int]] = {}
+    for x in doubt.tolist():
+        low, high = MATCH - int(furthest[x]), int(earliest[x])
+        for d in range(low, high + 1):
+            if d > begin[x] or MATCH - d > end[x]:
+                asked.setdefault(d, []).append(x)
+    for d, places in asked.items():
+        # Strings that could be equal stand together in suffix order.
+        has = ((n_before >= d) & (n_after >= MATCH - d)).nonzero()[0].tolist()
+        strings = {x: left[x][len(left[x]) - d :] + right[x][: MATCH - d] for x in has}
+        times = Counter(strings.values())
+        for x in places:
+            if times[strings[x]] > 1:
+                begin[x], end[x] = max(begin[x], d), max(end[x], MATCH - d)
+    return begin, end
+
+
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts in the order of (lead, fp, right) -> the spans of strings that repeat, a group at a time."""
+
+    def spans(group: list[tuple]) -> tuple[list, list, list, list]:
+        _, _, text_hash, size, at, settled, left, right = zip(*group, strict=True)
+        begin, end = ends(list(left), list(right), np.array(settled))
+        some = ((begin >= 0) & ~np.array(settled)).nonzero()[0].tolist()
+        return [text_hash[k] for k in some], [size[k] for k in some], [at[k] - int(begin[k]) for k in some], [at[k] + int(end[k]) for k in some]
+
+    group: list[tuple] = []
+    for batch in batches:
+        out: tuple[list, ...] = ([], [], [], [])
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if group and row[:2] != group[-1][:2]:
+                if len(group) > 1:
+                    for held, more in zip(out, spans(group), strict=True):
+                        held += more
+                group = []
+            if not group or row[2:5] != group[-1][2:5]:
+                group.append(row)
+        if out[0]:
+            yield _spans(out)
+    if len(group) > 1:
+        yield _spans(spans(group))
+
+
+def _spans(columns: tuple[list, ...]) -> pa.RecordBatch:
+    kinds = pa.int64(), pa.int32(), pa.int32(), pa.int32()
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*TEXT, "begin", "end"])
+
+
+def _beside_text(rows: DataFrame, places: DataFrame, start: Callable[[], Callable[[bytes, dict], None]], schema: str) -> DataFrame:
+    """Rows from each text and its places, (lead, fp, at, settled); copies within a task are passed over.
+
+    start: called with the lists to fill, column by column, beside the text's own two; what
+    it returns is called with a text and one of its places.
+    """
+    names = [*TEXT, *(c.split()[0] for c in schema.split(", "))]
+    listed = places.groupBy(*(F.col(c).alias(f"of_{c}") for c in TEXT)).agg(F.collect_list(F.struct("lead", "fp", "at", "settled")).alias("places"))
+    joined = rows.join(listed, (F.col("text_hash") == F.col("of_text_hash")) & (F.col("n_bytes") == F.col("of_n_bytes")))
 
-    @staticmethod
-    def array(rows: DataFrame) -> DataFrame:
-        """Sorted shards of distinct suffixes with their number of places and the first of them."""
-        merged = rows.groupBy(*KEY).agg(F.sum("places").alias("places"), F.min("first").alias("first"))
-        return materialize(merged.sortWithinPartitions(*KEY), "suffix-array")
-
-    def add(self, rows: DataFrame) -> DataFrame:
-        """Adds a batch of texts; the suffixes that it repeats, within itself or from a level."""
-        places = _pass(rows, _suffixes, "lead bigint, fp bigint, at bigint")
-        first = F.struct("text_hash", "at").alias("first")
-        new = self.array(places.select(*KEY, F.lit(1).cast("long").alias("places"), first))
-        found = new.where("places > 1").select(*KEY)
-        for level in filter(None, self.levels):
-            found = found.union(new.select(*KEY).join(level.select(*KEY), KEY, "left_semi"))
-        repeated = materialize(found.distinct(), "repeated-suffixes")
-        rank, carry = 0, [new]
-        while rank < len(self.levels) and self.levels[rank] is not None:
-            carry.append(self.levels[rank])
-            self.levels[rank] = None
-            rank += 1
-        if rank:
-            new = self.array(_union(carry))
-            for old in carry:
-                drop(old)
-        self.levels[rank : rank + 1] = [new]
-        return repeated
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.union(frame)
-    return out
-
-
-def bloom(keys: DataFrame) -> bytes:
-    """A bit for each of the 64-bit keys; at most BLOOM_BITS bits come to the driver."""
-    key = F.col("key")
-    bit = key.bitwiseXOR(F.shiftrightunsigned(key, 32)).bitwiseAND(F.lit(BLOOM_BITS - 1))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
-    words = keys.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(one).alias("bits"))
-    out, got = np.zeros(BLOOM_BITS // 64, dtype="<i8"), words.toArrow()
-    out[got["word"].to_numpy()] = got["bits"].to_numpy()
-    return out.tobytes()
-
-
-def _in(bits: bytes, key: int) -> int:
-    bit = (key ^ (key >> 32 & 0xFFFFFFFF)) & (BLOOM_BITS - 1)
-    return bits[bit >> 3] >> (bit & 7) & 1
-
-
-def _limits(at: int, size: int) -> tuple[int, int]:
-    """The least and greatest d of strings that lie in a text of that size."""
-    return max(0, at + MATCH - size), min(SPREAD - 1, at)
-
-
-def _ranges(out: list[int], data: bytes, text_hash: int, at: int, depth: int, marks: list[bytes], low: int, level: int) -> None:
-    """Adds key, more of it, union, its begin and end of an anchor's ranges of d at a level, inside ranges that are marked."""
-    first, last = _limits(at, len(data))
-    width = WIDTHS[level]
-    for lo in range(low, min(low + WIDTHS[level - 1], last + 1), width):
-        hi = lo + width - 1
-        if hi < first:
-            continue
-        hashed = xxhash.xxh3_128_intdigest(data[at - lo : at - hi + MATCH], lo)
-        key, begin = (hashed >> 64) - (1 << 63), at - min(hi, last)
-        if level < depth:
-            if _in(marks[level], key ^ text_hash ^ begin << 32):
-                _ranges(out, data, text_hash, at, depth, marks, lo, level + 1)
-            continue
-        end = at - max(lo, first) + MATCH
-        whole = key if width == 1 else _hash(data[begin:end], (at - begin) * 1000 + end - at)
-        out += (key, (hashed & _LOW) - (1 << 63), whole, begin, end)
-
-
-def _searched(level: int, shared) -> Callable[[], Callable[[int, pa.Scalar], list[int]]]:
-    """Ranges of one level, of texts that are still to be looked at, each once in a task."""
-
-    def start() -> Callable[[int, pa.Scalar], list[int]]:
-        repeated, marks, wanted = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-
-        def everywhere(text_hash: int, text: pa.Scalar) -> list[int]:
-            data, out = text.as_py(), []
-            for at in anchors(data).tolist():
-                suffix = data[at : at + DEPTH]
-                if _in(repeated, key := _hash(suffix)):
-                    first, last = _limits(at, len(data))
-                    begin, end = at - last, at - first + MATCH
-                    out += (key, _hash(suffix, 1), _hash(data[begin:end], last * 1000 + end - at), begin, end)
-            return out
-
-        def marked(text_hash: int, text: pa.Scalar) -> list[int]:
-            if text_hash in seen or not _in(wanted, text_hash):
-                return []
-            if len(seen) < SEEN:
-                seen.add(text_hash)
-            data, out = text.as_py(), []
-            for at in anchors(data).tolist():
-                if _in(marks[0], _hash(data[at : at + DEPTH]) ^ text_hash ^ at - _limits(at, len(data))[1] << 32):
-                    _ranges(out, data, text_hash, at, level, marks, 0, 1)
-            return out
-
-        return marked if level else everywhere
-
-    return start
-
-
-def resolve(rows: DataFrame, repeated: DataFrame) -> DataFrame:
-    """text_hash, n_bytes, begin and end of strings that repeat, from the repeated suffixes.
-
-    A step passes on one place of every union of a key that has a union of one place: that
-    place itself, or of a settled union the first place, which stands for all of them.
-    """
-    context = rows.sparkSession.sparkContext
-    filter_, marks, wanted, spans = bloom(repeated.select(F.col("fp").alias("key"))), [], b"", []
-    union = ["key", "more", "whole"]
-    for level in range(len(WIDTHS)):
-        shared = context.broadcast((filter_, marks, wanted))
-        found = _pass(rows, _searched(level, shared), "key bigint, more bigint, whole bigint, begin bigint, end bigint")
-        places = materialize(found.withColumns({c: F.col(c).cast("int") for c in ("begin", "end")}), f"places-{WIDTHS[level]}")
-        first = F.min(F.struct("text_hash", "begin")).alias("first")
-        groups = materialize(places.groupBy(*union).agg(F.count("*").alias("n"), first), f"unions-{WIDTHS[level]}")
-        settled = places.join(groups.where("n > 1").select(*union), union, "left_semi")
-        spans.append(materialize(settled.select(*TEXT, "begin", "end"), f"spans-{WIDTHS[level]}"))
-        if level + 1 < len(WIDTHS):
-            kinds = groups.groupBy("key", "more").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
-            left = groups.join(kinds.where("kinds > 1 AND least = 1").select("key", "more"), ["key", "more"], "left_semi")
-            left = materialize(left.select("key", "first.*"), f"left-{WIDTHS[level]}")
-            place = F.shiftleft(F.col("begin").cast("long"), 32)
-            marks.append(bloom(left.select(F.col("key").bitwiseXOR(F.col("text_hash")).bitwiseXOR(place).alias("key"))))
-            wanted = bloom(left.select(F.col("text_hash").alias("key")))
-            drop(left)
-        drop(places)
-        drop(groups)
-        shared.unpersist()
-        context._jvm.System.gc()  # shuffle files go once the driver has collected what stands for them
-    return _union(spans)
+        kinds = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+        types = [pa.int64(), pa.int32(), *(kinds[c.split()[1]] for c in schema.split(", "))]
+        for batch in batches:
+            columns: list[list] = [[] for _ in names]
+            add = start(columns)
+            for row, text_hash in enumerate(batch.column(0).to_pylist()):
+                if text_hash in seen:
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(text_hash)
+                data, size = batch.column(2)[row].as_py(), batch.column(1)[row].as_py()
+                for place in batch.column(3)[row].as_py():
+                    had = len(columns[2])
+                    add(data, place)
+                    columns[0] += [text_hash] * (len(columns[2]) - had)
+                    columns[1] += [size] * (len(columns[2]) - had)
+                if len(columns[0]) >= ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=names)
+                    for c in columns:
+                        c.clear()
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=names)
+
+    return joined.select(*TEXT, "data", "places").mapInArrow(run, f"text_hash bigint, n_bytes int, {schema}")
+
+
+def _contexts(columns: list[list]):
+    def add(data: bytes, place: dict) -> None:
+        a = place["at"]
+        for held, value in zip(columns[2:], (place["lead"], place["fp"], a, place["settled"], data[max(0, a - LEFT) : a], data[a : a + MATCH]), strict=True):
+            held.append(value)
+
+    return add
+
+
+def _strings(columns: list[list]):
+    def add(data: bytes, place: dict) -> None:
+        a = place["at"]
+        for d in range(max(0, a + MATCH - len(data)), min(LEFT, a) + 1):
+            h = _h128(data[a - d : a - d + MATCH])
+            for held, value in zip(columns[2:], ((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), a - d), strict=True):
+                held.append(value)
+
+    return add
+
+
+def compared(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Spans (text, begin, end) of repeated strings of places that are not settled, by their bytes."""
+    reps = found.where("common > 1 AND first").select(*TEXT, "lead", "fp", "at", (F.col("common") == 3).alias("settled"))
+    groups = reps.groupBy("lead", "fp").agg(F.count("*").alias("n"), F.bool_and("settled").alias("all_settled"))
+    groups = groups.where("n > 1 AND NOT all_settled").select("lead", "fp", (F.col("n") > CROWD).alias("crowded"))
+    open_ = materialize(reps.join(groups, ["lead", "fp"]), "open-places")
+    contexts = _beside_text(rows, open_.where("NOT crowded"), _contexts, "lead bigint, fp int, at int, settled boolean, left binary, right binary")
+    ordered = contexts.select("lead", "fp", *TEXT, "at", "settled", "left", "right").repartition("lead", "fp").sortWithinPartitions("lead", "fp", "right", "text_hash", "at")
+    spans = materialize(ordered.mapInArrow(_decided, "text_hash bigint, n_bytes int, begin int, end int"), "compared-spans")
+    if open_.where("crowded").isEmpty():
+        return spans
+    strings = materialize(_beside_text(rows, open_.where("crowded"), _strings, "h bigint, h2 bigint, begin int"), "crowded-strings")
+    place = F.struct("text_hash", "begin")
+    often = strings.groupBy("h", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("h", "h2")
+    repeated = strings.join(often, ["h", "h2"], "left_semi").select(*TEXT, "begin", (F.col("begin") + MATCH).alias("end"))
+    return spans.union(materialize(repeated.distinct(), "crowded-spans"))
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,20 +357,29 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """Per text with repeats: text_hash, n_bytes and its repeated (begin, end) spans."""
-    rows, family, found = texts(docs), SuffixFamily(), []
+    """Per text that has something in common with another: text_hash, n_bytes and its repeated (begin, end) spans."""
+    rows, family = texts(docs), SuffixFamily()
+    every = materialize(entries(rows), "suffixes")
+    found = None
     for k in range(batches):
-        found.append(family.add(rows.where(F.pmod("text_hash", F.lit(batches)) == k)))
-    repeated = materialize(_union(found).distinct(), "repeated")
-    for level in filter(None, family.levels):
-        drop(level)
-    docs.sparkSession.sparkContext._jvm.System.gc()
-    spans = resolve(rows, repeated)
-    return spans.groupBy(*TEXT).agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+        more = family.add(every.where(F.pmod("text_hash", F.lit(batches)) == k))
+        found = more if found is None else found.union(more)
+    found = materialize(scanned(found.withColumn("kept", F.lit(False))), "common-suffixes")
+    drop(every)
+    family.drop()
+    release(docs.sparkSession)
+    begin, end = F.greatest(F.col("at") - LEFT, F.lit(0)), F.least(F.col("at") + MATCH, "n_bytes")
+    span = lambda condition, begin, end: F.when(condition & (end - begin >= MATCH), F.struct(begin.cast("int").alias("begin"), end.cast("int").alias("end")))
+    settled = found.select(*TEXT, span(F.col("common") == 3, begin, end).alias("span"))
+    copies = rows.groupBy(*TEXT).agg(F.count("*").alias("n")).where(F.col("n") > 1).where(F.col("n_bytes") >= SPREAD + SHORT - 1)
+    copies = copies.select(*TEXT, span(F.lit(True), F.lit(0), F.col("n_bytes")).alias("span"))
+    spans = compared(rows, found).select(*TEXT, F.struct("begin", "end").alias("span"))
+    release(docs.sparkSession)
+    return settled.union(copies).union(spans).groupBy(*TEXT).agg(F.collect_set("span").alias("spans"))
 
 
 def removed(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """Every document's bytes without its repeated strings: doc_id, n_bytes, kept, n_removed and n_spans."""
+    """Every document's bytes without its repeated strings: doc_id, n_bytes, kept, n_removed, n_spans and repeats."""
     found = repeated_spans(docs, batches).withColumnsRenamed({"text_hash": "found_hash", "n_bytes": "found_bytes"})
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keyed = docs.select("doc_id", data.alias("data"), F.xxhash64(data).alias("text_hash"), F.octet_length(data).alias("n_bytes"))
@@ -312,23 +392,21 @@ def removed(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             places = spans.offsets.to_numpy()
             for row in range(batch.num_rows):
                 data, own = texts_[row].as_py(), slice(places[row], places[row + 1])
-                starts, ends = merged(begin[own], end[own])
-                cuts = [0, *np.stack([starts, ends], axis=1).ravel().tolist(), len(data)]
+                starts, ends_ = merged(begin[own], end[own])
+                cuts = [0, *np.stack([starts, ends_], axis=1).ravel().tolist(), len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
                 n_removed.append(len(data) - len(kept[-1]))
                 n_spans.append(len(starts))
             sizes = pa.array([a + b for a, b in zip(n_removed, map(len, kept), strict=True)], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), sizes, pa.array(kept, pa.binary()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64())],
-                names=["doc_id", "n_bytes", "kept", "n_removed", "n_spans"],
-            )
+            columns = [batch.column(0), sizes, pa.array(kept, pa.binary()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), spans.is_valid()]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "kept", "n_removed", "n_spans", "repeats"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.select("doc_id", "data", "spans").mapInArrow(
-        run, f"doc_id {kind}, n_bytes bigint, kept binary, n_removed bigint, n_spans bigint"
+        run, f"doc_id {kind}, n_bytes bigint, kept binary, n_removed bigint, n_spans bigint, repeats boolean"
     )
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = removed(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "repeats")
