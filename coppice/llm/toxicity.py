@@ -8,13 +8,13 @@
 3. Restored words and their first 4, 5 and 6 letters are counted by label over at most
    ``SAMPLE`` labelled rows, those of the smallest hashes of doc_id whose
    crc32(doc_id) is not 0 modulo 5. Features whose log odds ratio is clearly positive
-   (two standard errors), ``FEATURES`` at most, enter an L1 logistic regression over
-   the same rows, in which those that others explain get no weight.
+   (two standard errors) enter an L1 logistic regression over the same rows, in which
+   those that others explain get no weight.
 4. A document's score is that regression's probability. Labels, lang, source and
    doc_id play no part in it.
 
-The model has at most ``SYMBOLS``³ counts and ``FEATURES`` weights, whatever the
-corpus; counting and scoring read each text once and shuffle no text.
+The model has at most ``SYMBOLS``³ counts, and its weights are bounded by the sample's
+words, whatever the corpus; counting and scoring read each text once and shuffle no text.
 
 Defined results: a null or empty text has the intercept's score; a document labelled
 several times is toxic if any label says so, and null labels are left out; without
@@ -38,7 +38,6 @@ from pyspark.sql import functions as F
 from coppice.plans.storage import materialize, table
 
 SAMPLE = 20_000
-FEATURES = 20_000
 PENALTY = 1.0
 PREFIXES = (4, 5, 6)
 MEMO = 200_000
@@ -108,42 +107,51 @@ class LanguageModel:
         self.log = np.log(np.concatenate([p3, p2[None]])).tolist()
 
 
-def restore(seen: str, model: LanguageModel, spelled: bool = False, beam: int = 24) -> str:
-    """What was most likely meant by a disguised word, in lower case; a Viterbi search over its lattice."""
-    log, n = model.log, len(seen)
-    best: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(n + 1)]
-    best[0][ANY, 0] = (0.0, "")
-
-    def reach(at: int, state: tuple[int, int], score: float, text: str) -> None:
-        if state not in best[at] or best[at][state][0] < score:
-            best[at][state] = (score, text)
+def restore(seen: str, model: LanguageModel, spelled: bool = False) -> str:
+    """What was most likely meant by a disguised word, in lower case; an exact Viterbi search over its lattice.
 
-    for i in range(n):
-        c, run = seen[i], 1
-        while i + run < n and seen[i + run] == c:
-            run += 1
+    A state is the last two symbols. What it has written is a chain of links that states
+    share, so time and memory are linear in the word.
+    """
+    log, n = model.log, len(seen)
+    runs = [1] * n
+    for i in range(n - 2, -1, -1):
+        if seen[i] == seen[i + 1]:
+            runs[i] = runs[i + 1] + 1
+    best: dict[int, dict[tuple[int, int], tuple[float, tuple]]] = {0: {(ANY, 0): (0.0, ())}}
+
+    def reach(at: int, state: tuple[int, int], score: float, written: tuple) -> None:
+        states = best.setdefault(at, {})
+        if state not in states or states[state][0] < score:
+            states[state] = (score, written)
+
+    for i, c in enumerate(seen):
+        run = runs[i]
         meant = [(x, LEET_COST) for x in LEET.get(c, "")] + [(c, 0.0 if c in INDEX else KEPT_COST)]
-        states = sorted(best[i].items(), key=lambda s: -s[1][0])[:beam]
-        best[i] = {}
-        for (a, b), (score, text) in states:
+        for (a, b), (score, written) in best.pop(i, {}).items():
             if c in SEPARATORS and 0 < i < n - 1:
-                reach(i + 1, (a, b), score + DROP_COST, text)
-            starts = [(a, b, score, text)]
+                reach(i + 1, (a, b), score + DROP_COST, written)
+            starts = [(a, b, score, written)]
             if spelled and b:
-                starts.append((b, 0, score + log[a][b][0] + BREAK_COST, text + " "))
-            for a1, b1, so_far, written in starts:
+                starts.append((b, 0, score + log[a][b][0] + BREAK_COST, (written, " ")))
+            for a1, b1, so_far, before in starts:
                 for x, cost in meant:
                     k = INDEX.get(x, 0)
                     if not k and b1 == 0 and x != c:
                         continue
-                    here = so_far + cost + (log[a1][b1][k] if k or b1 else 0.0)
-                    reach(i + 1, (b1, k), here, written + x)
+                    here, link = so_far + cost + (log[a1][b1][k] if k or b1 else 0.0), (before, x)
+                    reach(i + 1, (b1, k), here, link)
                     if run > 1:
-                        reach(i + run, (b1, k), here + (RUN_COST if run > 2 else PAIR_COST), written + x)
+                        reach(i + run, (b1, k), here + (RUN_COST if run > 2 else PAIR_COST), link)
                         if run > 2 and k:
-                            reach(i + run, (k, k), here + RUN_COST + log[b1][k][k], written + x + x)
-    ends = [(score + (log[a][b][0] if b else 0.0), text) for (a, b), (score, text) in best[n].items()]
-    return max(ends)[1] if ends else seen
+                            reach(i + run, (k, k), here + RUN_COST + log[b1][k][k], (link, x))
+    ends = ((score + (log[a][b][0] if b else 0.0), written) for (a, b), (score, written) in best.get(n, {}).items())
+    link = max(ends, key=lambda x: x[0], default=(0.0, ()))[1]
+    out = []
+    while link:
+        link, x = link
+        out.append(x)
+    return "".join(reversed(out)) or seen
 
 
 def words_of(text: str, memo: dict[str, tuple[str, ...]], model: LanguageModel) -> set[str]:
@@ -213,7 +221,7 @@ def labelled_words(rows: DataFrame, model: LanguageModel) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def candidates(words: DataFrame, limit: int = FEATURES) -> list[str]:
+def candidates(words: DataFrame) -> list[str]:
     """Features whose log odds ratio is clearly above 0, the strongest first."""
     total = words.where("word = ''").first()
     if not (total and total["toxic"] and total["other"]):
@@ -225,7 +233,7 @@ def candidates(words: DataFrame, limit: int = FEATURES) -> list[str]:
     summed = each.groupBy("feature").agg((F.sum("toxic") + 0.5).alias("a"), (F.sum("other") + 0.5).alias("b"))
     ratio = F.log(F.col("a") / F.lit(total["toxic"] + 1.0)) - F.log(F.col("b") / F.lit(total["other"] + 1.0))
     low = ratio - 2 * F.sqrt(1 / F.col("a") + 1 / F.col("b"))
-    kept = summed.select("feature", low.alias("w")).where("w >= 0.5").orderBy(F.desc("w"), "feature").limit(limit)
+    kept = summed.select("feature", low.alias("w")).where("w >= 0.5").orderBy(F.desc("w"), "feature")
     return [r["feature"] for r in kept.collect()]
 
 
