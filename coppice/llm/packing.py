@@ -1,11 +1,12 @@
 """Hierarchical residual best-fit packing of token sequences.
 
-Pieces are dealt to partitions of about ``ITEMS`` pieces, which are best-fit packed
-in order of falling length. Bins with at most ``SLACK`` free tokens are final; of
-the rest, the ``OPEN`` emptiest go on as single items to the next round, in which
-``FAN`` partitions meet in one, until one partition is left. A bin more than half
-full takes only what others leave over, so closing the fullest beyond ``OPEN``
-keeps every round's partitions bounded and costs next to nothing.
+Pieces are dealt to partitions of about ``ITEMS`` pieces, which are best-fit packed in
+order of falling length. Bins with at most ``SLACK`` free tokens are final. All others go
+on as single items: (bin, fill) rows, of which ``FAN`` partitions meet in one, or fewer
+where more than ``ITEMS`` bins would, are best-fit packed again, and so on. A merged bin
+has the id of its first item, so only bins that have moved leave a row, and pieces learn
+their final place by one join at the end. The rounds end with one partition, or with a
+round that has moved nothing.
 
 Each round is a table in the shared folder. Only lengths are packed: a piece is its
 place in a document, a length and the CRC of its ids.
@@ -34,7 +35,6 @@ END = b"\0\0\0\0"
 ITEMS = 50_000
 FAN = 8
 SLACK = 20
-OPEN = 4096
 
 
 def cut(total: int, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -96,49 +96,72 @@ def best_fit(sizes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.nd
     return bins, offsets, np.array(fill, dtype=np.int64)
 
 
-def _round(number: int, last: bool, window: int):
-    """Packs a partition: open bins (or, in round 0, pieces) are items; sets bin, offset and open."""
+def _packed_pieces(window: int):
+    """Packs a partition's pieces; sets sequence_id and offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (held := list(batches)):
             return
         rows = pa.Table.from_batches(held)
-        length, offset = rows["length"].to_numpy(), rows["offset"].to_numpy()
-        if number:
-            _, item = np.unique(rows["sequence_id"].to_numpy(), return_inverse=True)
-            sizes = np.bincount(item, weights=length).astype(np.int64)
-        else:
-            item, sizes = np.arange(len(length)), length
-        bins, begins, fill = best_fit(sizes, window)
-        is_open = np.zeros(len(fill), dtype=bool)
-        if not last:
-            emptiest = np.argsort(fill, kind="stable")[:OPEN]
-            is_open[emptiest] = fill[emptiest] < window - SLACK
-        base = (number << 56) | (TaskContext.get().partitionId() << 28)
-        done = {"sequence_id": base + bins[item], "offset": offset + begins[item], "open": is_open[bins[item]]}
-        for name, values in done.items():
+        bins, begins, _ = best_fit(rows["length"].to_numpy(), window)
+        for name, values in {"sequence_id": (TaskContext.get().partitionId() << 32) + bins, "offset": begins}.items():
             rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(values))
         yield from rows.to_batches(max_chunksize=10_000)
 
     return run
 
 
+def _packed_bins(window: int):
+    """(bin, fill) -> (bin, into, shift, fill): the bin that each goes into, itself if it is that bin's first item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (held := list(batches)):
+            return
+        rows = pa.Table.from_batches(held)
+        name, fill = rows["bin"].to_numpy(), rows["fill"].to_numpy()
+        bins, begins, _ = best_fit(fill, window)
+        first = np.empty(bins.max() + 1, dtype=np.int64)
+        first[bins[begins == 0]] = name[begins == 0]
+        out = pa.table({"bin": name, "into": first[bins], "shift": begins, "fill": fill})
+        yield from out.to_batches(max_chunksize=50_000)
+
+    return run
+
+
+def moves(bins: DataFrame, parts: int, window: int = WINDOW) -> DataFrame | None:
+    """bin, into, shift of the underfull bins (bin, fill) that the tree of rounds puts behind others."""
+    total, left = None, materialize(bins, "open-bins")
+    while parts > 1 and (n := left.count()):
+        parts = max(-(-parts // FAN), -(-n // ITEMS))
+        done = left.repartition(parts, "bin").mapInArrow(_packed_bins(window), "bin bigint, into bigint, shift bigint, fill bigint")
+        done = materialize(done, "merged-bins")
+        moved = done.where("shift > 0").select("bin", "into", "shift")
+        if moved.isEmpty():
+            return total
+        if total is None:
+            total = moved
+        else:
+            further = moved.select(F.col("bin").alias("into"), F.col("into").alias("next"), F.col("shift").alias("more"))
+            carried = total.join(further, "into", "left").select("bin", F.coalesce("next", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
+            total = materialize(carried.union(moved), "moved-bins")
+        left = done.groupBy(F.col("into").alias("bin")).agg(F.max(F.col("shift") + F.col("fill")).alias("fill")).where(F.col("fill") < window - SLACK)
+        left = materialize(left, "open-bins")
+    return total
+
+
 def pack(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Pieces with a `length` of at most `window` -> the same rows with sequence_id and offset."""
     zero = F.lit(0).cast("long")
-    state = items.select("*", zero.alias("sequence_id"), zero.alias("offset"), F.lit(True).alias("open"))
-    schema, parts, number = state.schema, max(1, -(-items.count() // ITEMS)), 0
-    out = None
-    while True:
-        task = F.shiftright("sequence_id", 28).bitwiseAND(F.lit((1 << 28) - 1))
-        dealt = state.repartition(parts, task % parts if number else F.xxhash64(*items.columns))
-        state = materialize(dealt.mapInArrow(_round(number, parts == 1, window), schema), f"packing-round-{number}")
-        closed = state.where("NOT open").drop("open")
-        out = closed if out is None else out.union(closed)
-        if parts == 1:
-            return out
-        state = state.where("open")
-        parts, number = -(-parts // FAN), number + 1
+    state, parts = items.select("*", zero.alias("sequence_id"), zero.alias("offset")), max(1, -(-items.count() // ITEMS))
+    # Rows are dealt in turn, so equal rows don't meet in one partition.
+    state = materialize(state.repartition(parts).mapInArrow(_packed_pieces(window), state.schema), "packed-pieces")
+    fills = state.groupBy(F.col("sequence_id").alias("bin")).agg(F.max(F.col("offset") + F.col("length")).alias("fill"))
+    moved = moves(fills.where(F.col("fill") < window - SLACK), parts, window)
+    if moved is None:
+        return state
+    placed = state.join(moved.withColumnRenamed("bin", "sequence_id"), "sequence_id", "left")
+    offset = F.col("offset") + F.coalesce("shift", F.lit(0))
+    return placed.withColumns({"offset": offset, "sequence_id": F.coalesce("into", "sequence_id")}).select(*state.columns)
 
 
 def packed(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None) -> DataFrame:
