@@ -3,8 +3,9 @@
 A record's slot comes from a hash of its id and text and never changes. Bytes and
 rows are summed per slot, so everything decided outside the cluster's tasks is a
 table of ``SLOTS`` numbers. Version 1 of the map gives each shard an equal run of
-slots; a rebalancing writes a further version in which slots have moved, one at a
-time, from the fullest shards to the emptiest, and records keep their slots.
+slots; a rebalancing reads the newest version and writes a further one in which slots
+have moved, one at a time, from the fullest shards to the emptiest; records keep their
+slots. Records are placed by the newest stored version.
 
 Law: `bytes`. Slots of one hash hold about equal bytes, and whole slots move until
 the shards' sizes differ by less than the smallest useful move.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +76,28 @@ def map_frame(spark: SparkSession, version: int, shard_of: list[int]) -> DataFra
     return spark.range(1).select(F.lit(version).alias("version"), F.posexplode(lookup(shard_of)).alias("slot", "shard"))
 
 
+def newest_map(spark: SparkSession, map_path: str, shards: int, slots: int) -> tuple[int, list[int]]:
+    """The newest stored version and its map; where none is stored, version 1 is written."""
+    try:
+        stored = spark.read.schema("slot int, shard int, version int").parquet(map_path)
+        version = stored.agg(F.max("version")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        version = None
+    if version is None:
+        store_map(spark, map_path, 1, equal_map(shards, slots))
+        return newest_map(spark, map_path, shards, slots)
+    rows = stored.where(F.col("version") == version).orderBy("slot").collect()
+    if [r["slot"] for r in rows] != list(range(slots)) or any(r["shard"] >= shards for r in rows):
+        raise ValueError(f"version {version} of {map_path} is no map of {slots} slots to {shards} shards")
+    return version, [r["shard"] for r in rows]
+
+
+def store_map(spark: SparkSession, map_path: str, version: int, shard_of: list[int]) -> None:
+    map_frame(spark, version, shard_of).drop("version").coalesce(1).write.parquet(f"{map_path}/version={version}")
+
+
 def slot_totals(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
     """Bytes and rows of each slot; at most `slots` rows come to the driver."""
     size, count = [0] * slots, [0] * slots
@@ -97,17 +121,18 @@ def place(rows: DataFrame, shard_of: list[int], count: list[int]) -> DataFrame:
 
 
 def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
-    """Every record with its shard under the newest map; both map versions are stored under map_path."""
+    """Every record with its shard under the newest map under map_path, which is rebalanced first, as a further version, if it can be."""
     spark = docs.sparkSession
     rows = materialize(measured(docs, slots), "measured")
     size, count = slot_totals(rows, slots)
-    first = equal_map(shards, slots)
-    second = rebalanced(first, size, shards)
     path = map_path or new_path(spark, "slot-map")
-    map_frame(spark, 1, first).union(map_frame(spark, 2, second)).coalesce(1).write.partitionBy("version").parquet(path)
-    return place(rows, second, count).select(
+    version, stored = newest_map(spark, path, shards, slots)
+    if (edited := rebalanced(stored, size, shards)) != stored:
+        store_map(spark, path, version + 1, edited)
+        version, stored = newest_map(spark, path, shards, slots)
+    return place(rows, stored, count).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(version).alias("map_version"),
     )
 
 

@@ -7,7 +7,8 @@ sidecar index (archive, offset, length, headers), which is written as Parquet
 beside the archives. A record is then read with one seek.
 
 Tasks write their archive under a temporary name and rename it when it is whole,
-so a repeated task replaces its own output.
+so a repeated task replaces its own output. Reading back checks every payload against its
+digest and every revisit against a response of that page and digest.
 
 Defined results: a null html is an empty payload; a null url gives no
 WARC-Target-URI; of payloads of at least ``MIN_BYTES`` bytes, the page with the
@@ -23,6 +24,8 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyarrow import fs
@@ -71,20 +74,22 @@ def typed(pages: DataFrame) -> DataFrame:
 def record(rows: DataFrame) -> DataFrame:
     """The text of each page's WARC record, without its last line end."""
     again = F.col("refers_to").isNotNull()
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
+    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.url_encode(c.cast("string")), F.lit("")), F.lit(">"))
+    own = F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value)
     length = F.lit(len(HTTP_HEAD)) + F.when(again, 0).otherwise(F.col("size"))
     head = F.concat_ws(
         "\r\n",
         F.lit("WARC/1.1"),
         field("WARC-Type", F.when(again, "revisit").otherwise("response")),
-        field("WARC-Record-ID", urn(F.col("page_id"))),
-        F.lit("WARC-Date: 1970-01-01T00:00:00Z"),
+        field("WARC-Record-ID", own),
+        F.lit(f"WARC-Date: {datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}"),
+        field("X-Page", urn(F.col("page_id"))),
         field("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]+", " ")),
         field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         field("X-Payload-Length", F.col("size").cast("string")),
         F.when(again, F.lit(f"WARC-Profile: {PROFILE}")),
-        F.when(again, field("WARC-Refers-To", urn(F.col("refers_to")))),
+        F.when(again, field("X-Refers-To-Page", urn(F.col("refers_to")))),
         F.lit("Content-Type: application/http; msgtype=response"),
         field("Content-Length", length.cast("string")),
     )
@@ -199,29 +204,41 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha256:")
             if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
                 raise ValueError(f"{archive} at {offset}: the payload does not match its digest")
-            number = lambda urn: int(x) if (x := urn.removeprefix("<urn:page:").rstrip(">")) else None
+            page = lambda urn: unquote_plus(urn.removeprefix("<urn:page:").rstrip(">")) or None
             size = len(payload) if kind == "response" else int(fields["x-payload-length"])
-            out.append((number(fields["warc-record-id"]), size, digest, kind, number(fields["warc-refers-to"]) if kind == "revisit" else None))
+            out.append((page(fields["x-page"]), size, digest, kind, page(fields["x-refers-to-page"]) if kind == "revisit" else None))
         cols = list(zip(*out, strict=True)) or [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
             names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
         )
 
 
-def read_records(index: DataFrame) -> DataFrame:
+def read_records(index: DataFrame, page_type: str = "bigint") -> DataFrame:
     """Every record that the index names, read by its offset and checked against its digest."""
-    return index.select("archive", "offset", "length").mapInArrow(
-        _read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+    read = index.select("archive", "offset", "length").mapInArrow(
+        _read, "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string"
     )
+    return read.withColumns({c: F.col(c).cast(page_type) for c in ("page_id", "refers_to")})
+
+
+def broken_references(rows: DataFrame) -> DataFrame:
+    """(refers_to, payload_digest) of revisits whose response is not there or has another payload."""
+    again = rows.where("record_type = 'revisit'").select("refers_to", "payload_digest").distinct()
+    there = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest")
+    return again.join(there, ["refers_to", "payload_digest"], "left_anti")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
+    """The pages' records, as they are read back from normalised archives; every revisit's response has been found."""
     spark = pages.sparkSession
     source, target = new_path(spark, "warc-monolithic"), new_path(spark, "warc")
     write_monolithic(pages, source)
-    return read_records(normalise(spark, source, target))
+    rows = materialize(read_records(normalise(spark, source, target), pages.schema["page_id"].dataType.simpleString()), "warc-records")
+    if broken := broken_references(rows).first():
+        raise ValueError(f"no response of page {broken['refers_to']} has the payload {broken['payload_digest']}")
+    return rows
 
 
 def op6_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
