@@ -1,14 +1,16 @@
 """Personal data, also in disguise, by offset-preserving deobfuscation.
 
-Four transducers run in turn over a text that shows signs of disguise: homoglyphs
-and full-width or invisible characters become ASCII or nothing; spelled digits
-become digits; bracketed and spoken at/dot signs become `@` and `.`. Each rewrites a
-list of spans and carries, for every character it writes, the source characters it
-stands for. Identifiers are then detected in the normalised text and their spans
-mapped back to the source.
-
-The plain patterns also run on the source itself; the spans found there always stay,
-and a disguised span is added where no span of its kind is yet.
+Transducers run in turn over a text that shows signs of disguise: character references,
+homoglyphs and full-width or invisible characters become ASCII or nothing; spelled
+digits become digits; bracketed, spoken and spaced at/dot signs become `@` and `.`, and
+addresses that are spelled out letter by letter close up. Each rewrites a list of spans
+and carries, for every character it writes, the source characters it stands for.
+Identifiers are then detected in the normalised text and their spans mapped back to the
+source.
+
+The plain patterns also run on the source itself; the spans found there always stay. A
+disguised span is added beside them if it overlaps none of its kind or is wider than all
+that it overlaps.
 
 Work is linear in the text: e-mail addresses are found from their `@`, and the
 number patterns start only at the first digit of a run.
@@ -23,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,11 +69,22 @@ DIGIT_RUN = re.compile(rf"(?<!\w)(?:(?:{_plus})[\s,-]{{1,3}})?(?:{_word})(?:[\s,
 DIGIT_PART = re.compile(rf"{_word}|{_signs}|[0-9]+", re.I)
 _at, _dot = "|".join(AT_WORDS), "|".join(DOT_WORDS)
 BRACKETED = re.compile(rf"(?<!\s)\s*+(?:\[\s*(?:(?P<a>@|{_at})|(?P<d>\.|{_dot}))\s*\]|\(\s*(?:(?P<b>@|{_at})|(?P<e>\.|{_dot}))\s*\)|\{{\s*(?:(?P<c>@|{_at})|(?P<f>\.|{_dot}))\s*\}})\s*", re.I)
-SPOKEN_ADDRESS = re.compile(rf"(?<![\w.%+-])[a-z0-9](?:[a-z0-9_%+-]|\.(?=[a-z0-9]))*(?:\s(?:{_dot})\s[a-z0-9_%+-]+)*\s(?P<at>{_at})\s(?:[a-z0-9-]+\s(?:{_dot})\s)+[a-z]{{2,}}(?!\w)", re.I)
+SPOKEN_ADDRESS = re.compile(rf"(?<![\w.%+-])(?P<local>[a-z0-9](?:[a-z0-9_%+-]|\.(?=[a-z0-9]))*(?:\s(?:{_dot})\s[a-z0-9_%+-]+)*)\s(?P<at>{_at})\s(?P<domain>(?:[a-z0-9-]+(?:\s(?:{_dot})\s|\.))+[a-z]{{2,}})(?!\w)", re.I)
+# Words before a spoken `at` and a plain domain that are no mailbox.
+NO_MAILBOX = frozenset("look looked see visit visited found find us me them it available online is was are be read sold site page shop here there live meet met hosted published".split())
+REFERENCE = re.compile(r"&#(?P<n>[0-9]{2,3});|&#x(?P<x>[0-7][0-9a-f]);|&(?P<w>commat|period|lowbar|plus|hyphen);|(?<=\w)%(?P<q>40|2e)(?=\w)", re.I)
+# Named character references.
+NAMED = {"commat": "@", "period": ".", "lowbar": "_", "plus": "+", "hyphen": "-"}
+SPACED_ADDRESS = re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}\s?@\s?[A-Za-z0-9-]+(?:\s\.\s[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)*?(?:\s\.\s|\.)[A-Za-z]{2,}(?!\w)", re.A)
+SPACED_SIGN = re.compile(r"\s?@\s?|\s\.\s")
+LETTERED = re.compile(r"(?<!\S)(?:[A-Za-z0-9._%+-]\s){2,}@(?:(?:\s[A-Za-z0-9.-](?!\S))+|\s?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
+SPACE = re.compile(r"\s")
+SPOKEN_IP = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:(?:\s(?:{_dot})\s|\s\.\s)[0-9]{{1,3}}){{3}}(?![\w.])", re.I)
+IP_SIGN = re.compile(rf"\s(?:{_dot}|\.)\s", re.I)
 SPOKEN_DOT = re.compile(rf"\s(?:{_dot})\s", re.I)
 SPACED_DOMAIN = re.compile(rf"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:\s(?:{_dot})\s[A-Za-z0-9-]+)+", re.I)
 BRACKETS = re.compile(rf"[\[({{]\s*(?:@|\.|{_at}|{_dot})\s*[\])}}]", re.I)
-SPOKEN_GATE = re.compile(rf"\s(?:{_dot})\s", re.I)
+SPOKEN_GATE = re.compile(rf"\s(?:{_dot})\s|\s(?:{_at})\s[a-z0-9-]+\.[a-z]|\s@|@\s|[0-9]\s\.\s[0-9]", re.I)
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -151,15 +164,27 @@ def spoken_digits(text: str) -> list[tuple[int, int, str]]:
 
 
 def signs(mapped: Mapped) -> None:
-    """At and dot signs in brackets or spoken."""
+    """At and dot signs in brackets, spoken or spaced, and addresses spelled letter by letter."""
     mapped.rewrite([(m.start(), m.end(), "@" if m["a"] or m["b"] or m["c"] else ".") for m in BRACKETED.finditer(mapped.text) if m.start() and m.end() < len(mapped.text)])
     if SPOKEN_GATE.search(mapped.text):
         edits = []
         for m in SPOKEN_ADDRESS.finditer(mapped.text):
+            if m["local"].lower() in NO_MAILBOX and not SPOKEN_DOT.search(m["domain"]):
+                continue
             dots = [(d.start(), d.end(), ".") for d in SPOKEN_DOT.finditer(mapped.text, *m.span())]
             edits += sorted([*dots, (m.start("at") - 1, m.end("at") + 1, "@")])
         mapped.rewrite(edits)
-        mapped.rewrite([(d.start(), d.end(), ".") for m in SPACED_DOMAIN.finditer(mapped.text) for d in SPOKEN_DOT.finditer(mapped.text, *m.span())])
+        within = lambda whole, part, new: [(d.start(), d.end(), new(d[0])) for m in whole.finditer(mapped.text) for d in part.finditer(mapped.text, *m.span())]
+        mapped.rewrite(within(LETTERED, SPACE, lambda _: ""))
+        mapped.rewrite(within(SPACED_ADDRESS, SPACED_SIGN, str.strip))
+        mapped.rewrite(within(SPACED_DOMAIN, SPOKEN_DOT, lambda _: "."))
+        mapped.rewrite(within(SPOKEN_IP, IP_SIGN, lambda _: "."))
+
+
+def referenced(text: str) -> list[tuple[int, int, str]]:
+    """Edits that turn character references of printable ASCII signs into them."""
+    found = ((m, NAMED[m["w"].lower()] if m["w"] else chr(int(m["n"])) if m["n"] else chr(int(m["x"] or m["q"], 16))) for m in REFERENCE.finditer(text))
+    return [(m.start(), m.end(), c) for m, c in found if "!" <= c <= "~"]
 
 
 def disguised(text: str) -> bool:
@@ -167,18 +192,24 @@ def disguised(text: str) -> bool:
         not text.isascii() and ODD.search(text)
         or BRACKETS.search(text)
         or SPOKEN_GATE.search(text)
+        or ("&" in text or "%" in text) and REFERENCE.search(text)
         or spoken_digits(text)
     )
 
 
 def normalised(text: str) -> Mapped:
     mapped = Mapped(text)
-    mapped.rewrite([(m.start(), m.end(), plain_letter(m[0])) for m in ODD.finditer(text)])
+    mapped.rewrite(referenced(text))
+    mapped.rewrite([(m.start(), m.end(), plain_letter(m[0])) for m in ODD.finditer(mapped.text)])
     mapped.rewrite(spoken_digits(mapped.text))
     signs(mapped)
     return mapped
 
 
+def _wider(a: int, b: int, overlapped: list[tuple[int, int]]) -> bool:
+    return not overlapped or (a <= overlapped[0][0] and overlapped[-1][1] <= b and overlapped != [(a, b)])
+
+
 def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
     """(spans of the plain patterns, all spans) by kind."""
     base = detect(text)
@@ -186,12 +217,9 @@ def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
         return base, base
     mapped, every = normalised(text), {}
     for kind, spans in detect(mapped.text).items():
-        kept, begins = list(base[kind]), [a for a, _ in base[kind]]
-        for a, b in (mapped.source(*s) for s in spans):
-            before = bisect_left(begins, b)
-            if not before or base[kind][before - 1][1] <= a:
-                kept.append((a, b))
-        every[kind] = sorted(kept)
+        plain, begins, ends = base[kind], [a for a, _ in base[kind]], [b for _, b in base[kind]]
+        added = {(a, b) for a, b in (mapped.source(*s) for s in spans) if _wider(a, b, plain[bisect_right(ends, a) : bisect_left(begins, b)])}
+        every[kind] = sorted([*plain, *added])
     return base, every
 
 

@@ -4,10 +4,11 @@ Fingerprints within ``RADIUS`` differing bits agree on at least one of
 ``RADIUS + 1`` bit blocks. The upper nodes of the index are such blocks: a node is
 a mask and the pattern its members share under it, factored out once for the whole
 group. A node with more than ``LEAF`` fingerprints is split by the blocks of its
-remaining bits, so leaves stay bounded whatever the data. Inside a leaf the
-fingerprints stand in Gray order, runs of them are folded into lower nodes with
-their own shared mask and pattern, and a search adds up the differences to a
-node's pattern and leaves out the whole run once they pass ``RADIUS``.
+remaining bits, so leaves stay bounded whatever the data. Inside a node the
+fingerprints stand in the order of their Gray rank; runs of ``FAN`` are folded into a
+node with the bits that they share, runs of such nodes into the next, and bits that a
+node above already has are left out below. A search adds up the differences to the
+patterns on its way down and leaves out the whole run once they pass ``RADIUS``.
 
 A leaf returns the edges of a spanning forest and never all pairs; the components
 of these edges are the components of all links.
@@ -100,39 +101,39 @@ def children(mask: int) -> list[int]:
 
 
 def fold(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Levels of lower nodes over Gray-ordered codes, widest last: (masks, patterns)."""
-    levels = []
-    ones, zeros = codes, ~codes
+    """Levels of nodes over Gray-ordered codes, the codes themselves first: (masks, patterns).
+
+    A node's mask are the bits that its codes share and no node above it has already; the
+    masks on a way down are apart, so differences to their patterns add up.
+    """
+    shared, ones = [np.full(len(codes), 2**64 - 1, dtype=np.uint64)], codes
+    zeros, patterns = ~codes, [codes]
     while len(ones) > FAN:
         starts = np.arange(0, len(ones), FAN)
         ones, zeros = np.bitwise_and.reduceat(ones, starts), np.bitwise_and.reduceat(zeros, starts)
-        levels.append((ones | zeros, ones))
-    return levels
+        shared.append(ones | zeros)
+        patterns.append(ones)
+    own = [mask & ~np.repeat(above, FAN)[: len(mask)] for mask, above in zip(shared, shared[1:], strict=False)]
+    return list(zip([*own, shared[-1]], patterns, strict=True))
 
 
 def links(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of codes within RADIUS differing bits."""
-    levels = fold(codes)
-    n = len(codes)
+    """Index pairs i < j of codes within RADIUS differing bits; the codes stand in Gray order."""
+    levels, n = fold(codes), len(codes)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for begin in range(0, n, 256):
-        query = np.arange(begin, min(n, begin + 256))
-        if levels:
-            masks, patterns = levels[-1]
-            near = np.bitwise_count((codes[query, None] ^ patterns) & masks) <= RADIUS
-        else:
-            near = np.bitwise_count(codes[query, None] ^ codes) <= RADIUS
-        at, node = near.nonzero()
-        at = query[at]
-        for depth in range(len(levels) - 1, -1, -1):
-            below = len(levels[depth - 1][1]) if depth else n
-            at, node = np.repeat(at, FAN), (node[:, None] * FAN + np.arange(FAN)).ravel()
-            inside = node < below
-            at, node = at[inside], node[inside]
-            masks, patterns = levels[depth - 1] if depth else (np.uint64(2**64 - 1), codes)
-            apart = codes[at] ^ patterns[node]
-            near = np.bitwise_count(apart & (masks[node] if depth else masks)) <= RADIUS
-            at, node = at[near], node[near]
+        at = np.arange(begin, min(n, begin + 256))
+        top, at = len(levels) - 1, np.repeat(at, len(levels[-1][0]))
+        node, apart = np.arange(len(at)) % len(levels[-1][0]), np.zeros(len(at), dtype=np.uint8)
+        for depth in range(top, -1, -1):
+            masks, patterns = levels[depth]
+            if depth < top:
+                at, apart, node = np.repeat(at, FAN), np.repeat(apart, FAN), (node[:, None] * FAN + np.arange(FAN)).ravel()
+                inside = node < len(masks)
+                at, apart, node = at[inside], apart[inside], node[inside]
+            apart = apart + np.bitwise_count((codes[at] ^ patterns[node]) & masks[node])
+            near = apart <= RADIUS
+            at, apart, node = at[near], apart[near], node[near]
         later = at < node
         found.append((at[later], node[later]))
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
