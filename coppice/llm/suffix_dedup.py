@@ -11,7 +11,7 @@ reach). Neighbours in this order have the longest common parts, as in any suffix
 family whose k-th level holds 2^k batches or none. A batch is sorted and merge-scanned
 with every level: each entry is held against its neighbours, and what they have in common
 is noted. Levels of equal rank become one of the next rank in the same scan, as a binary
-counter carries.
+counter carries. Shards are ranges of the order.
 
 **Matches.** A place with the same reach as another is settled: all strings in it repeat.
 Places that have ``DEPTH`` bytes in common with others and a reach of their own are
@@ -93,6 +93,21 @@ def _signed(values: array | np.ndarray) -> pa.Array:
     return pa.array(np.frombuffer(values, dtype=np.int64) if isinstance(values, array) else values.view(np.int64))
 
 
+def thinned(places: np.ndarray, reaches: np.ndarray) -> np.ndarray:
+    """Which anchors to index: of neighbours with equal reaches (in periodic text) the first, the last and one in MATCH bytes.
+
+    Those repeat each other, and the reaches of the others lie in theirs.
+    """
+    keep = np.ones(len(places), dtype=bool)
+    inner = (reaches[1:-1] == reaches[:-2]) & (reaches[1:-1] == reaches[2:])
+    at = 0
+    for k in (inner.nonzero()[0] + 1).tolist():
+        if keep[k - 1]:
+            at = places[k - 1]
+        keep[k] = places[k + 1] - at > MATCH
+    return keep
+
+
 def entries(rows: DataFrame) -> DataFrame:
     """An entry of the suffix array for every anchor of every text; copies within a task are passed over."""
 
@@ -116,10 +131,12 @@ def entries(rows: DataFrame) -> DataFrame:
                     seen.add(text_hash)
                 data = batch.column(2)[row].as_py()
                 found = anchors(data)
+                reaches = np.array([_h64(data[max(0, a - LEFT) : a + MATCH], min(a, LEFT)) for a in found.tolist()], dtype=np.uint64)
+                if not (keep := thinned(found, reaches)).all():
+                    found, reaches = found[keep], reaches[keep]
                 leads.append(np.ndarray((size - 7,), dtype=">u8", buffer=data, strides=(1,))[found].astype(np.uint64))
-                for a in found.tolist():
-                    left = min(a, LEFT)
-                    hashes.extend((_h64(data[a : a + SHORT]), _h64(data[a : a + DEPTH]), _h64(data[a - left : a + MATCH], left)))
+                for a, reach in zip(found.tolist(), reaches.tolist(), strict=True):
+                    hashes.extend((_h64(data[a : a + SHORT]), _h64(data[a : a + DEPTH]), reach))
                 at.append(row)
                 places.append(found)
                 if len(hashes) >= 3 * ROWS:
@@ -135,17 +152,20 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Scan of sorted entries: what each has in common with its neighbours, and whether it is the first of its reach.
 
     common: 0 nothing, 1 SHORT bytes, 2 DEPTH bytes, 3 the whole reach. An entry of one
-    place that stands there twice counts once.
+    place that stands there twice counts once. edge: first or last of the shard, with a
+    neighbour in another one.
     """
     names = [*ORDER, "n_bytes", "kept"]
 
-    def out(rows: np.ndarray, common: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
-        some = (rows[:, 7] != 0) | (common > 0)
+    def out(rows: np.ndarray, common: np.ndarray, first: np.ndarray, begins: bool = False, ends_: bool = False) -> pa.RecordBatch:
+        edge = np.zeros(len(rows), dtype=bool)
+        edge[: int(begins)] = edge[len(rows) - int(ends_) :] = True
+        some = (rows[:, 7] != 0) | (common > 0) | edge
         rows, kinds = rows[some], {"fp": np.int32, "at": np.int32, "n_bytes": np.int32, "kept": np.bool_}
         columns = [pa.array(rows[:, k].astype(kinds.get(c, np.int64))) for k, c in enumerate(names)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(common[some].astype(np.int32)), pa.array(first[some])], names=[*names, "common", "first"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(common[some].astype(np.int32)), pa.array(first[some]), pa.array(edge[some])], names=[*names, "common", "first", "edge"])
 
-    held, over = np.empty((0, len(names)), dtype=np.int64), 0  # the last rows, of which the first `over` are out already
+    held, over, begins = np.empty((0, len(names)), dtype=np.int64), 0, True  # the last rows, of which the first `over` are out already
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -156,17 +176,27 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = same[:, 0] & same[:, 1]
         behind = np.r_[0, part.astype(np.int64) + (part & same[:, 2]) + (part & same[:, 2] & same[:, 3])]
         if len(rows) - over > 1:
-            yield out(rows[over:-1], np.maximum(behind[:-1], behind[1:])[over:], (behind < 3)[over:-1])
+            yield out(rows[over:-1], np.maximum(behind[:-1], behind[1:])[over:], (behind < 3)[over:-1], begins)
+            begins = False
         held, over = (rows[-2:], 1) if len(rows) > 1 else (rows, 0)
         last = behind[-1:]
     if len(held) > over:
-        yield out(held[over:], last, last < 3)
+        yield out(held[over:], last, last < 3, begins, True)
 
 
-def scanned(rows: DataFrame) -> DataFrame:
-    """Entries in the order of their suffixes within shards, each held against its neighbours."""
-    ordered = rows.repartition("lead", "short").sortWithinPartitions(*ORDER)
-    return ordered.mapInArrow(_neighbours, "lead bigint, short bigint, fp int, reach bigint, text_hash bigint, at int, n_bytes int, kept boolean, common int, first boolean")
+SCANNED = "lead bigint, short bigint, fp int, reach bigint, text_hash bigint, at int, n_bytes int, kept boolean, common int, first boolean, edge boolean"
+
+
+def scanned(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """A table of the entries in the order of their suffixes, and those of them that have something in common with a neighbour.
+
+    Shards are ranges of the order, so that the entries of a hot suffix have many; what
+    stands on both sides of a shard's end, two entries a shard, is scanned by itself.
+    """
+    done = materialize(rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(_neighbours, SCANNED), name)
+    edges = done.where("edge").select(*ORDER, "n_bytes", F.lit(False).alias("kept"))
+    met = edges.repartition(1).sortWithinPartitions(*ORDER).mapInArrow(_neighbours, SCANNED)
+    return done, done.where("common > 0").union(met.where("common > 0"))
 
 
 class SuffixFamily:
@@ -183,10 +213,10 @@ class SuffixFamily:
         for k, level in enumerate(self.levels):
             if level is not None:
                 rows = rows.unionByName(level.withColumn("kept", F.lit(k < rank)))
-        done = materialize(scanned(rows), "suffix-array")
+        done, found = scanned(rows, "suffix-array")
         self.tables.append(done)
         self.levels[: rank + 1] = [None] * rank + [done.where("kept").select(*ORDER, "n_bytes")]
-        return done.where("common > 0").select(*ORDER, "n_bytes")
+        return found.select(*ORDER, "n_bytes")
 
     def drop(self) -> None:
         for one in self.tables:
@@ -298,10 +328,10 @@ def _beside_text(rows: DataFrame, places: DataFrame, start: Callable[[], Callabl
                     add(data, place)
                     columns[0] += [text_hash] * (len(columns[2]) - had)
                     columns[1] += [size] * (len(columns[2]) - had)
-                if len(columns[0]) >= ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=names)
-                    for c in columns:
-                        c.clear()
+                    if len(columns[0]) >= ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=names)
+                        for c in columns:
+                            c.clear()
             if columns[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=names)
 
@@ -364,7 +394,7 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     for k in range(batches):
         more = family.add(every.where(F.pmod("text_hash", F.lit(batches)) == k))
         found = more if found is None else found.union(more)
-    found = materialize(scanned(found.withColumn("kept", F.lit(False))), "common-suffixes")
+    found = materialize(scanned(found.withColumn("kept", F.lit(False)), "common-suffixes")[1], "found-suffixes")
     drop(every)
     family.drop()
     release(docs.sparkSession)

@@ -68,3 +68,13 @@ def test_every_common_run_of_300_bytes_is_flagged(spark):
     rows = [(k, noise(rng.randint(20, 400)) + run + noise(rng.randint(20, 400))) for k in range(2)] + [(k, noise(900)) for k in range(2, 30)]
     got = {r["doc_id"]: r["repeats"] for r in suffix_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: k < 2 for k in got}
+
+
+def test_periodic_text_is_thinned_and_stays_exact(spark):
+    long = "Is onhe. " * 600
+    texts = [long, noise(70) + long[:2100] + noise(90), noise(10) + long[:450], long[3:420], noise(800), "ab" * 2000 + noise(500) + "ab" * 230]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffix_dedup.removed(docs, 2).collect()
+    want = dict(enumerate(brute([t.encode() for t in texts])))
+    assert {r["doc_id"]: (r["n_bytes"], bytes(r["kept"]), r["n_removed"], r["n_spans"]) for r in got} == want
+    assert suffix_dedup.entries(suffix_dedup.texts(docs.where("doc_id = 0"))).count() < 60
