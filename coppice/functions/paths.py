@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 # Suffixes of a module path, in the order in which they are tried, and the family that shares one key.
 MODULE_SUFFIXES = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "rs", "py", "css", "svelte", "vue", "astro")
 SCRIPT_FAMILY = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "svelte", "vue", "astro")
-# Path parts that mark each artifact class; the classes are tried in this order.
+# Directories and file-name patterns that mark each artifact class; the classes are tried in this order.
 ARTIFACT_PARTS = {
-    "fixture": ("fixtures", "fixture", "__fixtures__", "testdata", "__snapshots__"),
-    "vendored": ("vendor", "vendored", "third_party", "node_modules", "external"),
-    "generated": ("generated", "__generated__", "gen", "dist", "build"),
-    "template": ("templates", "template", "scaffold"),
+    "fixture": (("fixtures", "fixture", "testdata"), r"__fixtures__"),
+    "vendored": (("vendor", "vendored", "node_modules", "third_party", "thirdparty"), r"(\.min\.(js|mjs|cjs|css)|\.bundle\.js)$"),
+    "generated": (("dist", "public_dist", "__generated__"), r"(\.lock|\.map)$|-lock\.[^/]*$"),
+    "template": ((), r"(^|/)(example|sample|template)\.[^/]*$|\.(example|sample|template)[^/]*$"),
 }
+# Endings of generated sources.
+GENERATED = r"(\.generated\.[a-z]+|\.gen\.[a-z]+|\.pb\.go|_pb2\.py|\.g\.dart|\.freezed\.dart)$"
+MINIFIED_LINE = 5000
 
 
 def basename(path: Column) -> Column:
@@ -42,29 +45,68 @@ def module_key(path: Column) -> Column:
 
 
 def artifact_class(path: Column, content: Column | None = None) -> Column:
-    """fixture, vendored, generated, template or product; a line of over 5000 bytes among the first ten means generated."""
-    parts = F.split(F.lower(path), "/")
+    """fixture, vendored, generated, template or product; a line of over 5000 bytes among the first ten means vendored."""
+    lowered = F.regexp_replace(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), r"^(\./)+", "")
+    parts = F.slice(F.split(lowered, "/"), 1, F.greatest(F.size(F.split(lowered, "/")) - 1, F.lit(0)))
     out = None
-    for name, marks in ARTIFACT_PARTS.items():
-        hit = F.arrays_overlap(parts, F.array(*map(F.lit, marks)))
+    for name, (marks, pattern) in ARTIFACT_PARTS.items():
+        hit = lowered.rlike(pattern)
+        if marks:
+            hit = hit | F.arrays_overlap(parts, F.array(*map(F.lit, marks)))
         if name == "generated":
-            hit = hit | F.lower(path).rlike(r"(\.min\.(js|css)|\.pb\.go|_pb2\.py|\.generated\.[a-z]+)$")
+            hit = hit | lowered.rlike(GENERATED)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     if content is not None:
-        long_line = F.exists(F.slice(F.split(content, "\n"), 1, 10), lambda x: F.octet_length(x) > 5000)
-        out = out.when(F.coalesce(long_line, F.lit(False)), "generated")
+        long_line = F.exists(F.slice(F.split(content, "\n"), 1, 10), lambda x: F.octet_length(x) > MINIFIED_LINE)
+        out = out.when(F.coalesce(long_line, F.lit(False)), "vendored")
     return out.otherwise("product")
 
 
+# Directories and file names of tests.
+TEST_PLACES = r"(^|/)(tests?|spec)/|__tests__|/fixtures/|^fixtures/|/mocks/|__mocks__|test-utils|/testing/"
+TEST_NAMES = r"_test\.|\.test\.|_spec\.|\.spec\.|_tests\.|^test_|^spec_|^tests\.|^conftest\.py$|setup\.tsx?$"
+
+
 def is_test_path(path: Column) -> Column:
     """A directory or file name that marks tests."""
-    lowered = F.lower(path)
-    return lowered.rlike(r"(^|/)(tests?|__tests__|spec|e2e)/") | basename(lowered).rlike(r"(^test_|_test\.|\.test\.|\.spec\.|^conftest\.py$)")
+    lowered = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    return lowered.rlike(TEST_PLACES) | basename(lowered).rlike(TEST_NAMES)
 
 
 def is_dev_path(path: Column) -> Column:
-    """Tests and what stands beside them: stories, mocks, benches, examples."""
-    return is_test_path(path) | F.lower(path).rlike(r"(^|/)(stories|mocks?|__mocks__|bench(es)?|examples?)/|\.stories\.")
+    """Tests' directories, stories and fixtures."""
+    return path.rlike(r"__tests__|stories|story\.|fixture") | is_test_path(path)
+
+
+def is_non_production(path: Column) -> Column:
+    """Paths that reports leave out: tests, and anything that isn't product."""
+    return is_test_path(path) | (artifact_class(path) != "product")
+
+
+# Why an export of a path is no candidate for dead code; the first that holds.
+DEAD_SKIPS = {
+    "example": r"/(examples?|samples?|demos?|playground|showcase)/|testfixtures",
+    "story_or_test": r"stories|__tests__|__mocks__|__fixtures__|/(cypress|e2e|playwright|tests?|spec)/",
+    "declarations": r"\.d\.ts$",
+    "generated": r"\.(g|freezed|gr|pb|pbjson|pbenum|pbserver|config)\.dart$|generated_plugin_registrant\.dart$",
+    "config": r"\.config\.",
+    "helper": r"(^|/)(scripts?|tools|docs)/",
+    "framework_entry": r"\+(page|layout|server|error)\.|/(page|layout|route)\.tsx?|/(error|loading|not-found)\.tsx|hooks\.(client|server)\.|/hooks\.",
+    "runtime": r"(/\.svelte-kit/|/runtime/|/app/router/|/app/routes/).*\.(ts|tsx|js|jsx|mjs|cjs)$|jsx[-_](dev-)?runtime",
+    "library_surface": r"/(packages|libs|library)/.*/(index\.(ts|tsx|js|mjs|cjs)|mod\.(ts|js))$",
+    "entry": r"(^|/)(lib|main)\.rs$",
+    "build_rules": r"(^|/)makefile$|\.(mk|make)$",
+    "public_language": r"\.go$",
+}
+
+
+def dead_skip(path: Column, language: Column) -> Column:
+    """Why exports of a path are never candidates for dead code; null if they are."""
+    lowered = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    out = F.when(artifact_class(path) != "product", artifact_class(path)).when(is_test_path(path), "test").when(language == "go", "public_language")
+    for name, pattern in DEAD_SKIPS.items():
+        out = out.when(lowered.rlike(pattern), name)
+    return out
 
 
 def file_kind(path: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coppice.functions.names import command_key, event_key
+from coppice.functions.paths import is_test_path
 
 
 def command_bridges(calls: DataFrame, handlers: DataFrame) -> DataFrame:
@@ -64,14 +65,78 @@ def emits_before_listens(emits: DataFrame, listens: DataFrame) -> DataFrame:
 
 
 def wildcard_events(emits: DataFrame, listens: DataFrame) -> DataFrame:
-    """Emitted and listened-to names that are equal part by part once digits are taken for a wildcard."""
-    key = lambda c: F.split(F.regexp_replace(event_key(c), "[0-9]+", "*"), r"\*")
-    side = lambda rows, name: rows.select(key(F.col("name")).alias("parts")).groupBy("parts").agg(F.count("*").alias(name))
-    return side(emits, "emits").join(side(listens, "listens"), "parts").select(F.array_join("parts", "*").alias("pattern"), "emits", "listens")
+    """Event names with `*` on both sides that are one pattern: equal parts between the stars, or equal names.
+
+    Equality of the split parts makes it an equi-join; the smallest spelling stands for a pattern.
+    """
+    key = event_key(F.col("name"))
+    side = lambda rows, name: rows.where(F.contains("name", F.lit("*"))).select(key.alias("spelled")).groupBy(F.split("spelled", r"\*").alias("parts")).agg(F.count("*").alias(name), F.min("spelled").alias(f"{name}_as"))
+    joined = side(emits, "emits").join(side(listens, "listens"), "parts")
+    return joined.select(F.least("emits_as", "listens_as").alias("pattern"), "emits", "listens")
+
+
+def matching_events(emits: DataFrame, listens: DataFrame) -> DataFrame:
+    """Plain emitted names that a listened-to pattern of one star matches: prefix and suffix around it.
+
+    A name meets patterns through its prefixes only, by equality, so no pair is tried in vain.
+    """
+    plain = emits.where(~F.contains("name", F.lit("*"))).groupBy(event_key(F.col("name")).alias("event")).agg(F.count("*").alias("emits"))
+    patterns = listens.where(F.regexp_count("name", F.lit(r"\*")) == 1).groupBy(event_key(F.col("name")).alias("pattern")).agg(F.count("*").alias("listens"))
+    patterns = patterns.select("pattern", "listens", F.substring_index("pattern", "*", 1).alias("head"), F.substring_index("pattern", "*", -1).alias("tail"))
+    cut = F.explode(F.sequence(F.lit(0), F.length("event")))
+    heads = plain.select("event", "emits", cut.alias("n")).withColumn("head", F.substring("event", F.lit(1), F.col("n")))
+    rows = heads.join(patterns, "head").where(F.endswith("event", F.col("tail")) & (F.length("event") >= F.length("head") + F.length("tail")))
+    return rows.select("pattern", "event", "emits", "listens")
+
+
+def handler_chains(calls: DataFrame, handlers: DataFrame, emits: DataFrame) -> DataFrame:
+    """Per command: its calls, handlers, the handler's file and the number of events which that file emits."""
+    called = calls.where(~F.contains("name", F.lit("."))).groupBy(command_key(F.col("name")).alias("command")).agg(F.count("*").alias("calls"))
+    handled = handlers.select(command_key(F.col("name")).alias("command"), "path").distinct()
+    emitted = emits.groupBy("path").agg(F.count_distinct(event_key(F.col("name"))).alias("events"))
+    rows = handled.join(emitted, "path", "left").groupBy("command").agg(
+        F.count("*").alias("handlers"), F.min("path").alias("handler_path"), F.coalesce(F.sum("events"), F.lit(0)).cast("long").alias("emitted_events")
+    )
+    joined = called.join(rows, "command", "full_outer").na.fill(0, ["calls", "handlers", "emitted_events"])
+    status = F.when(F.col("handlers") == 0, "missing").when(F.col("calls") == 0, "unused").otherwise("ok")
+    return joined.select("command", "calls", "handlers", "handler_path", "emitted_events", status.alias("status"))
+
+
+def command_listing(calls: DataFrame, handlers: DataFrame) -> DataFrame:
+    """Commands with their calling files and handling files, test files counted apart."""
+    row = lambda df, side: df.select(command_key(F.col("name")).alias("command"), "path", F.lit(side).alias("side"), is_test_path(F.col("path")).alias("test"))
+    rows = row(calls, "call").unionByName(row(handlers, "handler")).distinct()
+    n = lambda side, test: F.count(F.when((F.col("side") == side) & (F.col("test") == test), 1))
+    return rows.groupBy("command").agg(n("call", False).alias("calling_files"), n("handler", False).alias("handling_files"), (n("call", True) + n("handler", True)).alias("test_files"))
+
+
+def event_listing(emits: DataFrame, listens: DataFrame) -> DataFrame:
+    """Events with emitting and listening files and whether any listener is awaited."""
+    row = lambda df, side: df.select(event_key(F.col("name")).alias("event"), "path", F.lit(side).alias("side"), "awaited")
+    rows = row(emits, "emit").unionByName(row(listens, "listen"))
+    files = lambda side: F.count_distinct(F.when(F.col("side") == side, F.col("path")))
+    awaited = F.coalesce(F.bool_or(F.when(F.col("side") == "listen", F.col("awaited"))), F.lit(False))
+    return rows.groupBy("event").agg(files("emit").alias("emitting_files"), files("listen").alias("listening_files"), awaited.alias("awaited"))
+
+
+def route_listing(routes: DataFrame) -> DataFrame:
+    """Routes by framework and path with their methods and files."""
+    rows = routes.select("framework", F.upper(F.trim("method")).alias("method"), F.trim("route_path").alias("route_path"), "path")
+    return rows.groupBy("framework", "route_path").agg(F.array_join(F.sort_array(F.collect_set("method")), ",").alias("methods"), F.count_distinct("path").alias("files"))
+
+
+def resolved_constants(names: DataFrame, constants: DataFrame) -> DataFrame:
+    """(path, name, line) uses with constant names replaced by the value that exactly one file exports for them."""
+    known = constants.groupBy(F.col("name").alias("constant")).agg(F.count_distinct("value").alias("n"), F.min("value").alias("value")).where("n = 1").drop("n")
+    return names.join(known, F.col("name") == F.col("constant"), "left").select("path", F.coalesce("value", "name").alias("name"), "line", F.col("value").isNotNull().alias("resolved"))
 
 
 # Which source of an environment variable overrides which; more wins.
-SOURCE_RANK = {"sealed_secret": 90, "k8s": 70, "compose": 50, "dockerfile": 30, "dotenv": 10}
+SOURCE_RANK = {
+    "sealed_secret": 100, "external_secret": 95, "k8s_secret_string_data": 92, "k8s_secret": 90, "k8s_deployment_env": 85, "k8s_deployment_env_from": 82,
+    "k8s_config_map": 80, "sops_file": 78, "helm_values": 65, "docker_compose": 50, "docker_compose_env_file": 45, "dockerfile": 40, "npm_script": 35,
+    "dotenv": 30, "github_actions_secret": 20, "github_actions_env": 15, "tauri_conf": 12, "envrc": 8,
+}
 
 
 def _ranked(declarations: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,22 +37,9 @@ def coverage_gaps(exports: DataFrame, imports: DataFrame, handlers: DataFrame, c
     return row(critical, "handler", "critical").union(row(medium, "export", "medium")).union(row(low, "export", "low"))
 
 
-def _rate(count: Column, loc: Column) -> Column:
-    return F.least(F.lit(1.0), F.when(loc > 0, F.log1p(count) / F.log1p(loc)).otherwise(0.0))
-
-
-def health_score(loc: DataFrame, cycles: DataFrame, dead: DataFrame, duplicates: DataFrame) -> DataFrame:
-    """One row: 100 less weighted rates of cycles (50), dead exports (30) and duplicates (20, in fives) against the lines."""
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    row = loc.agg(F.sum("loc").alias("loc")).crossJoin(one(cycles, "cycles")).crossJoin(one(dead, "dead")).crossJoin(one(duplicates, "duplicates"))
-    lines = F.coalesce("loc", F.lit(0))
-    penalty = 50 * _rate(F.col("cycles"), lines) + 30 * _rate(F.col("dead"), lines) + 20 * _rate(F.floor(F.col("duplicates") / 5), lines)
-    return row.select("loc", "cycles", "dead", "duplicates", F.round(100 - penalty).cast("long").alias("score"))
-
-
 def insights(files: DataFrame, duplicates: DataFrame, cascades: DataFrame, bridges: DataFrame) -> DataFrame:
     """Observations that hold: huge files, many duplicates, many cascades, missing handlers."""
-    kinds = [("huge_files", files.where("loc > 900"), 0), ("many_duplicates", duplicates, 10), ("many_cascades", cascades, 20), ("missing_handlers", bridges.where("status = 'missing'"), 0)]
+    kinds = [("huge_files", files.where("loc > 2000"), 0), ("many_duplicates", duplicates, 10), ("many_cascades", cascades, 20), ("missing_handlers", bridges.where("status = 'missing'"), 0)]
     rows = [df.agg(F.count("*").alias("n")).where(F.col("n") > above).select(F.lit(kind).alias("insight"), "n") for kind, df, above in kinds]
     out = rows[0]
     for more in rows[1:]:

@@ -82,7 +82,7 @@ def symbol_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 # What a symbol's name or place says about its role; the first that holds.
 IDIOMS = {
     "test": ("path", r"(^|/)tests?/"), "style": ("path", r"\.css$"), "constructor": ("name", "^(new|from|into|with|try)_"), "predicate": ("name", "^(is|has|can)_"),
-    "handler": ("name", "(^on_|_handler$)"), "entry": ("name", "^(main|run|serve)$"), "metal": ("name", "(^| )(steel|copper|brass|iron)( |$)"),
+    "handler": ("name", "(^on_|_handler$)"), "entry": ("name", "^(main|run|serve)$"),
 }
 
 
@@ -129,18 +129,21 @@ def occurrence_shape(roles: DataFrame) -> DataFrame:
     return row.withColumn("shape", shape)
 
 
-def bodies(texts: DataFrame, deepest: int = 12, step: int = 4) -> DataFrame:
+def bodies(texts: DataFrame) -> DataFrame:
     """First and last line of every indented definition (def, class): it ends before the next line that is not deeper.
 
-    One window per file gives, for each depth, the next line at or above that depth.
+    The next such line is the least later line at or above that depth: each definition
+    looks along its file's lines once.
     """
-    rows = lines(texts).where(F.trim("text") != "").withColumn("depth", F.least(F.floor(F.length(F.regexp_extract("text", "^( *)", 1)) / step), F.lit(deepest)).cast("int"))
-    ahead = Window.partitionBy("path").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    following = F.array(*[F.min(F.when(F.col("depth") <= d, F.col("line"))).over(ahead) for d in range(deepest + 1)])
-    last = F.max("line").over(Window.partitionBy("path"))
+    found = lines(texts).where(F.trim("text") != "").withColumn("depth", F.length(F.regexp_extract("text", "^([ \\t]*)", 1)))
     name = F.regexp_extract("text", r"^\s*(?:async\s+)?(?:def|class)\s+(\w+)", 1)
-    marked = rows.select("path", name.alias("name"), F.col("line").alias("first_line"), F.coalesce(F.get(following, F.col("depth")) - 1, last).alias("last_line"))
-    return marked.where("name <> ''")
+    rows = found.select("path", "line", "depth", name.alias("name"), F.max("line").over(Window.partitionBy("path")).alias("last"))
+    starts = rows.where("name <> ''").select("path", "name", F.col("line").alias("first_line"), F.col("depth").alias("own"), "last")
+    stops = rows.groupBy("path", "depth").agg(F.sort_array(F.collect_list("line")).alias("at"))
+    hit = starts.join(stops, (starts["path"] == stops["path"]) & (F.col("depth") <= F.col("own")), "left")
+    following = F.array_min(F.filter("at", lambda x: x > F.col("first_line")))
+    grouped = hit.groupBy(starts["path"], "name", "first_line", "last").agg(F.min(following).alias("next"))
+    return grouped.select("path", "name", "first_line", F.coalesce(F.col("next") - 1, "last").alias("last_line"))
 
 
 def entrypoint_drift(declared: DataFrame, detected: DataFrame, files: DataFrame) -> DataFrame:

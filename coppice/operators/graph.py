@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from coppice.functions.paths import dirname, is_non_production, module_key
 from coppice.plans.components import connected_components
 from coppice.plans.storage import materialize
-from coppice.plans.traversal import reach, strongly_connected
+from coppice.plans.traversal import closure, reach, strongly_connected
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -20,18 +21,28 @@ def _seeds(targets: DataFrame) -> DataFrame:
     return targets.select(F.col("path").alias("source"), F.col("path").alias("node"))
 
 
-def impact(edges: DataFrame, targets: DataFrame, max_depth: int = 1_000) -> DataFrame:
+def impact(edges: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Files that depend on each target, with depth and the smallest of the shortest chains."""
     found = reach(reversed_edges(edges), _seeds(targets), max_depth, chains=True).where("depth > 0")
     return found.select(F.col("source").alias("target"), F.col("node").alias("path"), "depth", F.array_join("chain", " <- ").alias("chain"))
 
 
-def impact_counts(edges: DataFrame, targets: DataFrame, max_depth: int = 1_000) -> DataFrame:
+def _counted(pairs: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, node, depth) of dependents -> their numbers for every target."""
+    counted = pairs.groupBy(F.col("source").alias("target")).agg(F.count(F.when(F.col("depth") == 1, 1)).alias("direct"), F.count("*").alias("dependents"), F.max("depth").alias("deepest"))
+    rows = targets.select(F.col("path").alias("target")).distinct().join(counted, "target", "left")
+    return rows.select("target", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("direct", "dependents", "deepest")))
+
+
+def impact_counts(edges: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Direct and transitive dependents of every target, and the greatest depth."""
-    found = reach(reversed_edges(edges), _seeds(targets), max_depth)
-    return found.groupBy(F.col("source").alias("target")).agg(
-        F.count(F.when(F.col("depth") == 1, 1)).alias("direct"), F.count(F.when(F.col("depth") > 0, 1)).alias("dependents"), F.max("depth").cast("long").alias("deepest")
-    )
+    return _counted(reach(reversed_edges(edges), _seeds(targets), max_depth).where("depth > 0 AND source <> node"), targets)
+
+
+def all_impact_counts(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """As impact_counts() for every file, by ways that double in length."""
+    ways = closure(reversed_edges(edges)).select(F.col("src").alias("source"), F.col("dst").alias("node"), "depth")
+    return _counted(ways, files)
 
 
 def dependencies(edges: DataFrame, targets: DataFrame, files: DataFrame, max_depth: int = 2) -> DataFrame:
@@ -92,35 +103,86 @@ def components(files: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.groupBy("component").agg(F.count("*").alias("files"), F.sum("loc").alias("loc"))
 
 
-#: Edges that don't make a cycle at load time.
-LAZY = ("lazy_import", "type_import", "mod")
+#: Edges that don't make a cycle at load time, and those that make none at all.
+LAZY, NEVER = ("lazy_import", "type_import", "mod"), ("type_import", "mod")
+
+
+def keyed_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges between module keys, without those that only the keys make loops, and (key, path): the smallest path of each key."""
+    key = lambda c: module_key(F.col(c))
+    rows = edges.select("src", "dst", key("src").alias("s"), key("dst").alias("d"))
+    paths = rows.select(F.col("s").alias("key"), F.col("src").alias("path")).union(rows.select("d", "dst")).groupBy("key").agg(F.min("path").alias("path"))
+    return rows.where("s <> d OR src = dst").select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct(), paths
 
 
 def import_cycles(edges: DataFrame, strict: bool = False) -> DataFrame:
-    """path, component of every file in an import cycle."""
-    used = edges.where(~F.col("label").isin(*LAZY)) if strict else edges.where(~F.col("label").isin("type_import", "mod"))
-    return strongly_connected(used).select(F.col("node").alias("path"), "component")
+    """path, component of every module in an import cycle; component: the smallest path in it."""
+    keyed, paths = keyed_edges(edges.where(~F.col("label").isin(*(LAZY if strict else NEVER))))
+    found = strongly_connected(keyed).join(paths, F.col("node") == F.col("key")).select("path", F.col("component").alias("of"))
+    return found.join(found.groupBy("of").agg(F.min("path").alias("component")), "of").select("path", "component")
 
 
-def classified_cycles(edges: DataFrame, strict: bool = False) -> DataFrame:
-    """A row per cyclic component: members, raw edges inside, kind, risk."""
-    members = materialize(import_cycles(edges, strict), "cycles")
+def cyclic_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """Raw edge rows with both ends in one cyclic component: src, dst, label, component."""
     side = lambda c, name: members.select(F.col("path").alias(c), F.col("component").alias(name))
     inside = edges.join(side("src", "c1"), "src").join(side("dst", "c2"), "dst").where("c1 = c2")
-    degree = inside.groupBy("c1", "dst").agg(F.count("*").alias("into"))
-    counted = inside.groupBy("c1").agg(F.count("*").alias("edges")).join(degree.groupBy("c1").agg(F.max("into").alias("most")), "c1")
-    grouped = members.groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.sort_array(F.collect_list("path")), "|").alias("members"))
-    fan = (F.col("size") > 2) & (F.col("most") > F.floor(F.col("size") / 2))
-    kind = F.when(F.col("size") == 1, "self").when(fan, "fan").when(F.col("size") == 2, "mutual").otherwise("hard")
-    return grouped.join(counted, F.col("component") == F.col("c1")).select(
-        "members", "size", "edges", kind.alias("kind"), F.when(F.col("size") > 5, "medium").otherwise("low").alias("risk")
-    )
+    return inside.select("src", "dst", "label", F.col("c1").alias("component"))
+
+
+# Kinds of cycles with their severity.
+CYCLE_SEVERITY = {"cfg_gated": 1, "wildcard_import": 2, "module_self_reference": 0, "fan_pattern": 0, "hard_bidirectional": 3, "unknown": 2}
+
+
+def _parent_and_child(a: Column, b: Column) -> Column:
+    """Whether a module's file stands for the directory of the other one."""
+    bare = F.regexp_replace(F.regexp_replace(a, r"\.rs$", ""), "/mod$", "")
+    return F.startswith(b, F.concat(bare, F.lit("/"))) | ((bare == dirname(b)) & (a != b))
+
+
+def classified_cycles(edges: DataFrame, strict: bool = False) -> DataFrame:
+    """A row per cyclic component: its smallest member, size, raw edges inside, kind, severity, compilability, risk and whether all members are fixtures or tests.
+
+    Kinds in this order: conditional edges, wildcard imports, a module and its parent, a
+    fan (a member that at least half of them import and that imports at most twice), two
+    files or both directions at every member, unknown.
+    """
+    members = materialize(import_cycles(edges, strict), "cycles")
+    inside = materialize(cyclic_edges(edges.where(~F.col("label").isin(*(LAZY if strict else NEVER))), members), "cycle-edges")
+    ends = inside.select("component", F.col("dst").alias("path"), F.lit(1).alias("i"), F.lit(0).alias("o")).union(inside.select("component", "src", F.lit(0), F.lit(1)))
+    degrees = ends.groupBy("component", "path").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    sized = members.groupBy("component").agg(F.count("*").alias("size"), F.max("path").alias("last"), F.bool_and(is_non_production(F.col("path"))).alias("fixture"))
+    per = degrees.join(sized.select("component", "size"), "component").groupBy("component").agg(
+        F.bool_or((F.col("i") >= F.floor(F.col("size") / 2)) & (F.col("o") <= 2)).alias("fan"), F.bool_or((F.col("i") >= 2) & (F.col("o") <= 1)).alias("shared"),
+        F.bool_and((F.col("i") > 0) & (F.col("o") > 0)).alias("both"),
+    )
+    label = F.col("label")
+    marks = inside.groupBy("component").agg(
+        F.count("*").alias("edges"), F.bool_or(label.rlike("cfg|conditional")).alias("cfg"), F.bool_or(label.rlike("wildcard")).alias("wildcard"),
+        F.bool_or(label.isin("use", "import") | ((label == "mod") & F.endswith("src", F.lit("/mod.rs")))).alias("plain"), F.bool_and(label.rlike("type")).alias("types"),
+    )
+    pair = _parent_and_child(F.col("component"), F.col("last")) | _parent_and_child(F.col("last"), F.col("component"))
+    kind = (
+        F.when(F.col("cfg"), "cfg_gated").when(F.col("wildcard"), "wildcard_import").when((F.col("size") == 2) & pair, "module_self_reference")
+        .when((F.col("size") >= 3) & F.col("fan"), "fan_pattern").when((F.col("size") >= 2) & F.col("both"), "hard_bidirectional").otherwise("unknown")
+    )
+    rows = sized.join(per, "component").join(marks, "component").withColumn("kind", kind)
+    looked_at = F.col("kind").isin("hard_bidirectional", "wildcard_import") & ~F.col("plain") & ~F.col("types") & (F.col("size") >= 3) & F.col("shared")
+    diamond = (F.col("kind") == "fan_pattern") | looked_at
+    severity = F.element_at(F.create_map(*[F.lit(x) for kv in CYCLE_SEVERITY.items() for x in kv]), F.col("kind"))
+    return rows.select(
+        "component", "size", "edges", "kind", severity.alias("severity"), F.when(diamond, "diamond").otherwise("structural").alias("compilability"),
+        F.when(diamond, "none").when(F.col("size") > 5, "medium").otherwise("low").alias("risk"), "fixture",
+    )
 
 
 def lazy_cycles(edges: DataFrame) -> DataFrame:
-    """Cyclic components that exist only with lazy edges."""
-    everything = classified_cycles(edges).select("members", "size")
-    return everything.join(classified_cycles(edges, strict=True).select("members"), "members", "left_anti")
+    """Cyclic components that exist only with lazy edges: component, size.
+
+    A component without lazy edges lies in one with them, so equal smallest members and
+    sizes mean equal members.
+    """
+    sizes = lambda strict: import_cycles(edges, strict).groupBy("component").agg(F.count("*").alias("size"))
+    return sizes(False).join(sizes(True), ["component", "size"], "left_anti")
 
 
 def simple_cycles(edges: DataFrame, longest: int | None = None, each: int = 10) -> DataFrame:
@@ -130,9 +192,7 @@ def simple_cycles(edges: DataFrame, longest: int | None = None, each: int = 10)
     component is done when it has its number of cycles or no open path is left.
     """
     members = materialize(import_cycles(edges), "cycles")
-    side = lambda c, name: members.select(F.col("path").alias(c), F.col("component").alias(name))
-    inside = edges.select("src", "dst").distinct().join(side("src", "c1"), "src").join(side("dst", "c2"), "dst")
-    steps = materialize(inside.where("c1 = c2").select("src", "dst", F.col("c1").alias("component")), "cycle-edges")
+    steps = materialize(cyclic_edges(edges, members).select("src", "dst", "component").distinct(), "cycle-edges")
     paths = steps.where("src <= dst").select("component", F.col("src").alias("start"), F.array("src").alias("cycle"), F.col("dst").alias("at"))
     rows = paths.where("at = start").select("component", "cycle").limit(0)
     for _ in count() if longest is None else range(longest):
@@ -153,7 +213,7 @@ def simple_cycles(edges: DataFrame, longest: int | None = None, each: int = 10)
 
 def refactor_plan(files: DataFrame, edges: DataFrame) -> DataFrame:
     """Per file: dependents, direct consumers, whether in a cycle, risk and phase of moving it."""
-    counts = impact_counts(edges, files.select("path"))
+    counts = all_impact_counts(edges, files)
     cyclic = import_cycles(edges).select("path").withColumn("cyclic", F.lit(True))
     rows = files.select("path", "loc").join(counts, F.col("path") == F.col("target"), "left").join(cyclic, "path", "left")
     n, loc, loop = F.coalesce("direct", F.lit(0)), F.col("loc"), F.coalesce("cyclic", F.lit(False))

@@ -55,9 +55,9 @@ def rollup(hits: DataFrame) -> DataFrame:
     return hits.groupBy("path", "term").agg(F.count("*").alias("lines"), F.sum("hits").alias("hits"), F.min("line").alias("first_line"))
 
 
-def universe(files: DataFrame, texts: DataFrame, largest: int = 2 << 20) -> DataFrame:
-    """How many of the indexed files a text search covers, and why it leaves the others out."""
-    state = F.when(F.col("content").isNull(), "no_text").when(F.octet_length("content") > largest, "too_large").otherwise("scanned")
+def universe(files: DataFrame, texts: DataFrame) -> DataFrame:
+    """How many of the indexed files a text search covers, and how many have no text; searches read texts of any size."""
+    state = F.when(F.col("content").isNull(), "no_text").otherwise("scanned")
     return files.select("path").join(texts.select("path", "content"), "path", "left").groupBy(state.alias("state")).agg(F.count("*").alias("files"))
 
 
@@ -79,13 +79,30 @@ def fuzzy(names: DataFrame, query: str, above: float = 0.4, limit: int = 20) ->
 
 # What silences a checker.
 SILENCERS = {
-    "noqa": r"#\s*noqa", "type_ignore": r"#\s*type:\s*ignore", "ts_ignore": r"@ts-(ignore|expect-error|nocheck)", "eslint_disable": r"eslint-disable",
-    "rust_allow": r"#!?\[(allow|expect)\(", "shellcheck": r"#\s*shellcheck\s+disable", "unsafe": r"\bunsafe\s*\{", "license_line": r"^Licensed under ",
+    "nosemgrep": r"(//|#)\s*nosemgrep(\s*:\s*[\w./:-]+)?\s*$",
+    "dead-code": r"#!?\[(allow|expect|deny|warn)\([^)]*\bdead_code\b[^)]*\)\]",
+    "allow": r"#!?\[(allow|expect|deny|warn)\(([^)]*,)?\s*(?!dead_code\b)[\w:]+\s*(,[^)]*)?\)\]",
+    "ignore": r"^\s*#\[ignore", "unsafe": r"\bunsafe\s*\{(?!.*env::(set_var|remove_var)\s*\()", "unsafe-env-var": r"\bunsafe\s*\{.*env::(set_var|remove_var)\s*\(",
+    "ts-ignore": r"@ts-ignore\b", "ts-expect-error": r"@ts-expect-error\b", "ts-nocheck": r"@ts-nocheck\b",
+    "eslint-disable": r"eslint-disable(-next-line|-line)?(\s+[\w,/@\s-]+?)?(\s*\*/|$|\s*//)", "noqa": r"#\s*noqa(\s*:\s*[\w,\s]+)?",
+    "type-ignore": r"#\s*type\s*:\s*ignore(\[[\w,\s-]+\])?", "pylint-disable": r"#\s*pylint\s*:\s*disable\s*=\s*[\w,\s-]+", "mypy-ignore": r"#\s*mypy\s*:\s*[\w=,\s-]+",
+    "shellcheck": r"#\s*shellcheck\s+disable\s*=\s*[\w,\s]+",
 }
-# What a style sheet says about layout.
-STYLES = {"z_index": r"z-index\s*:", "fixed": r"position\s*:\s*(fixed|sticky)", "grid": r"display\s*:\s*(inline-)?grid", "flex": r"display\s*:\s*(inline-)?flex", "margin": r"margin[a-z-]*\s*:"}
-# Lints of scripts and markup.
-LINTS = {"dangerous_html": r"dangerouslySetInnerHTML|innerHTML\s*=", "any_type": r":\s*any\b", "inline_script": r"<script\b", "unclosed_bold": r"<b>[^<]*$", "tracking": r"\btrack\("}
+#: A style declaration that says something about layout: z-index, position and display, with its value.
+STYLE = r"(?i)(z-index|position|display)\s*:\s*([^;}\"'<]+)"
+# Lints of scripts, by line.
+LINTS = {
+    "ts/explicit-any": r":\s*any\b|\bas\s+any\b|<any>", "ts/ts-ignore": r"@ts-ignore\b", "ts/ts-expect-error": r"@ts-expect-error\b", "ts/ts-nocheck": r"@ts-nocheck\b",
+    "mem/global-interval": r"(?<!=\s)\bsetInterval\s*\(", "mem/global-event-listener": r"\b(window|document|globalThis)\.addEventListener\s*\(",
+    "mem/module-cache-unbounded": r"^\s*(export\s+)?(const|let|var)\s+\w*([cC]ache|[rR]egistry|[sS]tore)\w*\s*(:[^=]*)?=\s*new\s+(Map|Set)\b",
+    "mem/subscription-leak": r"\.subscribe\s*\(",
+}
+# What an effect starts, and what its cleanup has to hold.
+EFFECTS = {
+    "react/settimeout-no-cleanup": (r"\bsetTimeout\s*\(", r"\bclearTimeout\s*\("), "react/setinterval-no-cleanup": (r"\bsetInterval\s*\(", r"\bclearInterval\s*\("),
+    "react/eventlistener-no-cleanup": (r"\.addEventListener\s*\(", r"\.removeEventListener\s*\("), "react/async-effect-no-cleanup": (r"\bawait\b|\.then\s*\(", r"\breturn\b"),
+}
+EFFECT_BODY = r"(?s)(?:React\.)?useEffect\s*\((.*?)(?:,\s*\[[^\]]*\]\s*\)|\n\}\s*\))"
 
 
 def inventory(texts: DataFrame, patterns: dict[str, str]) -> DataFrame:
@@ -96,6 +113,21 @@ def inventory(texts: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return found.groupBy("kind").agg(F.count("*").alias("lines"), F.count_distinct("path").alias("files"))
 
 
+def styles(texts: DataFrame) -> DataFrame:
+    """path, line, selector, property and value of every layout declaration; the selector is what stands before the last open brace."""
+    rows = lines(texts)
+    found = rows.select("path", "line", F.regexp_extract("text", r"([^{};]+)\{[^{}]*$|^\s*([^{};]+?)\s*\{", 1).alias("selector"), F.explode(F.regexp_extract_all("text", F.lit(STYLE), F.lit(0))).alias("declared"))
+    prop, value = F.lower(F.trim(F.regexp_extract("declared", STYLE, 1))), F.trim(F.regexp_extract("declared", STYLE, 2))
+    return found.select("path", "line", F.trim("selector").alias("selector"), prop.alias("property"), value.alias("value"))
+
+
+def effect_lints(texts: DataFrame) -> DataFrame:
+    """path, rule and number of effects that start something and don't end it in their cleanup."""
+    bodies = texts.select("path", F.explode(F.regexp_extract_all("content", F.lit(EFFECT_BODY), F.lit(1))).alias("body"))
+    missing = F.filter(F.array(*[F.when(F.col("body").rlike(start) & ~F.col("body").rlike(end), rule) for rule, (start, end) in EFFECTS.items()]), lambda x: x.isNotNull())
+    return bodies.select("path", F.explode(missing).alias("rule")).groupBy("path", "rule").agg(F.count("*").alias("effects"))
+
+
 def links(pages: DataFrame) -> DataFrame:
     """Targets of a page's links with the number of pages that have them."""
     rows = pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)))).alias("target"))

@@ -12,7 +12,9 @@ from coppice.functions.paths import dirname, is_dev_path, is_test_path, module_k
 from coppice.plans.storage import materialize
 
 # Names too general to count as duplicates.
-GENERIC_NAMES = ("default", "main", "index", "new", "get", "set", "run", "init", "props", "config")
+GENERIC_NAMES = (
+    "new", "default", "from", "into", "clone", "process", "load", "save", "run", "init", "build", "execute", "handle", "create", "update", "delete", "get", "set",
+)
 
 
 def _named(exports: DataFrame) -> DataFrame:

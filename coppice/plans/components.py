@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.plans.storage import drop, materialize
+from coppice.plans.storage import drop, materialize, measured
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"]
+def _state() -> dict:
+    return {"n": F.count("*"), "x": F.bit_xor(F.xxhash64("u", "v"))}
 
 
 def _minimum(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) edges of one orderable type -> (node, component), component = smallest node.
 
     Each round hooks every node's larger neighbours to its smallest neighbour
@@ -28,13 +27,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     empty result.
     """
     clean = edges.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    current = materialize(
-        clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
-    )
-    state = _state(current)
-    for _ in range(max_rounds):
-        if not state[0]:
-            break
+    current, state = measured(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", **_state())
+    while state["n"]:
         both = current.union(current.select("v", "u"))
         large = (
             both.join(_minimum(both), "u")
@@ -49,10 +43,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             .union(low.select("u", "m"))
             .distinct()
         )
-        following = materialize(small, "small-star")
+        before, (following, state) = state, measured(small, "small-star", **_state())
         drop(large)
         drop(current)
-        before, current, state = state, following, _state(following)
+        current = following
         if state == before:
             break
     rooted = current.groupBy("u").agg(F.min("v").alias("component"))

@@ -7,18 +7,16 @@ a lost executor costs a re-run of its tasks and nothing else.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one where none is set (tests)."""
+    """The session's shared folder, which every executor must be able to read."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-coppice-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path.rstrip("/")
 
 
@@ -33,6 +31,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """As materialize(), with aggregates of the rows that the same job takes while it writes them."""
+    seen = Observation()
+    return materialize(df.observe(seen, *(c.alias(k) for k, c in metrics.items())), name), seen.get
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table that materialize() wrote."""
     spark = df.sparkSession

@@ -8,11 +8,15 @@ so plans stay short and a lost executor costs one round's tasks.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.plans.storage import materialize
+from coppice.plans.storage import drop, materialize, measured
+
+#: Rounds of a walk that stay tables of their own before they are put together.
+ROUNDS = 8
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -23,44 +27,69 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def reach(
-    edges: DataFrame, seeds: DataFrame, max_depth: int = 1_000, through: Callable[[DataFrame], DataFrame] | None = None, chains: bool = False
+    edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, through: Callable[[DataFrame], DataFrame] | None = None, chains: bool = False
 ) -> DataFrame:
     """(source, node) seeds over (src, dst) edges -> source, node, depth of first discovery, seeds at 0.
 
     through: what of a frontier may be walked on from. chains: also the smallest of the
     shortest chains, as an array of nodes. A node is expanded once a source, so cycles
-    end. Null ends never match; seeds without edges are returned at depth 0.
+    end. Null ends never match; seeds without edges are returned at depth 0. Rounds go on
+    until nothing new is found, or to max_depth if one is asked for.
     """
     steps = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
     chain = {"chain": F.array("node")} if chains else {}
     frontier = materialize(seeds.select("source", "node").distinct().select("*", F.lit(0).alias("depth"), *(c.alias(k) for k, c in chain.items())), "frontier")
     reached = [frontier]
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         walked = (through(frontier) if through else frontier).join(steps, F.col("node") == F.col("src"))
         if chains:
             found = walked.select("source", F.col("dst").alias("node"), F.array_append("chain", F.col("dst")).alias("chain"))
             found = found.groupBy("source", "node").agg(F.min("chain").alias("chain"))
         else:
             found = walked.select("source", F.col("dst").alias("node")).distinct()
+        if len(reached) > ROUNDS:
+            reached = [materialize(_union(reached), "reached")]
         fresh = found.join(_union(reached).select("source", "node"), ["source", "node"], "left_anti")
-        frontier = materialize(fresh.select("source", "node", F.lit(depth).alias("depth"), *chain), "frontier")
-        if frontier.isEmpty():
+        frontier, seen = measured(fresh.select("source", "node", F.lit(depth).alias("depth"), *chain), "frontier", n=F.count("*"))
+        if not seen["n"]:
             break
         reached.append(frontier)
     return _union(reached)
 
 
-def trim(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """Edges between nodes that have both an incoming and an outgoing edge, repeatedly; cycles stay whole."""
-    current, n = edges, edges.count()
-    for _ in range(rounds):
+def closure(edges: DataFrame) -> DataFrame:
+    """src, dst and the least number of steps of every pair of different nodes with a way between them.
+
+    Ways double in length each round, so rounds grow with the log of the longest one.
+    For all sources at once; reach() is for chosen ones.
+    """
+    steps = edges.select("src", "dst").where("src <> dst").distinct().withColumn("depth", F.lit(1))
+    state = {"n": F.count("*"), "total": F.sum("depth")}
+    known, seen = measured(steps, "ways", **state)
+    while seen["n"]:
+        on = known.select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("depth").alias("more"))
+        longer = known.join(on, "dst").where("src <> to").select("src", F.col("to").alias("dst"), (F.col("depth") + F.col("more")).alias("depth"))
+        before, old = seen, known
+        known, seen = measured(known.unionByName(longer).groupBy("src", "dst").agg(F.min("depth").alias("depth")), "ways", **state)
+        drop(old)
+        if seen == before:
+            break
+    return known
+
+
+def trim(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges between nodes that have both an incoming and an outgoing edge, and their number; cycles stay whole.
+
+    Repeated while a round takes away a fifth or more; the rest is left to what follows.
+    """
+    current, seen = measured(edges, "untrimmed", n=F.count("*"))
+    while seen["n"]:
         kept = current.join(current.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        kept = materialize(kept.join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "trimmed")
-        m = kept.count()
-        current, before, n = kept, n, m
-        if m in (0, before):
+        kept = kept.join(current.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        before, (current, seen) = seen, measured(kept, "trimmed", n=F.count("*"))
+        if seen["n"] > 0.8 * before["n"]:
             break
-    return current
+    return current, seen["n"]
 
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
@@ -71,15 +100,15 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     """
     clean = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
     loops = clean.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
-    rest, found = trim(clean.where("src <> dst")), []
-    while not rest.isEmpty():
-        color = materialize(rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct().withColumn("color", F.col("node")), "colors")
+    (rest, n), found = trim(clean.where("src <> dst")), []
+    while n:
+        state = {"x": F.bit_xor(F.xxhash64("node", "color"))}
+        color, seen = measured(rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct().withColumn("color", F.col("node")), "colors", **state)
         while True:
             pushed = rest.join(color, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "color")
-            after = materialize(color.select("node", "color").union(pushed).groupBy("node").agg(F.min("color").alias("color")), "colors")
-            moved = not after.join(color, ["node", "color"], "left_anti").isEmpty()
-            color = after
-            if not moved:
+            lower = color.select("node", "color").union(pushed).groupBy("node").agg(F.min("color").alias("color"))
+            before, (color, seen) = seen, measured(lower, "colors", **state)
+            if seen == before:
                 break
         inside = rest.join(color.select(F.col("node").alias("src"), F.col("color").alias("c1")), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("c2")), "dst")
         backward = materialize(inside.where("c1 = c2").select(F.col("dst").alias("src"), F.col("src").alias("dst")), "one-color")
@@ -88,6 +117,6 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
         found.append(group.join(group.groupBy("component").count().where("count > 1"), "component", "left_semi").select("node", "component"))
         gone = group.select("node")
         left = rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        rest = trim(left.select("src", "dst"))
+        rest, n = trim(left.select("src", "dst"))
     grouped = _union([*found, loops])
     return grouped.groupBy("node").agg(F.min("component").alias("component"))

@@ -35,13 +35,17 @@ SELECT DISTINCT a.l_partkey AS src_id, b.l_partkey AS dst_id,
 FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
 WHERE a.l_partkey <> b.l_partkey"""
 
-_EDGES = f"""
-FROM ({SUCCESSION}) e JOIN ({FILES}) s ON e.src_id = s.id JOIN ({FILES}) d ON e.dst_id = d.id WHERE s.dir = d.dir"""
+#: Successions within a brand; a table of its own, which edges and imports are made of.
+LINKS = f"""
+SELECT e.src_id, e.dst_id, e.label, e.half FROM ({SUCCESSION}) e JOIN {{part}} s ON e.src_id = s.p_partkey JOIN {{part}} d ON e.dst_id = d.p_partkey
+WHERE s.p_brand = d.p_brand"""
+
+_EDGES = f"FROM {{links}} e JOIN ({FILES}) s ON e.src_id = s.id JOIN ({FILES}) d ON e.dst_id = d.id"
 
 EDGES = f"SELECT DISTINCT s.path AS src, d.path AS dst, e.label AS label {_EDGES}"
 #: Two snapshots of the edges.
-EDGES_BEFORE = EDGES + " AND e.half = 'F'"
-EDGES_AFTER = EDGES + " AND e.half = 'O'"
+EDGES_BEFORE = EDGES + " WHERE e.half = 'F'"
+EDGES_AFTER = EDGES + " WHERE e.half = 'O'"
 
 EXPORTS = f"""
 SELECT path, name, CASE WHEN language IN ('ts', 'py') THEN 'function' WHEN language IN ('tsx', 'rs') THEN 'class' ELSE 'const' END AS kind,
@@ -52,6 +56,13 @@ IMPORTS = f"""
 SELECT DISTINCT s.path AS path, d.path AS resolved_path, CASE WHEN e.label = 'lazy_import' THEN '*' ELSE d.name END AS name,
        concat('./', replace(d.name, ' ', '_')) AS source, e.label AS label, s.is_test AS is_test {_EDGES}"""
 
+#: Exports and imports by names of which most belong to one file.
+OWN_EXPORTS = f"""
+SELECT path, concat(name, ' ', CAST(id % 400 AS STRING)) AS name, CASE WHEN language IN ('ts', 'py') THEN 'function' ELSE 'class' END AS kind, mtime AS line, id, dir, language, is_test
+FROM ({FILES}) f"""
+OWN_IMPORTS = f"""
+SELECT DISTINCT s.path AS path, d.path AS resolved_path, CASE WHEN e.label = 'lazy_import' THEN '*' ELSE concat(d.name, ' ', CAST(d.id % 400 AS STRING)) END AS name {_EDGES}"""
+
 CALLS = """
 SELECT concat('view_', CAST(o_orderkey % 211 AS STRING), '.ts') AS path, concat('getCustomer', CAST(o_custkey % 900 AS STRING)) AS name,
        o_orderkey AS line
@@ -70,8 +81,8 @@ EMITS = _EVENT + " WHERE value >= 25"
 LISTENS = _EVENT + " WHERE value < 25"
 
 ENV_DECLARATIONS = """
-SELECT concat('VAR_', CAST(s_suppkey % 61 AS STRING)) AS name, CASE s_nationkey % 5 WHEN 0 THEN 'dotenv' WHEN 1 THEN 'compose'
-       WHEN 2 THEN 'k8s' WHEN 3 THEN 'dockerfile' ELSE 'sealed_secret' END AS source_kind,
+SELECT concat('VAR_', CAST(s_suppkey % 61 AS STRING)) AS name, CASE s_nationkey % 5 WHEN 0 THEN 'dotenv' WHEN 1 THEN 'docker_compose'
+       WHEN 2 THEN 'k8s_config_map' WHEN 3 THEN 'dockerfile' ELSE 'sealed_secret' END AS source_kind,
        concat('deploy/', CAST(s_nationkey AS STRING), '/', s_name) AS path, CAST(floor(s_acctbal) AS BIGINT) % 17 AS value_hash,
        s_suppkey % 400 AS age_days
 FROM {supplier}"""
@@ -82,17 +93,30 @@ FROM {events}"""
 
 TEXTS = "SELECT concat('doc/', source, '/', CAST(doc_id AS STRING), '.txt') AS path, text AS content, lang FROM {documents}"
 
+#: Names that a file uses itself, constants with values, and files that are run by themselves.
+LOCAL_USES = f"SELECT path, name FROM ({FILES}) f WHERE id % 23 = 0"
+CONSTANTS = """
+SELECT concat('EVENT_', CAST(c_nationkey AS STRING), '_', substr(c_mktsegment, 1, 2)) AS name, lower(c_mktsegment) AS value FROM {customer}"""
+ENTRY_POINTS = f"SELECT path FROM ({FILES}) f WHERE id % 41 = 0"
+SYMBOLS = f"""
+SELECT path || '::' || name AS id, path, name, id AS start_line, id + loc AS end_line FROM ({FILES}) f"""
+SYMBOL_EDGES = f"""
+SELECT DISTINCT s.path || '::' || s.name AS src, d.path || '::' || d.name AS dst, CASE WHEN e.half = 'F' THEN 'calls' ELSE 'uses' END AS kind {_EDGES}"""
+SYMBOL_USES = f"SELECT DISTINCT d.path AS owner, d.name AS name, s.path AS path {_EDGES} WHERE e.label <> 'lazy_import'"
+
 INPUTS = ("part", "lineitem", "orders", "customer", "supplier", "events", "documents", "pages")
 
 
-def project(spark: SparkSession, sf_dir: str, select: str) -> DataFrame:
-    """A projected table over the Parquet tables of a directory."""
+def project(spark: SparkSession, sf_dir: str, select: str, links: DataFrame | None = None) -> DataFrame:
+    """A projected table over the Parquet tables of a directory; links: the table of that name, if it is already there."""
     used = {name: table(spark, sf_dir, name) for name in INPUTS if f"{{{name}}}" in select}
+    if "{links}" in select:
+        used["links"] = project(spark, sf_dir, LINKS) if links is None else links
     return spark.sql(select, **used)
 
 
 def plain(select: str) -> str:
     """The SELECT with the input tables under their own names."""
-    for name in INPUTS:
+    for name in (*INPUTS, "links"):
         select = select.replace(f"{{{name}}}", name)
     return select

@@ -5,12 +5,13 @@ import os
 import duckdb
 import pytest
 
+from coppice import evidence_queries  # noqa: F401
 from coppice.queries import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Many-round queries have tests of their own, on graphs that brute force can walk.
-LOOPS = ("cycles", "impact_", "slice_", "who_", "transitive", "blast", "reach", "components", "refactor", "health", "focus", "chains")
+LOOPS = ("cycles", "impact_", "slice_", "who_", "transitive", "blast", "reach", "components", "refactor", "health", "focus", "chains", "dead_", "zombies", "defects", "slice", "power")
 
 
 @pytest.fixture(scope="module")

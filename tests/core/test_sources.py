@@ -82,7 +82,7 @@ def test_paths(spark):
     df = spark.createDataFrame(rows, "path string")
     got = {r["path"]: (r["m"], r["c"]) for r in df.select("path", paths.module_key(F.col("path")).alias("m"), paths.artifact_class(F.col("path")).alias("c")).collect()}
     assert got["a/index.ts"][0] == "a:ts" == got["a.tsx"][0] and got["a\\b.py"][0] == "a/b:py" and got["README"][0] == "README:" and got["x/a.d.ts"][0] == "x/a.d:ts"
-    assert got["fixtures/vendor/a.js"][1] == "fixture" and got["lib/a.min.js"][1] == "generated" and got["README"][1] == "product"
+    assert got["fixtures/vendor/a.js"][1] == "fixture" and got["lib/a.min.js"][1] == "vendored" and got["README"][1] == "product"
     one = df.limit(1).select(paths.matches_glob(F.lit("a/b/c.py"), "a/**/*.py").alias("x"), paths.matches_glob(F.lit("a/b/c.py"), "a/*.py").alias("y")).first()
     assert one["x"] and not one["y"]
 
