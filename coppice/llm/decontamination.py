@@ -7,9 +7,12 @@ of a window is that one word: document words join on it alone. The word's offset
 bounds where the window would start, its length must fit, and the candidate is then
 compared word by word.
 
+Every document also has the empty window at its end, which brings its number of words
+along, so that two passes over the texts do: one counts words, one finds windows.
+
 The prefix table is broadcast while its size is within ``BROADCAST_ROWS`` windows
-(about 200 bytes each); beyond that, document words and their neighbourhoods are
-joined by a shuffle.
+(about 200 bytes each). Beyond that, (word, document, place) rows are joined by a
+shuffle, bounds applied, and only documents with candidates are met with them again.
 
 Defined results: a null or empty text has no words and no hit; documents with equal
 doc_id and text get equal results, one row each; items with equal words all count;
@@ -28,14 +31,17 @@ from coppice.plans.storage import materialize, table
 WINDOW = 10
 BROADCAST_ROWS = 20_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before lower-casing.
-CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The characters between words, as one string.
+BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalnum())
+#: Stands at the end of every document in place of a word; no word has a space.
+END = " "
 KEY = ["doc_id", "text_hash"]
 
 
 def words(text: Column) -> Column:
-    lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    """Lower-cased words: one pass puts spaces between them, and splitting at single spaces needs no pattern."""
+    spaced = F.translate(F.coalesce(text, F.lit("")), BETWEEN + string.ascii_uppercase, " " * len(BETWEEN) + string.ascii_lowercase)
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -70,22 +76,33 @@ def prefixes(docs: DataFrame, wins: DataFrame, small: bool) -> DataFrame:
     )
 
 
-def matches(docs: DataFrame, prefix: DataFrame, small: bool, width: int = WINDOW) -> DataFrame:
-    """doc key, start (from 0), length and words of every occurrence of a window."""
+def matches(docs: DataFrame, prefix: DataFrame, small: bool, ends: bool = False) -> DataFrame:
+    """doc key, start (from 0), length and words of every occurrence of a window; ends: of the empty window, too."""
     split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
     start = F.col("pos") - F.col("offset")
     fits = (start >= 0) & (start + F.col("len") <= F.col("n"))
+    if ends:
+        empty = docs.sparkSession.range(1).select(F.array().cast("array<string>").alias("window"), F.lit(0).alias("len"), F.lit(END).alias("word"), F.lit(0).alias("offset"))
+        prefix = prefix.unionByName(empty)
+    held = F.concat("w", F.array(F.lit(END))) if ends else F.col("w")
+    rows = split.select(*KEY, *(["w"] if small else []), F.size("w").alias("n"), F.posexplode(held).alias("pos", "word"))
+    found = rows.join(F.broadcast(prefix) if small else prefix, "word").where(fits)
     if small:
-        rows = split.select(*KEY, "w", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
-        found = rows.join(F.broadcast(prefix), "word").where(fits)
         found = found.where(F.slice("w", start + 1, F.col("len")) == F.col("window"))
-    else:
-        rows = split.select(*KEY, "w", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
-        low = F.greatest(F.col("pos") - width + 1, F.lit(0))
-        near = rows.select(*KEY, "n", "pos", "word", low.alias("low"), F.slice("w", low + 1, 2 * width - 1).alias("near"))
-        found = near.join(prefix, "word").where(fits)
-        found = found.where(F.slice("near", start - F.col("low") + 1, F.col("len")) == F.col("window"))
-    return found.select(*KEY, start.alias("start"), "len", "window")
+        return found.select(*KEY, start.alias("start"), "len", "window")
+    found = found.select(*(F.col(k).alias(f"found_{k}") for k in KEY), start.alias("start"), "len", "window")
+    if not ends:
+        return _verified(split, found)
+    found = materialize(found, "window-candidates")
+    at_end = found.where("len = 0").withColumnsRenamed({f"found_{k}": k for k in KEY})
+    return _verified(split, found.where("len > 0")).unionByName(at_end)
+
+
+def _verified(split: DataFrame, found: DataFrame) -> DataFrame:
+    """Candidates whose words are those of the window; equal documents count once."""
+    same = F.col("doc_id").eqNullSafe(F.col("found_doc_id")) & (F.col("text_hash") == F.col("found_text_hash"))
+    hit = found.distinct().join(split, same).where(F.slice("w", F.col("start") + 1, F.col("len")) == F.col("window"))
+    return hit.select(*KEY, "start", "len", "window")
 
 
 def covered(spans: Column) -> Column:
@@ -100,13 +117,14 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda acc: acc["n"])
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """doc key, span and item of every occurrence of a window."""
+def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, ends: bool = False) -> DataFrame:
+    """doc key, start, len and item (as text) of every occurrence of a window; ends: a row without item at each document's end, too."""
     wins = materialize(windows(benchmark, width), "windows")
     small = bounded(wins)
     prefix = materialize(prefixes(docs, wins, small), "prefixes")
-    found = matches(docs, prefix, small, width).join(F.broadcast(wins) if small else wins, "window")
-    return found.select(*KEY, F.struct("start", "len").alias("span"), F.col("item_id").cast("string").alias("item"))
+    items = wins.select("window", F.col("item_id").cast("string").alias("item"))
+    found = matches(docs, prefix, small, ends)
+    return found.join(F.broadcast(items) if small else items, "window", "left" if ends else "inner").select(*KEY, "start", "len", "item")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -119,20 +137,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFra
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """doc_id, text_hash, word counts, hit words, hit items and verdict of every document."""
-    found = hits(docs, benchmark, width)
-    per_doc = found.groupBy(*(F.col(k).alias(f"hit_{k}") for k in KEY)).agg(
-        F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items")
-    )
-    count = F.regexp_count("text", F.lit(CASED_WORD)).cast("long")
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(count, F.lit(0)).alias("n_words"))
-    same = base["doc_id"].eqNullSafe(per_doc["hit_doc_id"]) & (base["text_hash"] == per_doc["hit_text_hash"])
-    none = F.array().cast("array<string>")
-    joined = base.join(per_doc, same, "left").withColumn("items", F.coalesce("items", none))
-    hit = F.coalesce(covered(F.col("spans")), F.lit(0))
-    return joined.select(
+    at_end = F.col("len") == 0
+    per_doc = hits(docs, benchmark, width, ends=True).groupBy(*KEY).agg(
+        F.max(F.when(at_end, F.col("start"))).cast("long").alias("n_words"), F.count(F.when(at_end, 1)).alias("copies"),
+        F.sort_array(F.collect_set(F.when(~at_end, F.struct("start", "len")))).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"),
+    )
+    hit = covered(F.col("spans"))
+    rows = per_doc.select(
         "doc_id", "text_hash", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), F.explode(F.sequence(F.lit(1), "copies")),
     )
+    return rows.drop("col")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ lines ends a chunk where it is 0 modulo ``MEAN_LINES``, so boundaries depend on
 lines around them alone and a passage that has moved is cut as before. A chunk with
 at least two lines that aren't blank is a candidate. Chunks whose 64-bit hash and
 length occur more than once are compared by their bytes; of equal chunks the first,
-by doc_id and place, stays and the others go.
+by doc_id, place and the text's hash, stays and the others go.
 
 Before this, the pipeline's stage takes repeated passages out, wherever they begin
 (``without_passages``). A passage is found by its windows of ``WINDOW`` words. A window
@@ -18,8 +18,7 @@ hashes and places and no text.
 
 Defined results: a null text stays null and has no chunk; an empty text is one
 blank line and stays; documents with equal doc_id and text count as one document
-(each keeps its first chunks); of chunks at equal doc_id and place but in different
-texts all stay; null doc_ids come first; further columns pass through untouched; an
+(each keeps its first chunks); null doc_ids come first; further columns pass through untouched; an
 empty table gives an empty result.
 """
 
@@ -84,8 +83,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     rows = exploded(docs).join(F.broadcast(often) if often.count() <= BROADCAST_ROWS else often, "h", "left_semi")
     rows = materialize(rows.select("h", "doc_id", "text_hash", "k", "chunk"), "candidate-chunks")
     # Grouping by the chunk itself is the comparison of bytes.
-    first = rows.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = rows.join(first, ["h", "chunk"]).where(~F.struct("doc_id", "k").eqNullSafe(F.col("first")))
+    place = F.struct("doc_id", "k", "text_hash")
+    first = rows.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = rows.join(first, ["h", "chunk"]).where(~place.eqNullSafe(F.col("first")))
     return again.groupBy("doc_id", "text_hash").agg(F.collect_set("k").alias("gone"))
 
 
@@ -155,8 +155,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     often = materialize(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-window-hashes")
     rows = rows.join(F.broadcast(often) if often.count() <= BROADCAST_ROWS else often, "h", "left_semi")
     rows = materialize(rows, "candidate-windows")
-    first = rows.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = rows.join(first, ["h", "h2"]).where(~F.struct("doc_id", "k").eqNullSafe(F.col("first")))
+    place = F.struct("doc_id", "k", "text_hash")
+    first = rows.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = rows.join(first, ["h", "h2"]).where(~place.eqNullSafe(F.col("first")))
     return again.groupBy("doc_id", "text_hash").agg(F.collect_set("k").alias("gone"))
 
 
