@@ -11,6 +11,10 @@ many-line constructs is out of its reach.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,20 +64,45 @@ CANDIDATES = ("", ".ts", ".tsx", ".js", ".jsx", ".py", ".rs", "/index.ts", "/ind
 
 
 def read_files(spark: SparkSession, root: str, ignore: tuple[str, ...] = ("**/.git/**", "**/node_modules/**")) -> DataFrame:
-    """path (below root) and content of every file under root that no ignore pattern matches and that is UTF-8 text.
-
-    Spark's file sources list no name that begins with a dot or an underscore; rows of
-    such files (.env, __init__.py) have to come from another table of path and content.
-    """
+    """path (below root), content, mtime and length of every file under root that no ignore pattern matches and that is UTF-8 text."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    raw = raw.select("path", "content", F.unix_timestamp("modificationTime").alias("mtime"), "length")
+    raw = raw.unionByName(_hidden_files(spark, root))
     path = F.regexp_replace(F.col("path"), "^file:/+", "/")
-    rows = raw.select(F.regexp_replace(path, "^" + root.rstrip("/").replace("file://", "") + "/", "").alias("path"), "content", F.unix_timestamp("modificationTime").alias("mtime"), "length")
+    above = root.rstrip("/").replace("file://", "") + "/"
+    rows = raw.select(F.when(F.startswith(path, F.lit(above)), F.substring(path, F.lit(len(above) + 1), F.length(path))).otherwise(path).alias("path"), "content", "mtime", "length")
     for pattern in ignore:
         rows = rows.where(~matches_glob(F.concat(F.lit("/"), "path"), pattern))
     text = F.when(F.position(F.lit(b"\0"), F.col("content")) == 0, F.try_validate_utf8(F.col("content").cast("string")))
     return rows.select("path", text.alias("content"), "mtime", "length").where("content IS NOT NULL")
 
 
+def _located(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a URI or local path, which may have any characters."""
+    local = uri.removeprefix("file://") if uri.startswith("file://") else uri if "://" not in uri else None
+    return (fs.LocalFileSystem(), local) if local is not None else fs.FileSystem.from_uri(uri)
+
+
+def _hidden_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files whose names begin with a dot or an underscore, which Spark's file sources don't list; tasks read them."""
+    store, base = _located(root)
+    scheme = root.split("://")[0] + "://" + root.split("://")[1].split("/")[0] if "://" in root and not root.startswith("file:") else ""
+    found = store.get_file_info(fs.FileSelector(base, recursive=True))
+    hidden = [(scheme + x.path if scheme else x.path, int(x.mtime.timestamp()), x.size) for x in found if x.is_file and any(p[0] in "._" for p in x.path[len(base) :].split("/") if p)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = []
+            for uri in batch.column(0).to_pylist():
+                at, path = _located(uri)
+                with at.open_input_stream(path, compression=None) as source:
+                    content.append(source.read())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), batch.column(1), batch.column(2)], names=["path", "content", "mtime", "length"])
+
+    names = spark.createDataFrame(hidden, "path string, mtime bigint, length bigint").repartition(max(1, min(len(hidden), 64)))
+    return names.mapInArrow(run, "path string, content binary, mtime bigint, length bigint")
+
+
 def file_table(texts: DataFrame) -> DataFrame:
     """The files table of path and content."""
     return texts.select(

@@ -5,26 +5,37 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from coppice.functions.paths import dirname, extension, is_test_path
 from coppice.sources import extract
+from coppice.sources import names as found_names
 
-TABLES = ("files", "symbols", "edges")
+TABLES = ("files", "symbols", "edges", "names")
+#: Kinds of names that lead to another file.
+LEADING = ("static", "type", "side_effect", "dynamic", "lazy", "reexport")
 
 
 @dataclass
 class Snapshot:
-    """files (one row a path), symbols (what extraction found) and edges (src, dst, label)."""
+    """files (one row a path), symbols (what extraction found), edges (src, dst, label) and names (imports, uses and exports)."""
 
     files: DataFrame
     symbols: DataFrame
     edges: DataFrame
+    names: DataFrame
 
     @classmethod
     def of_texts(cls, texts: DataFrame) -> Snapshot:
         """From path and content."""
         files, symbols = extract.file_table(texts), extract.extract(texts)
+        names = found_names.names(texts)
+        return cls(files, symbols, cls._edges(symbols, files), names)
+
+    @staticmethod
+    def _edges(symbols: DataFrame, files: DataFrame) -> DataFrame:
         resolved = extract.resolve_imports(symbols.where("table = 'imports'").select("path", "line", "kind", "name"), files)
-        return cls(files, symbols, extract.import_edges(resolved))
+        return extract.import_edges(resolved)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Snapshot:
@@ -36,12 +47,33 @@ class Snapshot:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     def patched(self, changed: Snapshot, paths: DataFrame) -> Snapshot:
-        """This snapshot with all rows of the given paths replaced by those of another; edges into a path that is gone go too."""
+        """This snapshot with all rows of the given paths replaced by those of another; every import is resolved among the new files."""
 
-        def swap(name: str, key: str) -> DataFrame:
-            old = getattr(self, name).join(paths.select(paths["path"].alias(key)).distinct(), key, "left_anti")
+        def swap(name: str) -> DataFrame:
+            old = getattr(self, name).join(paths.select("path").distinct(), "path", "left_anti")
             return old.select(*getattr(self, name).columns).unionByName(getattr(changed, name))
 
-        files = swap("files", "path")
-        edges = swap("edges", "src").join(files.select(files["path"].alias("dst")), "dst", "left_semi").select("src", "dst", "label")
-        return Snapshot(files, swap("symbols", "path"), edges)
+        files, symbols = swap("files"), swap("symbols")
+        return Snapshot(files, symbols, self._edges(symbols, files), swap("names"))
+
+    # The tables that the operators on symbols read.
+
+    def imports(self) -> DataFrame:
+        """path, name ('*' for a whole module), alias, source, kind, resolved_path and is_test of every imported name."""
+        rows = self.names.where(F.col("kind").isin(*LEADING)).select("path", "line", "kind", F.col("source").alias("name"), F.col("name").alias("imported"), "alias")
+        resolved = extract.resolve_imports(rows, self.files)
+        return resolved.select("path", "line", "kind", F.col("name").alias("source"), F.col("imported").alias("name"), "alias", "resolved_path", is_test_path(F.col("path")).alias("is_test"))
+
+    def exports(self) -> DataFrame:
+        """path, name, kind, line, dir, language and is_test of every exported name, by declaration or list."""
+        declared = self.symbols.where("table = 'exports'").select("path", "name", "kind", "line")
+        listed = self.names.where("kind = 'export'").select("path", "name", F.lit("const").alias("kind"), "line")
+        again = self.names.where("kind = 'reexport' AND name <> '*'").select("path", F.coalesce("alias", "name").alias("name"), F.lit("reexport").alias("kind"), "line")
+        one = F.min(F.struct(F.when(F.col("kind") == "reexport", 1).otherwise(0).alias("o"), "line", "kind")).alias("x")
+        rows = declared.unionByName(listed).unionByName(again).groupBy("path", "name").agg(one)
+        rows = rows.select("path", "name", "x.kind", "x.line", dirname(F.col("path")).alias("dir"), extension(F.col("path")).alias("language"))
+        return rows.withColumn("is_test", is_test_path(F.col("path")))
+
+    def uses(self) -> DataFrame:
+        """(path, name) of names that a file reads; of scripts, names that stand more often than in their declaration count."""
+        return self.names.where("kind = 'use'").select("path", "name").distinct()
