@@ -37,13 +37,16 @@ def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, di
     return materialize(df.observe(seen, *(c.alias(k) for k, c in metrics.items())), name), seen.get
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table that materialize() wrote."""
-    spark = df.sparkSession
-    roots = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for root in roots:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        delete(df.sparkSession, root)
 
 
 def release(spark: SparkSession) -> None:

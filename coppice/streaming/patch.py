@@ -1,17 +1,38 @@
-"""Keeping a table of newest states from a stream of changes.
+"""Keeping tables of newest states from streams of changes.
 
-Micro-batches are merged by key: of the rows of a key the one with the latest time (and
-then the largest id) stays. Each batch writes a new version of the table in the shared
-folder and then names it as current, so readers never see half a version and a batch
-that is run again gives the same version.
+A micro-batch is written as a version of its own in the shared folder, and a pointer
+beside it names the versions that make up the state; a batch that is run again replaces
+its version and pointer, and a new process goes on from the newest pointer. When a few
+versions have come together they are merged into one and the old ones deleted, so a
+batch's cost follows its own size.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.plans.storage import new_path
+from coppice.plans.storage import delete, new_path
+from coppice.sources.snapshot import Snapshot
+
+POINTER = "batch bigint, versions array<string>"
+
+
+def newest_pointer(spark: SparkSession, root: str, before: int | None = None) -> tuple[int, list[str]]:
+    """The last batch that is whole, of those before one that is to be run again, and the versions that make up its state."""
+    try:
+        rows = spark.read.schema(POINTER).json(f"{root}/pointers/*")
+        last = rows.where(F.col("batch") < before if before is not None else F.lit(True)).orderBy(F.desc("batch")).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = None
+    return (last["batch"], last["versions"]) if last else (-1, [])
+
+
+def point(spark: SparkSession, root: str, batch: int, versions: list[str]) -> None:
+    spark.createDataFrame([(batch, versions)], POINTER).coalesce(1).write.mode("overwrite").json(f"{root}/pointers/{batch}")
 
 
 def newest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -24,20 +45,51 @@ def newest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 class Upsert:
     """A foreachBatch sink that keeps the newest row of every key."""
 
-    def __init__(self, spark: SparkSession, key: str, order: list[str]):
-        self.spark, self.key, self.order = spark, key, order
-        self.root, self.current = new_path(spark, "upsert"), None
+    def __init__(self, spark: SparkSession, key: str, order: list[str], root: str | None = None, most: int = 8):
+        self.spark, self.key, self.order, self.most = spark, key, order, most
+        self.root = root or new_path(spark, "upsert")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        rows = newest(batch, self.key, self.order)
-        if self.current:
-            rows = newest(rows.unionByName(batch.sparkSession.read.parquet(self.current)), self.key, self.order)
-        path = f"{self.root}/version={batch_id}"
-        rows.write.mode("overwrite").parquet(path)
-        self.current = path
+        spark = batch.sparkSession
+        _, versions = newest_pointer(spark, self.root, batch_id)
+        newest(batch, self.key, self.order).write.mode("overwrite").parquet(f"{self.root}/delta-{batch_id}")
+        versions = [*versions, f"delta-{batch_id}"]
+        if len(versions) <= self.most:
+            point(spark, self.root, batch_id, versions)
+            return
+        self._read(spark, versions).write.mode("overwrite").parquet(f"{self.root}/merged-{batch_id}")
+        point(spark, self.root, batch_id, [f"merged-{batch_id}"])
+        # What the pointer before this one names stays, should this batch be run again.
+        for old in self.__dict__.pop("merged", []):
+            delete(spark, f"{self.root}/{old}")
+        self.merged = versions
+
+    def _read(self, spark: SparkSession, versions: list[str]) -> DataFrame:
+        return newest(spark.read.parquet(*(f"{self.root}/{v}" for v in versions)), self.key, self.order)
 
     def table(self) -> DataFrame:
-        return self.spark.read.parquet(self.current)
+        return self._read(self.spark, newest_pointer(self.spark, self.root)[1])
+
+
+class Patch:
+    """A foreachBatch sink of (path, content, ts) changes that keeps a snapshot; a null content deletes the path."""
+
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        self.spark, self.root = spark, root or new_path(spark, "snapshots")
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        last = newest(batch.select("path", "ts", "content"), "path", ["ts"]).cache()
+        changed = Snapshot.of_texts(last.where("content IS NOT NULL").select("path", "content"))
+        _, versions = newest_pointer(spark, self.root, batch_id)
+        if versions:
+            changed = Snapshot.load(spark, f"{self.root}/{versions[0]}").patched(changed, last.select("path"))
+        changed.save(f"{self.root}/state-{batch_id}")
+        point(spark, self.root, batch_id, [f"state-{batch_id}"])
+        last.unpersist()
+
+    def snapshot(self) -> Snapshot:
+        return Snapshot.load(self.spark, f"{self.root}/{newest_pointer(self.spark, self.root)[1][0]}")
 
 
 def replay(spark: SparkSession, source: str, table_name: str, key: str, order: list[str], files_a_batch: int = 1) -> DataFrame:

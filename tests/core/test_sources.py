@@ -25,10 +25,6 @@ SOURCES = {
 }
 
 
-#: Names that Spark's file sources don't list.
-HIDDEN = (".env", "app/__init__.py")
-
-
 @pytest.fixture(scope="module")
 def texts(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("tree")
@@ -38,8 +34,7 @@ def texts(spark, tmp_path_factory):
     (root / "logo.png").write_bytes(b"\x89PNG\0\xff")
     (root / "node_modules").mkdir()
     (root / "node_modules/skip.js").write_text("export const no = 1")
-    hidden = spark.createDataFrame([(p, c, 0, len(c)) for p, c in SOURCES.items() if p in HIDDEN], "path string, content string, mtime long, length long")
-    return extract.read_files(spark, str(root)).union(hidden).cache()
+    return extract.read_files(spark, str(root)).cache()
 
 
 def test_scan_skips_binary_hidden_and_ignored_files(texts):
