@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from coppice.llm import decontamination, line_dedup, near_copies, packing, toxicity
-from coppice.plans.storage import materialize, table
+from coppice.plans.storage import drop, materialize, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; what a stage has read is deleted once its own table is there."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES):
             docs = materialize(docs, f"pipeline-{name}")
+            if k > 1:
+                drop(before)
     return docs
