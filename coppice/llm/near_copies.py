@@ -1,10 +1,12 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash buckets, exact check.
+"""Near copies by Jaccard similarity of word shingles: candidates from the SimHash index and from MinHash, exact check.
 
 A document is the set of its ``WIDTH``-word shingles; two are near copies at a
-similarity of ``LEAST`` or more. Candidates share one of ``BANDS`` bands of ``ROWS``
-minima; at a similarity of exactly 0.8 a pair shares none with probability
-(1 - 0.8 ** 4) ** 32, about 5 in 10 ** 8, and less above. Every link is checked on
-the shingles themselves.
+similarity of ``LEAST`` or more. The first candidates are those whose SimHash
+fingerprints the Gray-order index finds within its radius. Fingerprints of documents at
+a similarity of 0.8 differ in more bits than any index of bits can search (2 to 11 were
+seen), so the others share one of ``BANDS`` bands of ``ROWS`` minima; at a similarity of
+exactly 0.8 a pair shares none with probability (1 - 0.8 ** 4) ** 32, about 5 in
+10 ** 8, and less above. Every link is checked on the shingles themselves.
 
 Documents with equal sets are one node. A bucket first gives a star from its smallest
 node; once these links are components, it gives its pairs across components, so a
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.simhash import first_rows
+from coppice.llm.simhash import bit_counts, first_rows, near_edges
 from coppice.plans.components import connected_components
 from coppice.plans.storage import materialize
 
@@ -70,24 +72,33 @@ def node(found: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """The majority bits of a set's hashes, as a signed long."""
+    if not len(found):
+        return 0
+    return int(np.packbits(bit_counts(found) * 2 > len(found), bitorder="little").view("<i8")[0])
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("data"))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node and bands of every document."""
+    """doc_id, text_hash, node, fp and bands of every document."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(x or b"") for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(map(node, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))],
-                names=["doc_id", "text_hash", "node", "bands"],
+                [
+                    batch.column(0), batch.column(1), pa.array(map(node, sets), pa.int64()), pa.array(map(fingerprint, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "text_hash", "node", "fp", "bands"],
             )
 
     rows = _keyed(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(compute, f"doc_id {kind}, text_hash bigint, node bigint, bands array<bigint>")
+    return rows.mapInArrow(compute, f"doc_id {kind}, text_hash bigint, node bigint, fp bigint, bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, each: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -115,13 +126,25 @@ def checked(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFram
     return rows.where((small >= large * least) & (both / (small + large - both) >= least)).select("u", "v")
 
 
+def close_fingerprints(each: DataFrame) -> DataFrame:
+    """Candidate pairs (u, v) of nodes: of equal fingerprints, and of such as the index links; one node stands for a fingerprint."""
+    nodes = each.select("fp", "node").distinct()
+    heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "near-copy-fingerprints")
+    same = nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
+    head = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
+    near = near_edges(heads.select("fp")).join(head("u"), "u").join(head("v"), "v").select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
+    return materialize(same.union(near).distinct(), "near-copy-close")
+
+
 def components(docs: DataFrame, each: DataFrame) -> DataFrame:
     """node -> component; nodes without a link are not returned."""
+    close = close_fingerprints(each)
     members = each.select("node", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("most")).where("center < most").drop("most")
     members = materialize(members.join(shared, "band").distinct(), "near-copy-buckets")
-    stars = members.where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
-    sets = materialize(shingle_sets(docs, each, members.select("node").distinct()), "near-copy-shingles")
+    stars = members.where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).union(close).distinct()
+    wanted = members.select("node").union(close.select("u")).union(close.select("v")).distinct()
+    sets = materialize(shingle_sets(docs, each, wanted), "near-copy-shingles")
     links = materialize(checked(stars, sets), "near-copy-stars")
     found = materialize(connected_components(links), "near-copy-components")
     labelled = members.join(found, "node", "left").select("band", "center", "node", F.coalesce("component", "node").alias("component"))
