@@ -17,6 +17,8 @@ from coppice.plans.storage import drop, materialize, measured
 
 #: Rounds of a walk that stay tables of their own before they are put together.
 ROUNDS = 8
+#: Edges of which all ways are taken at once: at most the square of this.
+SMALL = 2_000
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -96,12 +98,13 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every component of more than one node, or of a node with an edge to itself.
 
     Colouring: the smallest label flows forward until it rests; nodes of a colour that
-    reach the colour's root backward are its component; the others go round again.
+    reach the colour's root backward are its component; the others go round again. What is
+    left of at most SMALL edges has few enough ways to take all of them, in fewer rounds.
     """
     clean = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
     loops = clean.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
     (rest, n), found = trim(clean.where("src <> dst")), []
-    while n:
+    while n > SMALL:
         state = {"x": F.bit_xor(F.xxhash64("node", "color"))}
         color, seen = measured(rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct().withColumn("color", F.col("node")), "colors", **state)
         while True:
@@ -118,5 +121,10 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
         gone = group.select("node")
         left = rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
         rest, n = trim(left.select("src", "dst"))
+    if n:
+        ways = closure(rest)
+        back = ways.select(F.col("src").alias("b"), F.col("dst").alias("a"))
+        both = ways.join(back, (F.col("src") == F.col("a")) & (F.col("dst") == F.col("b")))
+        found.append(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("component")))
     grouped = _union([*found, loops])
     return grouped.groupBy("node").agg(F.min("component").alias("component"))

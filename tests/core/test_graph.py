@@ -6,6 +6,7 @@ from itertools import pairwise
 import pytest
 
 from coppice.operators import graph
+from coppice.plans import traversal
 from coppice.plans.components import connected_components
 from coppice.plans.traversal import reach, strongly_connected
 
@@ -42,7 +43,9 @@ def frame(spark, edges):
     return spark.createDataFrame(rows, "src string, dst string, label string")
 
 
-def test_strong_components(frame, edges):
+@pytest.mark.parametrize("small", [0, 2_000])
+def test_strong_components(frame, edges, monkeypatch, small):
+    monkeypatch.setattr(traversal, "SMALL", small)
     far = closure(edges)
     want = {a: min(b for b in far[a] if a in far[b]) for a in far if a in far[a]}
     assert {r["node"]: r["component"] for r in strongly_connected(frame).collect()} == want
