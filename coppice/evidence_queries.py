@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from coppice.operators import bridges, explore, facts, graph, occurrences, symbols, truth
 from coppice.plans.storage import materialize
 from coppice.queries import (
-    _BRIDGE, _CLASSES, _CLOSURE, _PAGES, _REGISTRY, _SNAKE, _TAG, Tables, _marked, _pages, _signed, one, query,
+    _BRIDGE, _CLASSES, _CLOSURE, _KIND, _PAGES, _REGISTRY, _SNAKE, _TAG, Tables, _marked, _pages, _shaped, _signed, one, query,
 )
 
 # Dead code ------------------------------------------------------------------------------
@@ -76,12 +76,13 @@ def _tags(t: Tables) -> DataFrame:
     return t.exports.where("name LIKE 'green%'").select("path", "name", F.lit("handler").alias("tag"))
 
 
-_SIGNED = _REGISTRY + """,
-sg AS (SELECT r.*, x.language, list_sort(list_concat(string_split(x.name, ' '), [x.kind, x.language])) AS signature FROM registry r JOIN exports x ON x.path = r.path AND x.name = r.name),
+_SIGNED = _REGISTRY + f""",
+sg AS (SELECT r.*, x.language, {_KIND} AS kind, list_sort(list_concat(string_split(x.name, ' '), [{_KIND}, x.language])) AS signature FROM registry r JOIN exports x ON x.path = r.path AND x.name = r.name),
 rk AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY import_count DESC, length(path), path) AS rank FROM sg WHERE name NOT IN ('new', 'run')),
 tw AS (SELECT rk.name, h.path AS canonical, rk.path, len(list_intersect(rk.signature, h.signature)) / len(list_distinct(list_concat(rk.signature, h.signature))) AS sim
   FROM rk JOIN rk h ON h.name = rk.name AND h.rank = 1 WHERE rk.rank > 1),
-twins AS (SELECT name, canonical, path, round(sim, 6) AS similarity, CASE WHEN sim >= 0.999 THEN 'EXACT' WHEN sim >= 0.4 THEN 'SHAPE_SIMILAR' ELSE 'NAME_COLLISION' END AS class FROM tw)"""
+mx AS (SELECT name FROM rk GROUP BY name HAVING count(DISTINCT kind) > 1),
+twins AS (SELECT name, canonical, path, round(sim, 6) AS similarity, CASE WHEN name IN (SELECT name FROM mx) THEN 'NAME_COLLISION' WHEN sim >= 0.999 THEN 'EXACT' WHEN sim >= 0.4 THEN 'SHAPE_SIMILAR' ELSE 'NAME_COLLISION' END AS class FROM tw)"""
 query("idiom_free_twins", _SIGNED + " SELECT * FROM twins WHERE name NOT LIKE 'green%'")(
     lambda t: truth.idiom_twins(symbols.exact_twins(_signed(t), t.imports), t.exports, _tags(t)))
 _CROWDS = """
@@ -105,7 +106,7 @@ SELECT 'dead_export', path, name FROM dead UNION SELECT 'shadow_export', path, n
 def _defects(t: Tables) -> DataFrame:
     edges, exports, imports = t.kept_edges(), materialize(t.exports, "exports"), materialize(t.imports, "imports")
     issues = truth.barrel_issues(symbols.missing_barrels(t.files, edges), symbols.reexport_chains(edges), symbols.inconsistent_paths(imports))
-    twins = materialize(symbols.exact_twins(exports.withColumn("signature", F.array_sort(F.concat(F.split("name", " "), F.array("kind", "language")))), imports), "twins")
+    twins = materialize(symbols.exact_twins(_shaped(exports), imports), "twins")
     plain = lambda df: df.withColumn("name", F.replace("name", F.lit("_"), F.lit(" ")))
     return truth.structural_defects(
         t.files, graph.classified_cycles(edges, strict=True), plain(_dead(t)), symbols.dead_parrots(exports, imports), twins, exports, issues,
@@ -138,6 +139,46 @@ hs AS (SELECT files, loc, missing_handlers + unregistered_handlers + breaking_cy
 SELECT *, round(greatest(0, 100 - 50 * least(1, ln(1 + certain) / ln(1 + loc)) - 30 * least(1, ln(1 + high) / ln(1 + loc)) - 20 * least(1, ln(1 + smell) / ln(1 + loc))))::BIGINT AS score,
   round(least(1, ln(1 + certain + high + smell) / ln(1 + loc))::DOUBLE, 6) AS density FROM hs""")(lambda t: truth.health(_defects(t)))
 
+# Environment and events ---------------------------------------------------------------------
+
+_RANKS = "CASE source_kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in bridges.SOURCE_RANK.items()) + " ELSE 0 END"
+query("env_warnings", f"""
+r AS (SELECT *, source_kind IN {bridges.ENCRYPTED} AS enc, row_number() OVER (PARTITION BY name ORDER BY {_RANKS} DESC, path) AS place FROM env_declarations ),
+f AS (SELECT name, path, enc, age_days AS a FROM r WHERE place = 1)
+SELECT DISTINCT name, 'orphan_code_reference' AS warning, NULL AS path FROM env_reads WHERE name NOT IN (SELECT name FROM env_declarations ) UNION ALL
+SELECT DISTINCT name, 'orphan_declaration', NULL FROM env_declarations WHERE name NOT IN (SELECT name FROM env_reads ) UNION ALL
+SELECT name, 'multi_source_value_mismatch', NULL FROM r WHERE NOT enc GROUP BY name HAVING count(*) > 1 AND count(DISTINCT value_hash) > 1 UNION ALL
+SELECT f.name, 'stale_overrides_fresh', f.path FROM f JOIN r ON r.name = f.name AND r.place = 2 WHERE a - age_days >= 30 UNION ALL
+SELECT f.name, 'sealed_secret_suspected_stale', f.path FROM f JOIN (SELECT name, min(age_days) AS b FROM r WHERE place > 1 AND NOT enc GROUP BY name) y ON y.name = f.name WHERE f.enc AND a - b >= 30 UNION ALL
+SELECT name, 'encrypted_decode_blocked', path FROM r WHERE enc""")(lambda t: bridges.env_warnings(t.env_declarations, t.env_reads))
+
+
+def _event_calls(t: Tables) -> DataFrame:
+    return t.emits.where("line % 11 = 0").select("path", "line")
+
+
+def _literals(t: Tables) -> DataFrame:
+    return t.listens.where("line % 13 = 0").select("path", F.upper("name").alias("value"))
+
+
+def _listened(t: Tables) -> DataFrame:
+    return t.listens.withColumn("name", F.when(F.col("line") % 17 == 0, F.concat(F.lit("late:"), "name")).when(F.col("line") % 19 == 0, F.upper("name")).otherwise(F.col("name")))
+
+
+_K = "regexp_replace(lower(name), '[^a-z0-9*]', '_', 'g')"
+query("event_risks", f"""
+e AS (SELECT {_K} AS event, name, path FROM emits ),
+l0 AS (SELECT path, line, awaited, CASE WHEN line % 17 = 0 THEN 'late:' || name WHEN line % 19 = 0 THEN upper(name) ELSE name END AS name FROM listens ),
+l AS (SELECT {_K} AS event, name, path, line, awaited FROM l0), s AS (SELECT DISTINCT event, path FROM l WHERE event NOT IN (SELECT event FROM e)),
+q AS (SELECT DISTINCT {_K} AS event, path FROM listens WHERE line % 13 = 0), k AS (SELECT DISTINCT s.event FROM s JOIN q ON q.event = s.event AND q.path = s.path),
+c AS (SELECT path, min(line) AS call_line FROM emits WHERE line % 11 = 0 GROUP BY path),
+d AS (SELECT event, min(name) AS a, max(name) AS b, min(path) AS p FROM e GROUP BY event), h AS (SELECT event, min(name) AS a, max(name) AS b FROM l GROUP BY event)
+SELECT 'orphan' AS kind, event, path FROM s WHERE event NOT IN (SELECT event FROM k) UNION ALL SELECT 'name_mismatch', d.event, d.p FROM d JOIN h ON h.event = d.event WHERE d.a <> h.a OR d.b <> h.b UNION ALL
+SELECT DISTINCT 'listen_not_awaited', event, path FROM l WHERE NOT awaited UNION ALL
+SELECT 'call_before_listen', event, x.path FROM (SELECT path, event, min(line) AS n FROM l GROUP BY ALL) x JOIN c ON c.path = x.path WHERE call_line < n UNION ALL
+SELECT 'awaited_listen_late', event, x.path FROM (SELECT path, event, min(line) AS n FROM l WHERE awaited GROUP BY ALL) x JOIN c ON c.path = x.path WHERE call_line < n""")(
+    lambda t: bridges.event_risks(t.emits, _listened(t), _event_calls(t), _literals(t)))
+
 # Lookups ---------------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coppice.functions.names import command_key, event_key
@@ -166,6 +166,63 @@ def env_orphans(declarations: DataFrame, reads: DataFrame) -> DataFrame:
     return rows.select("name", F.when(F.col("declared").isNull(), "orphan_read").otherwise("orphan_declaration").alias("finding"), F.coalesce("readers", F.lit(0)).cast("long").alias("readers"))
 
 
+# Sources whose values can't be read.
+ENCRYPTED = ("sealed_secret", "external_secret", "sops_file")
+# Names that the system or a runtime sets.
+RUNTIME_NAMES = ("PATH", "HOME", "USER", "SHELL", "PWD", "LANG", "TERM", "TMPDIR", "HOSTNAME", "NODE_ENV", "PYTHONPATH", "RUST_LOG", "CI")
+
+
+def env_warnings(declarations: DataFrame, reads: DataFrame, threshold_days: int = 30) -> DataFrame:
+    """name, warning and path of everything that is odd about a variable's sources, which stand by rank, then path.
+
+    Read and nowhere declared; declared and never read (if anything is read at all); plain
+    values that differ; a first source older than the second by the threshold; a first
+    source that is encrypted and older than a plain one by it; each encrypted source.
+    """
+    rows = _ranked(declarations).withColumn("encrypted", F.col("source_kind").isin(*ENCRYPTED))
+    order = Window.partitionBy("name").orderBy(F.desc("rank"), "path")
+    placed = rows.withColumn("place", F.row_number().over(order))
+    read, declared = reads.select("name").distinct(), declarations.select("name").distinct()
+    none = F.lit(None).cast("string")
+    out = read.join(declared, "name", "left_anti").where(~F.col("name").isin(*RUNTIME_NAMES)).select("name", F.lit("orphan_code_reference").alias("warning"), none.alias("path"))
+    unread = declared.join(read, "name", "left_anti").crossJoin(read.limit(1).select(F.lit(True).alias("any")))
+    plain = rows.where(~F.col("encrypted")).groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("value_hash").alias("values")).where("n > 1 AND values > 1")
+    first = placed.where("place = 1").select("name", "path", F.col("encrypted").alias("sealed"), F.col("age_days").alias("first_age"))
+    second = placed.where("place = 2").select("name", F.col("age_days").alias("second_age"))
+    youngest = placed.where("place > 1 AND NOT encrypted").groupBy("name").agg(F.min("age_days").alias("plain_age"))
+    stale = first.join(second, "name").where(F.col("first_age") - F.col("second_age") >= threshold_days)
+    sealed = first.where("sealed").join(youngest, "name").where(F.col("first_age") - F.col("plain_age") >= threshold_days)
+    row = lambda df, warning, path: df.select("name", F.lit(warning).alias("warning"), path.alias("path"))
+    for part in (
+        row(unread, "orphan_declaration", none), row(plain, "multi_source_value_mismatch", none), row(stale, "stale_overrides_fresh", F.col("path")),
+        row(sealed, "sealed_secret_suspected_stale", F.col("path")), row(rows.where("encrypted"), "encrypted_decode_blocked", F.col("path")),
+    ):
+        out = out.union(part)
+    return out
+
+
+def event_risks(emits: DataFrame, listens: DataFrame, calls: DataFrame, literals: DataFrame) -> DataFrame:
+    """kind, event and path of what may go wrong with events.
+
+    orphan: listened to, emitted by no file and named by no literal of a listening file.
+    name_mismatch: emitted and listened to under names that differ but for their case style. listen_not_awaited.
+    call_before_listen: a file's first call stands before its first listener; awaited_listen_late: so does
+    it before an awaited one.
+    """
+    key = event_key(F.col("name"))
+    e, n = emits.select(key.alias("event"), "name", "path"), listens.select(key.alias("event"), "name", "path", "line", "awaited")
+    silent = n.join(e.select("event").distinct(), "event", "left_anti").select("event", "path").distinct()
+    quoted = literals.select(event_key(F.col("value")).alias("event"), "path").distinct()
+    orphans = silent.join(silent.join(quoted, ["event", "path"], "left_semi").select("event").distinct(), "event", "left_anti")
+    spelled = lambda df, c: df.groupBy("event").agg(F.min("name").alias(c), F.max("name").alias(f"{c}_last"), F.min("path").alias(f"{c}_path"))
+    differ = spelled(e, "emitted").join(spelled(n, "heard"), "event").where("emitted <> heard OR emitted_last <> heard_last")
+    first_call = calls.groupBy("path").agg(F.min("line").alias("call_line"))
+    late = lambda df: df.groupBy("path", "event").agg(F.min("line").alias("listen_line")).join(first_call, "path").where("call_line < listen_line")
+    row = lambda df, kind, path="path": df.select(F.lit(kind).alias("kind"), "event", F.col(path).alias("path"))
+    out = row(orphans, "orphan").union(row(differ, "name_mismatch", "emitted_path")).union(row(n.where("NOT awaited").select("event", "path").distinct(), "listen_not_awaited"))
+    return out.union(row(late(n), "call_before_listen")).union(row(late(n.where("awaited")), "awaited_listen_late"))
+
+
 def template_drift(declarations: DataFrame, template_kind: str = "dotenv") -> DataFrame:
     """Per directory, names in its template only or outside its template only."""
     rows = declarations.select(F.regexp_replace("path", "/[^/]*$", "").alias("directory"), "name", (F.col("source_kind") == template_kind).alias("template"))

@@ -16,6 +16,9 @@ GENERIC_NAMES = (
     "new", "default", "from", "into", "clone", "process", "load", "save", "run", "init", "build", "execute", "handle", "create", "update", "delete", "get", "set",
 )
 
+# Prefixes of methods that a convention gives their names.
+IDIOM_METHODS = "^(from|to|into|as|with|try|is)_"
+
 
 def _named(exports: DataFrame) -> DataFrame:
     return exports.where(F.col("name").isNotNull() & ~F.col("name").isin(*GENERIC_NAMES))
@@ -84,14 +87,22 @@ def exact_twins(exports: DataFrame, imports: DataFrame) -> DataFrame:
     """Pairs of files that export one name, from the canonical file to every other, with the similarity of their fingerprints.
 
     Canonical: most imports, then the shortest path, then its order. A star of pairs
-    per name keeps the result linear in the number of places.
+    per name keeps the result linear in the number of places. Names whose places are of
+    several kinds, or of which one has no fingerprint, only share a name; so do methods,
+    unless their prefix is an idiom.
     """
-    rows = symbol_registry(_named(exports), imports).join(exports.select("path", "name", "signature").distinct(), ["path", "name"])
+    rows = symbol_registry(_named(exports), imports).join(exports.select("path", "name", "signature", "kind").distinct(), ["path", "name"])
     first = F.min(F.struct((-F.col("import_count")).alias("o"), F.length("path").alias("l"), "path", "signature")).alias("h")
-    head = rows.groupBy("name").agg(first).select("name", F.col("h.path").alias("canonical"), F.col("h.signature").alias("head"))
+    per_name = rows.groupBy("name").agg(
+        first, (F.count_distinct("kind") > 1).alias("mixed"), F.bool_or(F.col("signature").isNull()).alias("bare"), F.coalesce(F.bool_and(F.col("kind") == "method"), F.lit(False)).alias("methods")
+    )
+    head = per_name.select("name", F.col("h.path").alias("canonical"), F.col("h.signature").alias("head"), "mixed", "bare", "methods")
     pairs = rows.join(head, "name").where("path <> canonical")
-    similarity = jaccard(F.col("signature"), F.col("head"), both_empty=1.0)
-    kind = F.when(similarity >= 0.999, "EXACT").when(similarity >= 0.4, "SHAPE_SIMILAR").otherwise("NAME_COLLISION")
+    similarity = F.coalesce(jaccard(F.col("signature"), F.col("head"), both_empty=1.0), F.lit(0.0))
+    kind = (
+        F.when(F.col("methods"), F.when(F.col("name").rlike(IDIOM_METHODS), "IDIOM").otherwise("NAME_COLLISION")).when(F.col("mixed") | F.col("bare"), "NAME_COLLISION")
+        .when(similarity >= 0.999, "EXACT").when(similarity >= 0.4, "SHAPE_SIMILAR").otherwise("NAME_COLLISION")
+    )
     return pairs.select("name", "canonical", "path", F.round(similarity, 6).alias("similarity"), kind.alias("class"))
 
 

@@ -128,16 +128,24 @@ query("shadow_exports", _REGISTRY + """ SELECT name, count(*) FILTER (import_cou
   min(path) FILTER (import_count > 0) AS canonical FROM registry GROUP BY name HAVING used > 0 AND unused > 0""")(lambda t: symbols.shadow_exports(t.exports, t.imports))
 
 
+def _shaped(exports: DataFrame) -> DataFrame:
+    """Exports with a fingerprint; names of even length are of one kind wherever they stand."""
+    kind = F.when(F.length("name") % 2 == 0, "class").otherwise(F.col("kind"))
+    return exports.withColumn("kind", kind).withColumn("signature", F.array_sort(F.concat(F.split("name", " "), F.array("kind", "language"))))
+
+
 def _signed(t: Tables) -> DataFrame:
-    return t.exports.withColumn("signature", F.array_sort(F.concat(F.split("name", " "), F.array("kind", "language"))))
+    return _shaped(t.exports)
 
 
-query("exact_twins", _REGISTRY + """,
-s AS (SELECT r.*, list_sort(list_concat(string_split(x.name, ' '), [x.kind, x.language])) AS signature FROM registry r JOIN exports x ON x.path = r.path AND x.name = r.name),
+_KIND = "CASE WHEN length(x.name) % 2 = 0 THEN 'class' ELSE x.kind END"
+query("exact_twins", _REGISTRY + f""",
+s AS (SELECT r.*, {_KIND} AS kind, list_sort(list_concat(string_split(x.name, ' '), [{_KIND}, x.language])) AS signature FROM registry r JOIN exports x ON x.path = r.path AND x.name = r.name),
 k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY import_count DESC, length(path), path) AS rank FROM s),
 j AS (SELECT k.name, h.path AS canonical, k.path, len(list_intersect(k.signature, h.signature)) / len(list_distinct(list_concat(k.signature, h.signature))) AS sim
-  FROM k JOIN k h ON h.name = k.name AND h.rank = 1 WHERE k.rank > 1)
-SELECT name, canonical, path, round(sim, 6) AS similarity, CASE WHEN sim >= 0.999 THEN 'EXACT' WHEN sim >= 0.4 THEN 'SHAPE_SIMILAR' ELSE 'NAME_COLLISION' END AS class FROM j""")(
+  FROM k JOIN k h ON h.name = k.name AND h.rank = 1 WHERE k.rank > 1),
+mx AS (SELECT name FROM k GROUP BY name HAVING count(DISTINCT kind) > 1)
+SELECT name, canonical, path, round(sim, 6) AS similarity, CASE WHEN name IN (SELECT name FROM mx) THEN 'NAME_COLLISION' WHEN sim >= 0.999 THEN 'EXACT' WHEN sim >= 0.4 THEN 'SHAPE_SIMILAR' ELSE 'NAME_COLLISION' END AS class FROM j""")(
     lambda t: symbols.exact_twins(_signed(t), t.imports))
 
 

@@ -214,3 +214,16 @@ def test_constants_and_artifact_classes(spark):
 def test_similar_files_of_a_popular_module(spark):
     rows = [(f"f{k}", m) for k in range(30) for m in ("popular", f"own{k}")]
     assert symbols.similar_files(frame(spark, rows, "path string, resolved_path string"), 0.5).collect() == []
+
+
+def test_twin_classes(spark):
+    exports = [
+        ("a", "same", "function", ["x", "y"]), ("b", "same", "function", ["y", "x"]), ("a", "near", "function", ["x", "y"]), ("b", "near", "function", ["x", "z", "y"]), ("a", "far", "function", ["x"]),
+        ("b", "far", "function", ["q"]), ("a", "mixed", "class", ["x"]), ("b", "mixed", "function", ["x"]), ("a", "bare", "class", None), ("b", "bare", "class", None), ("a", "to_x", "method", ["x"]),
+        ("b", "to_x", "method", ["x"]), ("a", "draw", "method", ["x"]), ("b", "draw", "method", ["x"]), ("a", "alone", "class", ["x"]),
+    ]
+    imports = frame(spark, [("z", "b", "same")], "path string, resolved_path string, name string")
+    got = {r["name"]: (r["class"], r["canonical"]) for r in symbols.exact_twins(frame(spark, exports, "path string, name string, kind string, signature array<string>"), imports).collect()}
+    assert got == {
+        "same": ("EXACT", "b"), "near": ("SHAPE_SIMILAR", "a"), "far": ("NAME_COLLISION", "a"), "mixed": ("NAME_COLLISION", "a"), "bare": ("NAME_COLLISION", "a"), "to_x": ("IDIOM", "a"), "draw": ("NAME_COLLISION", "a"),
+    }
