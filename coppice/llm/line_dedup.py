@@ -118,32 +118,36 @@ def words(text: Column) -> Column:
     return F.split(text, r"(?<=\s)(?=\S)")
 
 
+def _least(keys: Column) -> Column:
+    """For each place the least of the NEAR keys from it on; minima of 2, 4, 8 of them are minima of halves."""
+    ahead = lambda held, n: F.transform(F.array(held), lambda x: F.zip_with(x, F.slice(x, n + 1, F.size(x)), lambda a, b: F.least(a, b)))
+    width = 1
+    while width < NEAR:
+        step = min(width, NEAR - width)
+        keys, width = F.get(ahead(keys, step), F.lit(0)), width + step
+    return keys
+
+
 def windows(text: Column) -> Column:
     """(k, passage) of the windows of a text: the place of the first word and the words, without white space behind."""
     held = words(text)
-    stops = F.transform(held, lambda x: F.contains(x, F.lit("\n")))
     # A word's hash in the upper bits and its place in the lower ones.
     trimmed = lambda x: F.xxhash64(F.rtrim(x, F.lit(" \t\r\n")))
     keys = F.transform(held, lambda x, i: F.shiftleft(F.shiftright(trimmed(x), PLACE), PLACE).bitwiseOR(i.cast("long")))
-    built = F.struct(held.alias("words"), stops.alias("stops"), keys.alias("keys"))
+    stops = F.filter(F.transform(held, lambda x, i: F.when(F.contains(x, F.lit("\n")), i)), lambda i: i.isNotNull())
 
     def found(made: Column) -> Column:
-        size = F.size(made["words"])
-        places = F.sequence(F.lit(0), size - WINDOW)
-
-        def least(k: Column) -> Column:
-            return F.array_min(F.slice(made["keys"], k + 1, NEAR)).bitwiseAND(F.lit(2**PLACE - 1)).cast("int")
-
-        def edge(k: Column) -> Column:
-            end = k + WINDOW
-            return (k == 0) | F.get(made["stops"], k - 1) | (end == size) | F.get(made["stops"], end - 1)
+        last = F.size(made["words"]) - WINDOW
+        ends = F.concat(F.transform(made["stops"], lambda i: i + 1), F.transform(made["stops"], lambda i: i - (WINDOW - 1)), F.array(F.lit(0), last))
+        chosen = F.transform(F.slice(made["least"], 1, last + 1), lambda x: x.bitwiseAND(F.lit(2**PLACE - 1)).cast("int"))
+        places = F.filter(F.array_union(chosen, ends), lambda k: (k >= 0) & (k <= last))
 
         def window(k: Column) -> Column:
             return F.struct(k.alias("k"), F.rtrim(F.array_join(F.slice(made["words"], k + 1, WINDOW), ""), F.lit(" \t\r\n")).alias("passage"))
 
-        chosen = F.filter(F.transform(places, least), lambda k: k <= size - WINDOW)
-        return F.transform(F.array_union(chosen, F.filter(places, edge)), window)
+        return F.transform(places, window)
 
+    built = F.struct(held.alias("words"), stops.alias("stops"), _least(keys).alias("least"))
     long = F.when(F.size(held) >= WINDOW, F.get(F.transform(F.array(built), found), F.lit(0)))
     return F.coalesce(long, F.array().cast("array<struct<k:int,passage:string>>"))
 
