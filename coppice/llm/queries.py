@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from coppice.llm import avi, decontamination, infill, line_dedup, packing, pii, sharding, simhash, suffix_dedup, toxicity, warc
+from coppice.llm import avi, decontamination, finite_tokens, infill, line_dedup, packing, pii, sharding, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_pii_deobfuscation": pii.op8_pii_deobfuscation,
     "op9_virtual_slots": sharding.op9_virtual_slots,
     "op10_avi_motion_jpeg": avi.op10_avi_motion_jpeg,
+    "op11_token_counts": finite_tokens.op11_token_counts,
     "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
 ORACLES = {
