@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from coppice.llm import avi, decontamination, finite_tokens, infill, line_dedup, packing, pii, sharding, simhash, suffix_dedup, toxicity, warc
+from coppice.llm import alignment, avi, decontamination, finite_tokens, infill, line_dedup, packing, pii, sharding, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_virtual_slots": sharding.op9_virtual_slots,
     "op10_avi_motion_jpeg": avi.op10_avi_motion_jpeg,
     "op11_token_counts": finite_tokens.op11_token_counts,
+    "op12_token_alignment": alignment.op12_token_alignment,
     "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
 ORACLES = {
