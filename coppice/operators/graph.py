@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from coppice.functions.paths import dirname, is_non_production, module_key
 from coppice.plans.components import connected_components
 from coppice.plans.storage import materialize
-from coppice.plans.traversal import closure, reach, strongly_connected
+from coppice.plans.sweeps import dependents
+from coppice.plans.traversal import reach, strongly_connected
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -40,9 +41,10 @@ def impact_counts(edges: DataFrame, targets: DataFrame, max_depth: int | None =
 
 
 def all_impact_counts(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """As impact_counts() for every file, by ways that double in length."""
-    ways = closure(reversed_edges(edges)).select(F.col("src").alias("source"), F.col("dst").alias("node"), "depth")
-    return _counted(ways, files)
+    """As impact_counts() for every file, by sweeps of bitsets: no row per pair of files."""
+    counts = dependents(edges.select("src", "dst", F.lit(True).alias("on")))
+    rows = files.select(F.col("path").alias("target")).distinct().join(counts.withColumnRenamed("node", "target"), "target", "left")
+    return rows.select("target", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("direct", "dependents", "deepest")))
 
 
 def dependencies(edges: DataFrame, targets: DataFrame, files: DataFrame, max_depth: int = 2) -> DataFrame:
@@ -81,8 +83,10 @@ def who_imports(edges: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def transitive_importers(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Number of importers of every file, re-exports followed."""
-    return who_imports(edges, files.select("path")).groupBy("target").agg(F.count("*").alias("importers"))
+    """Number of importers of every file that has any, re-exports followed: sets of importers flow along re-exports."""
+    counts = dependents(edges.select("src", "dst", (F.col("label") == "reexport").alias("on")))
+    rows = counts.join(files.select(F.col("path").alias("node")).distinct(), "node", "left_semi")
+    return rows.select(F.col("node").alias("target"), F.col("dependents").alias("importers"))
 
 
 def blast_radius(edges: DataFrame, targets: DataFrame, labels: tuple[str, ...]) -> DataFrame:

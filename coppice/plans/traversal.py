@@ -13,12 +13,13 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.plans.storage import drop, materialize, measured
+from coppice.plans.storage import materialize, measured
+from coppice.plans.sweeps import mutual
 
 #: Rounds of a walk that stay tables of their own before they are put together.
 ROUNDS = 8
-#: Edges of which all ways are taken at once: at most the square of this.
-SMALL = 2_000
+#: Edges of which components are found by bitsets within tasks.
+SMALL = 200_000
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -59,33 +60,13 @@ def reach(
     return _union(reached)
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """src, dst and the least number of steps of every pair of different nodes with a way between them.
-
-    Ways double in length each round, so rounds grow with the log of the longest one.
-    For all sources at once; reach() is for chosen ones.
-    """
-    steps = edges.select("src", "dst").where("src <> dst").distinct().withColumn("depth", F.lit(1))
-    state = {"n": F.count("*"), "total": F.sum("depth")}
-    known, seen = measured(steps, "ways", **state)
-    while seen["n"]:
-        on = known.select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("depth").alias("more"))
-        longer = known.join(on, "dst").where("src <> to").select("src", F.col("to").alias("dst"), (F.col("depth") + F.col("more")).alias("depth"))
-        before, old = seen, known
-        known, seen = measured(known.unionByName(longer).groupBy("src", "dst").agg(F.min("depth").alias("depth")), "ways", **state)
-        drop(old)
-        if seen == before:
-            break
-    return known
-
-
 def trim(edges: DataFrame) -> tuple[DataFrame, int]:
     """Edges between nodes that have both an incoming and an outgoing edge, and their number; cycles stay whole.
 
-    Repeated while a round takes away a fifth or more; the rest is left to what follows.
+    Repeated while more than SMALL are left and a round takes away a fifth or more; the rest is left to what follows.
     """
     current, seen = measured(edges, "untrimmed", n=F.count("*"))
-    while seen["n"]:
+    while seen["n"] > SMALL:
         kept = current.join(current.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         kept = kept.join(current.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
         before, (current, seen) = seen, measured(kept, "trimmed", n=F.count("*"))
@@ -99,7 +80,7 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
 
     Colouring: the smallest label flows forward until it rests; nodes of a colour that
     reach the colour's root backward are its component; the others go round again. What is
-    left of at most SMALL edges has few enough ways to take all of them, in fewer rounds.
+    left of at most SMALL edges is swept by bitsets in both directions, in one job.
     """
     clean = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
     loops = clean.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
@@ -122,9 +103,6 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
         left = rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
         rest, n = trim(left.select("src", "dst"))
     if n:
-        ways = closure(rest)
-        back = ways.select(F.col("src").alias("b"), F.col("dst").alias("a"))
-        both = ways.join(back, (F.col("src") == F.col("a")) & (F.col("dst") == F.col("b")))
-        found.append(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("component")))
+        found.append(mutual(rest))
     grouped = _union([*found, loops])
     return grouped.groupBy("node").agg(F.min("component").alias("component"))

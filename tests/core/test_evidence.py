@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from coppice.functions import paths
 from coppice.operators import bridges, explore, graph, occurrences, search, symbols, truth
-from coppice.plans.traversal import closure
 
 rng = random.Random(4)
 EXPORT = "path string, name string, kind string, language string, line long"
@@ -81,27 +80,6 @@ def test_cycle_kinds(spark):
     assert got["r0.ts"]["risk"] == "medium" and got["hub.ts"]["risk"] == "none" and got["tests/p.ts"]["fixture"] and not got["a.ts"]["fixture"] and got["a.ts"]["severity"] == 3
 
 
-def test_closure_has_least_depths(spark):
-    edges = [(f"n{rng.randrange(25):02}", f"n{rng.randrange(25):02}") for _ in range(40)] + [(None, "n01"), ("z1", "z2"), *((f"c{k:02}", f"c{k + 1:02}") for k in range(20))]
-    out = {}
-    for a, b in edges:
-        out.setdefault(a, set()).add(b)
-    want = {}
-    for start in {a for a, _ in edges if a}:
-        depth, ring, seen = 0, {start}, {start}
-        while ring:
-            depth += 1
-            ring = {y for x in ring for y in out.get(x, ()) if y} - seen
-            seen |= ring
-            want |= {(start, x): depth for x in ring}
-    got = {(r["src"], r["dst"]): r["depth"] for r in closure(frame(spark, edges, "src string, dst string")).collect()}
-    assert got == want
-    targets = frame(spark, [("c20",), ("none",)], "path string")
-    counts = {r["target"]: (r["direct"], r["dependents"], r["deepest"]) for r in graph.impact_counts(frame(spark, edges, "src string, dst string"), targets).collect()}
-    assert counts == {"c20": (1, 20, 20), "none": (0, 0, 0)}
-    assert {r["target"]: (r["direct"], r["dependents"], r["deepest"]) for r in graph.all_impact_counts(frame(spark, edges, "src string, dst string"), targets).collect()} == counts
-
-
 def test_targets(spark):
     files = frame(spark, [("src/lib.rs",), ("app/src/lib.rs",), ("app/main.rs",), ("lib.rs",)], "path string")
     got = {r["asked"]: (r["path"], r["state"]) for r in explore.resolve_targets(files, frame(spark, [("main.rs",), ("./lib.rs",), ("src/lib.rs",), ("app\\main.rs",), ("gone",)], "asked string")).collect()}
