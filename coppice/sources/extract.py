@@ -11,6 +11,7 @@ many-line constructs is out of its reach.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.functions.paths import artifact_class, basename, dirname, extension, file_kind, is_test_path, matches_glob
+from coppice.plans.storage import measured
+from coppice.sources import ignore as rules
 
 # Fixed values: (extensions, table, kind, pattern of a line); the first group is the name or source.
 RULES = [
@@ -59,12 +62,13 @@ RULES = [
     (("yml", "yaml"), "env_declarations", "compose", r"^\s*-\s*([A-Z][A-Z0-9_]*)="),
     (("yml", "yaml"), "env_declarations", "k8s", r"^\s*-?\s*name:\s*([A-Z][A-Z0-9_]+)\s*$"),
 ]
-#: Endings and index files tried for a relative import, in this order.
-CANDIDATES = ("", ".ts", ".tsx", ".js", ".jsx", ".py", ".rs", "/index.ts", "/index.tsx", "/index.js", "/__init__.py", "/mod.rs")
 
 
-def read_files(spark: SparkSession, root: str, ignore: tuple[str, ...] = ("**/.git/**", "**/node_modules/**")) -> DataFrame:
-    """path (below root), content, mtime and length of every file under root that no ignore pattern matches and that is UTF-8 text."""
+def read_files(spark: SparkSession, root: str, ignore: tuple[str, ...] = ("**/.git/**", "**/node_modules/**"), ignore_files: tuple[str, ...] = ()) -> DataFrame:
+    """path (below root), content, mtime and length of every file under root that no ignore pattern matches and that is UTF-8 text.
+
+    ignore_files: names of ignore files whose rules hold as well, for instance ignore.NAMES.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     raw = raw.select("path", "content", F.unix_timestamp("modificationTime").alias("mtime"), "length")
     raw = raw.unionByName(_hidden_files(spark, root))
@@ -74,7 +78,8 @@ def read_files(spark: SparkSession, root: str, ignore: tuple[str, ...] = ("**/.g
     for pattern in ignore:
         rows = rows.where(~matches_glob(F.concat(F.lit("/"), "path"), pattern))
     text = F.when(F.position(F.lit(b"\0"), F.col("content")) == 0, F.try_validate_utf8(F.col("content").cast("string")))
-    return rows.select("path", text.alias("content"), "mtime", "length").where("content IS NOT NULL")
+    texts = rows.select("path", text.alias("content"), "mtime", "length").where("content IS NOT NULL")
+    return rules.kept(texts, rules.rules(texts, ignore_files)) if ignore_files else texts
 
 
 def _located(uri: str) -> tuple[fs.FileSystem, str]:
@@ -83,12 +88,33 @@ def _located(uri: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), local) if local is not None else fs.FileSystem.from_uri(uri)
 
 
-def _hidden_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files whose names begin with a dot or an underscore, which Spark's file sources don't list; tasks read them."""
-    store, base = _located(root)
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """uri, hidden, mtime and length of every file below root, one round of tasks for each level of folders; links to folders aren't followed."""
+    base = _located(root)[1].rstrip("/")
     scheme = root.split("://")[0] + "://" + root.split("://")[1].split("/")[0] if "://" in root and not root.startswith("file:") else ""
-    found = store.get_file_info(fs.FileSelector(base, recursive=True))
-    hidden = [(scheme + x.path if scheme else x.path, int(x.mtime.timestamp()), x.size) for x in found if x.is_file and any(p[0] in "._" for p in x.path[len(base) :].split("/") if p)]
+    schema = "uri string, folder boolean, hidden boolean, mtime bigint, length bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, hidden in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, at = _located(uri)
+                found = [x for x in store.get_file_info(fs.FileSelector(at)) if x.is_file or not (isinstance(store, fs.LocalFileSystem) and os.path.islink(x.path))]
+                columns = [scheme + x.path for x in found], [not x.is_file for x in found], [hidden or x.base_name[0] in "._" for x in found], [int(x.mtime.timestamp()) for x in found], [x.size or 0 for x in found]
+                kinds = pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["uri", "folder", "hidden", "mtime", "length"])
+
+    folders, files = spark.createDataFrame([(scheme + base, False)], "uri string, hidden boolean"), None
+    while True:
+        level, seen = measured(folders.repartition("uri").mapInArrow(run, schema), "tree-level", n=F.count_if("folder"))
+        found = level.where("NOT folder").drop("folder")
+        files = found if files is None else files.unionByName(found)
+        if not seen["n"]:
+            return files
+        folders = level.where("folder").select("uri", "hidden")
+
+
+def _hidden_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files whose names begin with a dot or an underscore, which Spark's file sources don't list; tasks find and read them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +125,7 @@ def _hidden_files(spark: SparkSession, root: str) -> DataFrame:
                     content.append(source.read())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), batch.column(1), batch.column(2)], names=["path", "content", "mtime", "length"])
 
-    names = spark.createDataFrame(hidden, "path string, mtime bigint, length bigint").repartition(max(1, min(len(hidden), 64)))
+    names = list_tree(spark, root).where("hidden").select("uri", "mtime", "length").repartition("uri")
     return names.mapInArrow(run, "path string, content binary, mtime bigint, length bigint")
 
 
@@ -124,26 +150,6 @@ def extract(texts: DataFrame) -> DataFrame:
     return hits.select("path", "line", "x.*")
 
 
-def _joined(directory, source):
-    """A relative source below a directory, with `.` and `..` resolved."""
-    parts = F.filter(F.split(F.concat_ws("/", directory, source), "/"), lambda x: ~x.isin("", "."))
-    done = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x)))
-    return F.array_join(done, "/")
-
-
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """Import rows with the file they lead to: the first existing candidate, or none."""
-    relative = F.startswith("name", F.lit("."))
-    dotted = F.when(relative & ~F.contains("name", F.lit("/")), F.regexp_replace("name", r"^\.", "./")).otherwise(F.col("name"))
-    module = F.when(F.endswith("path", F.lit(".py")), F.replace(F.regexp_replace(dotted, r"^\./\.", "../"), F.lit("."), F.lit("/"))).otherwise(F.col("name"))
-    base = F.when(F.endswith("path", F.lit(".py")) & ~relative, module).when(F.endswith("path", F.lit(".py")), _joined(dirname(F.col("path")), module)).otherwise(_joined(dirname(F.col("path")), F.col("name")))
-    tried = F.transform(F.array(*map(F.lit, CANDIDATES)), lambda c: F.concat(base, c))
-    rows = imports.select("*", F.posexplode(tried).alias("rank", "candidate"))
-    hit = rows.join(files.select(F.col("path").alias("candidate"), F.lit(True).alias("there")), "candidate", "left")
-    keys = imports.columns
-    return hit.groupBy(*keys).agg(F.min_by("candidate", F.when(F.col("there"), F.col("rank"))).alias("resolved_path"))
-
-
 def import_edges(resolved: DataFrame) -> DataFrame:
     """Edges of resolved imports, with the label that the graph operators know."""
     label = F.when(F.col("kind") == "reexport", "reexport").when(F.col("kind") == "dynamic", "lazy_import").when(F.col("kind") == "mod", "mod").otherwise("import")

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.functions.paths import dirname, extension, is_test_path
 from coppice.sources import extract
 from coppice.sources import names as found_names
+from coppice.sources.resolution import resolve
 
 TABLES = ("files", "symbols", "edges", "names")
+#: Files whose content or presence tells how imports are resolved; a table that older snapshots lack.
+CONFIGS = r"(^|/)([\w.-]*(ts|js)config[\w.-]*\.json|svelte\.config\.(js|ts)|pyproject\.toml|setup\.(py|cfg)|Cargo\.toml)$"
 #: Kinds of names that lead to another file.
 LEADING = ("static", "type", "side_effect", "dynamic", "lazy", "reexport")
 
@@ -24,27 +28,39 @@ class Snapshot:
     symbols: DataFrame
     edges: DataFrame
     names: DataFrame
+    configs: DataFrame | None = None
 
     @classmethod
     def of_texts(cls, texts: DataFrame) -> Snapshot:
         """From path and content."""
         files, symbols = extract.file_table(texts), extract.extract(texts)
         names = found_names.names(texts)
-        return cls(files, symbols, cls._edges(symbols, files), names)
+        configs = texts.where(F.col("path").rlike(CONFIGS)).select("path", "content")
+        return cls(files, symbols, cls._edges(symbols, files, configs), names, configs)
 
     @staticmethod
-    def _edges(symbols: DataFrame, files: DataFrame) -> DataFrame:
-        resolved = extract.resolve_imports(symbols.where("table = 'imports'").select("path", "line", "kind", "name"), files)
-        return extract.import_edges(resolved)
+    def _edges(symbols: DataFrame, files: DataFrame, configs: DataFrame) -> DataFrame:
+        return extract.import_edges(resolve(symbols.where("table = 'imports'").select("path", "line", "kind", "name"), files, configs))
+
+    def _configs(self) -> DataFrame:
+        if self.configs is not None:
+            return self.configs
+        return self.files.where(F.col("path").rlike(CONFIGS)).select("path", F.lit(None).cast("string").alias("content"))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Snapshot:
         """mergeSchema lets tables of older snapshots lack later columns."""
-        return cls(*(spark.read.option("mergeSchema", True).parquet(f"{path}/{name}") for name in TABLES))
+        read = lambda name: spark.read.option("mergeSchema", True).parquet(f"{path}/{name}")
+        try:
+            configs = read("configs")
+        except AnalysisException:  # of an older version
+            configs = None
+        return cls(*map(read, TABLES), configs)
 
     def save(self, path: str) -> None:
         for name in TABLES:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        self._configs().write.mode("overwrite").parquet(f"{path}/configs")
 
     def patched(self, changed: Snapshot, paths: DataFrame) -> Snapshot:
         """This snapshot with all rows of the given paths replaced by those of another; every import is resolved among the new files."""
@@ -54,14 +70,15 @@ class Snapshot:
             return old.select(*getattr(self, name).columns).unionByName(getattr(changed, name))
 
         files, symbols = swap("files"), swap("symbols")
-        return Snapshot(files, symbols, self._edges(symbols, files), swap("names"))
+        configs = self._configs().join(paths.select("path").distinct(), "path", "left_anti").unionByName(changed._configs())
+        return Snapshot(files, symbols, self._edges(symbols, files, configs), swap("names"), configs)
 
     # The tables that the operators on symbols read.
 
     def imports(self) -> DataFrame:
         """path, name ('*' for a whole module), alias, source, kind, resolved_path and is_test of every imported name."""
         rows = self.names.where(F.col("kind").isin(*LEADING)).select("path", "line", "kind", F.col("source").alias("name"), F.col("name").alias("imported"), "alias")
-        resolved = extract.resolve_imports(rows, self.files)
+        resolved = resolve(rows, self.files, self._configs())
         return resolved.select("path", "line", "kind", F.col("name").alias("source"), F.col("imported").alias("name"), "alias", "resolved_path", is_test_path(F.col("path")).alias("is_test"))
 
     def exports(self) -> DataFrame:
