@@ -49,19 +49,22 @@ def _odd(text: Column, mark: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit(""))) - 2 * (F.length(text) - F.length(F.replace(text, F.lit("\\" + mark), F.lit("")))) / 2
 
 
-def kind_of(path: Column, before: Column, after: Column, term: Column) -> Column:
-    """What a place is by its line alone; the first that holds."""
+def kind_of(path: Column, before: Column, after: Column, term: Column, commented: Column | None = None, quoted: Column | None = None) -> Column:
+    """What a place is by its line; the first that holds. commented, quoted: what the lexer knows, null where it knows nothing."""
     ext, pre, suf = extension(path), F.rtrim(before), F.ltrim(after)
     inside = lambda mark: F.pmod(_odd(before, mark).cast("int"), F.lit(2)) == 1
     hash_comment = ext.isin("py", "sh", "bash", "rb", "yml", "yaml", "toml", "mk") & before.rlike(r"(^|\s)#")
     comment = before.rlike(r"(^|[^:])//") | hash_comment | before.rlike(r"/\*(?!.*\*/)") | before.rlike(r"^\s*\*\s") | before.rlike(r"<!--(?!.*-->)")
+    comment = comment if commented is None else F.coalesce(commented, comment)
+    strung = inside('"') | inside("'") | inside("`")
+    strung = strung if quoted is None else F.coalesce(quoted, strung)
     markup = ext.isin(*SCRIPTS)
     identifier = term.rlike(r"^[A-Za-z_$][A-Za-z0-9_$-]*$")
     return (
         F.when(comment, "comment").when(pre.rlike(r"(^|\s)(use|import|from)(\s|$)") & pre.rlike(r"^\s*(pub\s+)?(use|import|from)\b"), "import_like")
         .when(markup & pre.rlike(r"(^|\s)data-$"), "data_attribute").when(pre.rlike(r"--$") & (ext.isin(*STYLES) | markup | pre.rlike(r"var\(--$")), "custom_property")
         .when(ext.isin(*STYLES) & pre.rlike(r"\.$"), "class_token").when(ext.isin(*STYLES) & suf.rlike(r"^:[^:]") & pre.rlike(r"(^|[{;])$"), "css_property")
-        .when(before.rlike(r"""class(Name)?\s*=\s*["'{`][^"'`}]*$"""), "class_token").when(inside('"') | inside("'") | inside("`"), "string_literal")
+        .when(before.rlike(r"""class(Name)?\s*=\s*["'{`][^"'`}]*$"""), "class_token").when(strung, "string_literal")
         .when(pre.rlike(r"(^|\s)(let|let\s+mut|const|var|fn|def|class|function|struct|enum|type|interface)$"), "definition_like")
         .when(suf.rlike(r"^(<<=|>>=|[-+*/%&|^]=|=(?![=>]))"), "mutation_like").when(pre.rlike(r"\{[^(){}\[\]]*$") & suf.rlike(r"^(,|\}|$)"), "field_emit_like")
         .when(identifier, "identifier").otherwise("unknown")
@@ -94,9 +97,14 @@ def scope_of(path: Column) -> Column:
     )
 
 
-def classified(found: DataFrame) -> DataFrame:
-    """Places with kind, role, confidence and scope."""
-    rows = found.withColumn("kind", kind_of(F.col("path"), F.col("before"), F.col("after"), F.col("term"))).withColumn("role", _mapped(ROLE_OF, F.col("kind")))
+def classified(found: DataFrame, lexed: DataFrame | None = None) -> DataFrame:
+    """Places with kind, role, confidence and scope; lexed lines tell comments and strings that go over lines."""
+    known = (None, None)
+    if lexed is not None:
+        found = found.join(lexed.select("path", "line", "code", "comments"), ["path", "line"], "left")
+        blank = lambda c: F.substring(F.col(c), F.col("column").cast("int"), F.lit(1)) != F.substring("term", 1, 1)
+        known = (~blank("comments"), blank("comments") & blank("code"))
+    rows = found.withColumn("kind", kind_of(F.col("path"), F.col("before"), F.col("after"), F.col("term"), *known)).withColumn("role", _mapped(ROLE_OF, F.col("kind")))
     confidence = F.when(F.col("kind") == "unknown", "low").when(F.col("kind") == "identifier", "medium").otherwise("high")
     return rows.select("path", "line", "column", "term", "kind", "role", confidence.alias("confidence"), scope_of(F.col("path")).alias("scope"))
 

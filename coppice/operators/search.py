@@ -113,6 +113,25 @@ def inventory(texts: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return found.groupBy("kind").agg(F.count("*").alias("lines"), F.count_distinct("path").alias("files"))
 
 
+#: Silencers that are code; all others work in comments alone.
+IN_CODE = ("dead-code", "allow", "ignore", "unsafe", "unsafe-env-var")
+
+
+def silencer_places(lexed: DataFrame) -> DataFrame:
+    """path, line and kind of every silencer that stands where it works: attributes and blocks in code, the others in comments.
+
+    Lines of files without a lexer are taken as they are.
+    """
+    where = lambda k: F.coalesce("code" if k in IN_CODE else "comments", "text")
+    kinds = F.filter(F.array(*[F.when(where(k).rlike(p), k) for k, p in SILENCERS.items()]), lambda x: x.isNotNull())
+    return lexed.select("path", "line", F.explode(kinds).alias("kind"))
+
+
+def silencer_inventory(lexed: DataFrame) -> DataFrame:
+    """Per kind the lines and files of silencer_places()."""
+    return silencer_places(lexed).groupBy("kind").agg(F.count("*").alias("lines"), F.count_distinct("path").alias("files"))
+
+
 def styles(texts: DataFrame) -> DataFrame:
     """path, line, selector, property and value of every layout declaration; the selector is what stands before the last open brace."""
     rows = lines(texts)
