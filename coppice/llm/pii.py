@@ -12,8 +12,8 @@ The plain patterns also run on the source itself; the spans found there always s
 disguised span is added beside them if it overlaps none of its kind or is wider than all
 that it overlaps.
 
-Work is linear in the text: e-mail addresses are found from their `@`, and the
-number patterns start only at the first digit of a run.
+Work is linear in the text: addresses, spoken and spelled ones too, are searched from
+their sign outward, and the number patterns start only at the first digit of a run.
 
 Defined results: a null text is empty; an empty text has no span; equal rows get
 equal results, one row each; further columns are ignored; an empty table gives an
@@ -69,7 +69,10 @@ DIGIT_RUN = re.compile(rf"(?<!\w)(?:(?:{_plus})[\s,-]{{1,3}})?(?:{_word})(?:[\s,
 DIGIT_PART = re.compile(rf"{_word}|{_signs}|[0-9]+", re.I)
 _at, _dot = "|".join(AT_WORDS), "|".join(DOT_WORDS)
 BRACKETED = re.compile(rf"(?<!\s)\s*+(?:\[\s*(?:(?P<a>@|{_at})|(?P<d>\.|{_dot}))\s*\]|\(\s*(?:(?P<b>@|{_at})|(?P<e>\.|{_dot}))\s*\)|\{{\s*(?:(?P<c>@|{_at})|(?P<f>\.|{_dot}))\s*\}})\s*", re.I)
-SPOKEN_ADDRESS = re.compile(rf"(?<![\w.%+-])(?P<local>[a-z0-9](?:[a-z0-9_%+-]|\.(?=[a-z0-9]))*(?:\s(?:{_dot})\s[a-z0-9_%+-]+)*)\s(?P<at>{_at})\s(?P<domain>(?:[a-z0-9-]+(?:\s(?:{_dot})\s|\.))+[a-z]{{2,}})(?!\w)", re.I)
+SPOKEN_DOMAIN = re.compile(rf"\s(?P<at>{_at})\s(?P<domain>(?:[a-z0-9-]+(?:\s(?:{_dot})\s|\.))+[a-z]{{2,}})(?!\w)", re.I)
+FIRST_WORD = re.compile(r"[a-z0-9](?:[a-z0-9_%+-]|\.(?=[a-z0-9]))*", re.I)
+LATER_WORD = re.compile(r"[a-z0-9_%+-]+", re.I)
+DOT_BEFORE = re.compile(rf"\s(?:{_dot})\s\Z", re.I)
 # Words before a spoken `at` and a plain domain that are no mailbox.
 NO_MAILBOX = frozenset("look looked see visit visited found find us me them it available online is was are be read sold site page shop here there live meet met hosted published".split())
 REFERENCE = re.compile(r"&#(?P<n>[0-9]{2,3});|&#x(?P<x>[0-7][0-9a-f]);|&(?P<w>commat|period|lowbar|plus|hyphen);|(?<=\w)%(?P<q>40|2e)(?=\w)", re.I)
@@ -77,7 +80,7 @@ REFERENCE = re.compile(r"&#(?P<n>[0-9]{2,3});|&#x(?P<x>[0-7][0-9a-f]);|&(?P<w>co
 NAMED = {"commat": "@", "period": ".", "lowbar": "_", "plus": "+", "hyphen": "-"}
 SPACED_ADDRESS = re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}\s?@\s?[A-Za-z0-9-]+(?:\s\.\s[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)*?(?:\s\.\s|\.)[A-Za-z]{2,}(?!\w)", re.A)
 SPACED_SIGN = re.compile(r"\s?@\s?|\s\.\s")
-LETTERED = re.compile(r"(?<!\S)(?:[A-Za-z0-9._%+-]\s){2,}@(?:(?:\s[A-Za-z0-9.-](?!\S))+|\s?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
+LETTERED_DOMAIN = re.compile(r"@(?:(?:\s[A-Za-z0-9.-](?!\S))+|\s?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
 SPACE = re.compile(r"\s")
 SPOKEN_IP = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:(?:\s(?:{_dot})\s|\s\.\s)[0-9]{{1,3}}){{3}}(?![\w.])", re.I)
 IP_SIGN = re.compile(rf"\s(?:{_dot}|\.)\s", re.I)
@@ -163,19 +166,55 @@ def spoken_digits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def spoken_addresses(text: str) -> Iterator[tuple[int, int, re.Match]]:
+    """(start, end of the mailbox, match of sign and domain) of spoken addresses; each is searched from its sign outward, so long chains are walked once."""
+    done = 0
+    for m in SPOKEN_DOMAIN.finditer(text):
+        start, i, later = None, m.start(), True
+        while later:
+            end = i
+            while i > done and (text[i - 1].isalnum() or text[i - 1] in "._%+-"):
+                i -= 1
+            if i == end:
+                break
+            if FIRST_WORD.fullmatch(text, i, end):
+                start = i
+            before = DOT_BEFORE.search(text, max(done, i - 9), i)
+            later = before is not None and LATER_WORD.fullmatch(text, i, end) is not None
+            i = before.start() if before else i
+        if start is not None:
+            done = m.end()
+            yield start, m.start(), m
+
+
+def lettered_addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of addresses spelled letter by letter, searched from the sign to the left and matched to the right."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        i = at
+        while i - 2 >= done and text[i - 1].isspace() and text[i - 2] in LOCAL:
+            i -= 2
+        if i > done and not text[i - 1].isspace():  # the first letter belongs to a word
+            i += 2
+        if at - i >= 4 and (m := LETTERED_DOMAIN.match(text, at)):
+            done = m.end()
+            yield i, done
+        at = text.find("@", max(done, at + 1))
+
+
 def signs(mapped: Mapped) -> None:
     """At and dot signs in brackets, spoken or spaced, and addresses spelled letter by letter."""
     mapped.rewrite([(m.start(), m.end(), "@" if m["a"] or m["b"] or m["c"] else ".") for m in BRACKETED.finditer(mapped.text) if m.start() and m.end() < len(mapped.text)])
     if SPOKEN_GATE.search(mapped.text):
         edits = []
-        for m in SPOKEN_ADDRESS.finditer(mapped.text):
-            if m["local"].lower() in NO_MAILBOX and not SPOKEN_DOT.search(m["domain"]):
+        for start, end, m in spoken_addresses(mapped.text):
+            if mapped.text[start:end].lower() in NO_MAILBOX and not SPOKEN_DOT.search(m["domain"]):
                 continue
-            dots = [(d.start(), d.end(), ".") for d in SPOKEN_DOT.finditer(mapped.text, *m.span())]
+            dots = [(d.start(), d.end(), ".") for d in SPOKEN_DOT.finditer(mapped.text, start, m.end())]
             edits += sorted([*dots, (m.start("at") - 1, m.end("at") + 1, "@")])
         mapped.rewrite(edits)
+        mapped.rewrite([(d.start(), d.end(), "") for span in lettered_addresses(mapped.text) for d in SPACE.finditer(mapped.text, *span)])
         within = lambda whole, part, new: [(d.start(), d.end(), new(d[0])) for m in whole.finditer(mapped.text) for d in part.finditer(mapped.text, *m.span())]
-        mapped.rewrite(within(LETTERED, SPACE, lambda _: ""))
         mapped.rewrite(within(SPACED_ADDRESS, SPACED_SIGN, str.strip))
         mapped.rewrite(within(SPACED_DOMAIN, SPOKEN_DOT, lambda _: "."))
         mapped.rewrite(within(SPOKEN_IP, IP_SIGN, lambda _: "."))

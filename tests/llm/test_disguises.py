@@ -73,3 +73,12 @@ def test_query_columns(spark):
         plain = [b for (doc, _), b in base.items() if doc == r["doc_id"]]
         assert any(set(b) <= set(spans) and len(spans) == len(b) + r["n_disguised"] for b in plain)
     assert any(r["n_disguised"] for r in got)
+
+
+def test_long_chains_of_signs_take_linear_time():
+    import time
+
+    for text in ("a dot " * 170_000, "a " * 300_000 + "x @ y", "x at a dot " * 60_000, "at dot " * 100_000):
+        began = time.time()
+        pii.find(text)
+        assert time.time() - began < 20
