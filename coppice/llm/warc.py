@@ -74,7 +74,7 @@ def typed(pages: DataFrame) -> DataFrame:
 def record(rows: DataFrame) -> DataFrame:
     """The text of each page's WARC record, without its last line end."""
     again = F.col("refers_to").isNotNull()
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.url_encode(c.cast("string")), F.lit("")), F.lit(">"))
+    urn = lambda c: F.coalesce(F.concat(F.lit("<urn:page:"), F.url_encode(c.cast("string")), F.lit(">")), F.lit("<urn:page>"))
     own = F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value)
     length = F.lit(len(HTTP_HEAD)) + F.when(again, 0).otherwise(F.col("size"))
@@ -204,7 +204,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha256:")
             if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
                 raise ValueError(f"{archive} at {offset}: the payload does not match its digest")
-            page = lambda urn: unquote_plus(urn.removeprefix("<urn:page:").rstrip(">")) or None
+            page = lambda urn: unquote_plus(urn[len("<urn:page:") : -1]) if ":page:" in urn else None
             size = len(payload) if kind == "response" else int(fields["x-payload-length"])
             out.append((page(fields["x-page"]), size, digest, kind, page(fields["x-refers-to-page"]) if kind == "revisit" else None))
         cols = list(zip(*out, strict=True)) or [()] * 5

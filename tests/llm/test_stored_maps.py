@@ -47,3 +47,10 @@ def test_records_of_text_ids_and_broken_references(spark):
     assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in rows.collect()} == {("a b", "response", None), ("b/ü >", "revisit", "a b"), ("c", "response", None)}
     assert warc.broken_references(rows).isEmpty()
     assert warc.broken_references(rows.where("page_id <> 'a b'")).count() == 1
+
+
+def test_null_and_empty_ids_of_records_stay_apart(spark):
+    long = "<p>" + "q" * 200
+    pages = spark.createDataFrame([("", None, long), ("x", None, long), (None, None, "own " + long), (":", None, "")], "page_id string, url string, html string")
+    rows = {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
+    assert rows == {("", "response", None), ("x", "revisit", ""), (None, "response", None), (":", "response", None)}
