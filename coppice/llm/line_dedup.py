@@ -75,7 +75,28 @@ def exploded(docs: DataFrame) -> DataFrame:
     return rows.where(multi_line(F.col("chunk"))).withColumn("h", F.xxhash64("chunk", F.octet_length("chunk")))
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def _repeats(rows: DataFrame, keys: list[str], groups: DataFrame | None) -> DataFrame:
+    """doc_id, text_hash and gone: the places k of the rows (keys, doc_id, text_hash, k) that have an earlier equal.
+
+    groups: (doc_id, root) of documents that are copies of each other. Within a group no
+    document loses what it shares with the others, only what it repeats itself; all of a
+    group lose alike what an earlier group has, so they stay copies.
+    """
+    place = F.struct("doc_id", "k", "text_hash")
+    if groups is None:
+        first = rows.groupBy(*keys).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        again = rows.join(first, keys).where(~place.eqNullSafe(F.col("first")))
+    else:
+        named = groups.select(F.col("doc_id").alias("grouped"), "root")
+        rooted = rows.join(named, F.col("doc_id").eqNullSafe(F.col("grouped")), "left").drop("grouped")
+        each = rooted.groupBy(*keys, "doc_id", "text_hash").agg(F.min("root").alias("root"), F.collect_set("k").alias("ks"))
+        first = each.groupBy(*keys).agg(F.min_by("root", F.struct("doc_id", "text_hash")).alias("first"), F.sum(F.size("ks")).alias("n")).where("n > 1").drop("n")
+        own = F.when(F.col("root").eqNullSafe(F.col("first")), F.array_except("ks", F.array(F.array_min("ks")))).otherwise(F.col("ks"))
+        again = each.join(first, keys).select("doc_id", "text_hash", F.explode(own).alias("k"))
+    return again.groupBy("doc_id", "text_hash").agg(F.collect_set("k").alias("gone"))
+
+
+def repeated(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Chunks to remove, per document: doc_id, text_hash and the places k."""
     often = materialize(
         exploded(docs).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-chunk-hashes"
@@ -83,10 +104,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     rows = exploded(docs).join(F.broadcast(often) if often.count() <= BROADCAST_ROWS else often, "h", "left_semi")
     rows = materialize(rows.select("h", "doc_id", "text_hash", "k", "chunk"), "candidate-chunks")
     # Grouping by the chunk itself is the comparison of bytes.
-    place = F.struct("doc_id", "k", "text_hash")
-    first = rows.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = rows.join(first, ["h", "chunk"]).where(~place.eqNullSafe(F.col("first")))
-    return again.groupBy("doc_id", "text_hash").agg(F.collect_set("k").alias("gone"))
+    return _repeats(rows, ["h", "chunk"], groups)
 
 
 def _joined(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -108,9 +126,9 @@ def _rewritten(docs: DataFrame, gone: DataFrame, kept: Callable[[Column], Column
     return _joined(docs, gone).select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """Every row with its text less the repeated chunks; n_chars, if there, is that of the new text."""
-    return _rewritten(docs, repeated(docs), _kept)
+def deduplicated(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Every row with its text less the repeated chunks; n_chars, if there, is that of the new text. groups: as _repeats()."""
+    return _rewritten(docs, repeated(docs, groups), _kept)
 
 
 def words(text: Column) -> Column:
@@ -152,17 +170,14 @@ def windows(text: Column) -> Column:
     return F.coalesce(long, F.array().cast("array<struct<k:int,passage:string>>"))
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Windows to remove, per document: doc_id, text_hash and the places k of their first words."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.inline(windows(F.col("text"))))
     rows = rows.select(F.xxhash64("passage").alias("h"), F.xxhash64(F.lit(WINDOW), "passage").alias("h2"), "doc_id", "text_hash", "k")
     often = materialize(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-window-hashes")
     rows = rows.join(F.broadcast(often) if often.count() <= BROADCAST_ROWS else often, "h", "left_semi")
     rows = materialize(rows, "candidate-windows")
-    place = F.struct("doc_id", "k", "text_hash")
-    first = rows.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = rows.join(first, ["h", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    return again.groupBy("doc_id", "text_hash").agg(F.collect_set("k").alias("gone"))
+    return _repeats(rows, ["h", "h2"], groups)
 
 
 def _outside(text: Column) -> Column:
@@ -182,9 +197,9 @@ def _outside(text: Column) -> Column:
     return F.when(F.col("gone").isNull(), text).otherwise(F.get(F.transform(F.array(words(text)), rest), F.lit(0)))
 
 
-def without_passages(docs: DataFrame) -> DataFrame:
-    """Every row with its text less the repeated passages; n_chars, if there, is that of the new text."""
-    return _rewritten(docs, repeated_windows(docs), _outside)
+def without_passages(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Every row with its text less the repeated passages; n_chars, if there, is that of the new text. groups: as _repeats()."""
+    return _rewritten(docs, repeated_windows(docs, groups), _outside)
 
 
 def counted(docs: DataFrame) -> DataFrame:
