@@ -1,7 +1,8 @@
 """A corpus from documents: five stages, each a table of all that the one before kept.
 
 toxicity          documents whose restored text scores at least a half go
-line_dedup        passages, then multi-line chunks, that an earlier place has go from the texts
+line_dedup        passages, then multi-line chunks, that an earlier place has go from the texts;
+                  what near copies share with each other is left to the next stage
 near_duplicates   of documents linked by similar five-word shingles one stays
 decontamination   documents in which a benchmark window occurs go
 packing           what is left is packed into sequences of 2048 tokens
@@ -24,7 +25,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicated(materialize(line_dedup.without_passages(docs), "without-passages"))
+    # Near copies would lose nearly all their text to each other, and the shreds resemble nothing.
+    groups = materialize(near_copies.groups(docs), "near-copy-groups")
+    return line_dedup.deduplicated(materialize(line_dedup.without_passages(docs, groups), "without-passages"), groups)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
