@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.operators import bodies, occurrences, search
+from coppice.operators import bodies, context, occurrences, search
 from coppice.queries import Tables, one, query
 from coppice.sources import ignore, lexing, resolution
 
@@ -96,3 +96,54 @@ SELECT path, a + b + 5, 'string_literal' FROM k UNION ALL SELECT path, a + b + 1
     lambda t: occurrences.classified(occurrences.occurrences(_texts(t), ["track"]), lexing.lexed(_texts(t))).select("path", "line", "kind"))
 query("silencer_places", _CODED + """
 SELECT path, a + b + 9 AS line, 'ts-ignore' AS kind FROM k""")(lambda t: search.silencer_places(lexing.lexed(_texts(t))).where("kind <> 'noqa'"))
+
+
+# Context -------------------------------------------------------------------------------------
+
+_SCOPE = """
+d0 AS (SELECT path AS source, path AS node, 0 AS depth FROM files UNION SELECT w.source, e.dst, w.depth + 1 FROM d0 w JOIN edges e ON e.src = w.node WHERE w.depth < 2),
+rx AS (SELECT DISTINCT src FROM edges WHERE label = 'reexport'),
+c0 AS (SELECT path AS source, path AS node FROM files UNION SELECT w.source, e.src FROM c0 w JOIN edges e ON e.dst = w.node WHERE w.node = w.source OR w.node IN (SELECT src FROM rx)),
+cs AS (SELECT source AS target, node AS path FROM c0 WHERE node <> source),
+sc AS (SELECT path AS target, path, 'target' AS role, 0 AS depth FROM files UNION ALL
+  SELECT source, node, 'dependency', min(depth) FROM d0 WHERE node <> source GROUP BY source, node UNION ALL SELECT target, path, 'consumer', NULL FROM cs)"""
+query("context_files", _SCOPE + " SELECT target, sc.path, role, depth::BIGINT AS depth, language, loc FROM sc JOIN files ON files.path = sc.path")(
+    lambda t: context.context_files(t.kept_edges(), t.files, t.files.select("path")))
+query("consumer_links", _SCOPE + """,
+l AS (SELECT src, dst, bool_and(label = 'reexport') AS again FROM edges GROUP BY src, dst),
+u AS (SELECT DISTINCT cs.target, cs.path, i.name FROM cs JOIN imports i ON i.path = cs.path WHERE i.resolved_path = cs.target OR EXISTS (SELECT 1 FROM exports x WHERE x.path = cs.target AND x.name = i.name)),
+n AS (SELECT target, path, string_agg(name, ',' ORDER BY name) AS names FROM u GROUP BY target, path)
+SELECT cs.target, cs.path, CASE WHEN again THEN 'reexport' WHEN again IS NOT NULL THEN 'direct' ELSE 'transitive' END AS kind, coalesce(names, '') AS imports_used
+FROM cs LEFT JOIN l ON l.src = cs.path AND l.dst = cs.target LEFT JOIN n ON n.target = cs.target AND n.path = cs.path""")(
+    lambda t: context.consumer_links(t.kept_edges(), t.files.select("path"), t.imports, t.exports).withColumn("imports_used", F.array_join("imports_used", ",")))
+query("context_risks", _SCOPE + """,
+i AS (SELECT dst AS path, count(DISTINCT src) AS importers FROM edges GROUP BY dst),
+r AS (SELECT target, s.path, importers, row_number() OVER (PARTITION BY target ORDER BY importers DESC, s.path) AS place FROM (SELECT DISTINCT target, path FROM sc) s JOIN i ON i.path = s.path)
+SELECT target, path, importers, CASE WHEN place <= 5 THEN place END AS place, importers >= 10 AS high_fan_in FROM r""")(lambda t: _risks(t))
+query("next_steps", """
+u AS (SELECT DISTINCT dst AS path FROM edges WHERE src <> dst), x AS (SELECT path, min_by(name, (coalesce(line, 0), name)) AS symbol FROM exports GROUP BY path),
+s AS (SELECT path AS target, 1 AS o, 'slice' AS step, path AS subject FROM files UNION ALL SELECT path, 2, 'impact', path FROM u UNION ALL SELECT path, 3, 'body', symbol FROM x UNION ALL
+  SELECT path, 4, 'literal', symbol FROM x UNION ALL SELECT path, 5, 'occurrences', symbol FROM x UNION ALL SELECT path, 6, 'follow', '' FROM files)
+SELECT target, row_number() OVER (PARTITION BY target ORDER BY o) AS place, step, subject FROM s WHERE target IN (SELECT path FROM files)""")(
+    lambda t: context.next_steps(t.files, t.kept_edges(), t.exports))
+_BUDGET = 200_000
+query("budgeted_files", f"""
+i AS (SELECT dst AS path, count(DISTINCT src) AS n FROM edges GROUP BY dst),
+r AS (SELECT f.path, loc, coalesce(n, 0)::BIGINT AS importers, CASE WHEN coalesce(n, 0) >= 3 THEN 'shared' WHEN n >= 1 THEN 'used' ELSE 'leaf' END AS section FROM files f LEFT JOIN i ON i.path = f.path),
+t AS (SELECT section, sum(loc) AS total FROM r GROUP BY section),
+a AS (SELECT {_BUDGET // 2} AS shared), b AS (SELECT {_BUDGET * 3 // 10} + greatest(0, shared - coalesce((SELECT total FROM t WHERE section = 'shared'), 0)) AS used FROM a),
+c AS (SELECT {_BUDGET // 5} + greatest(0, used - coalesce((SELECT total FROM t WHERE section = 'used'), 0)) AS leaf FROM b),
+p AS (SELECT path, section, importers, loc, (sum(loc) OVER (PARTITION BY section ORDER BY importers DESC, path))::BIGINT AS through FROM r)
+SELECT path, section, importers, loc, through FROM p WHERE through <= CASE section WHEN 'shared' THEN (SELECT shared FROM a) WHEN 'used' THEN (SELECT used FROM b) ELSE (SELECT leaf FROM c) END""")(lambda t: _budgeted(t))
+
+
+def _risks(t: Tables) -> DataFrame:
+    edges = t.kept_edges()
+    return context.context_risks(context.context_files(edges, t.files, t.files.select("path")), edges)
+
+
+def _budgeted(t: Tables) -> DataFrame:
+    importers = t.edges.groupBy(F.col("dst").alias("path")).agg(F.count_distinct("src").alias("n"))
+    rows = t.files.select("path", "loc").join(importers, "path", "left").select("path", "loc", F.coalesce("n", F.lit(0)).alias("importers"))
+    rows = rows.withColumn("section", F.when(F.col("importers") >= 3, "shared").when(F.col("importers") >= 1, "used").otherwise("leaf"))
+    return context.within_budget(rows, "section", [F.desc("importers"), F.col("path")], "loc", _BUDGET, {"shared": 0.5, "used": 0.3, "leaf": 0.2})
