@@ -144,3 +144,8 @@ def glob_regex(pattern: str) -> str:
 
 def matches_glob(path: Column, pattern: str) -> Column:
     return path.rlike(glob_regex(pattern))
+
+
+def is_template(path: Column) -> Column:
+    """Whether a file only shows what a source of settings looks like."""
+    return (artifact_class(path) == "template") | F.lower(basename(path)).rlike("example|template|sample")

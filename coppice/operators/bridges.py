@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coppice.functions.names import command_key, event_key
-from coppice.functions.paths import is_test_path
+from coppice.functions.paths import basename, is_template, is_test_path
 
 
 def command_bridges(calls: DataFrame, handlers: DataFrame) -> DataFrame:
@@ -139,9 +139,18 @@ SOURCE_RANK = {
 }
 
 
+# What the name of a dotenv file adds to its rank; the first that holds.
+DOTENV_RANKS = {r"production|\.prod": 8, r"staging|\.stage": 4, r"\.local": -5, r"\.test|\.dev": -8}
+
+
 def _ranked(declarations: DataFrame) -> DataFrame:
-    rank = F.element_at(F.create_map(*[F.lit(x) for kv in SOURCE_RANK.items() for x in kv]), F.col("source_kind"))
-    return declarations.withColumn("rank", F.coalesce(rank, F.lit(0)))
+    """Declarations with their rank; of dotenv files the name tells more. Templates show a shape and are no source."""
+    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SOURCE_RANK.items() for x in kv]), F.col("source_kind")), F.lit(0))
+    file, more = F.lower(basename(F.col("path"))), F.lit(0)
+    for pattern, by in reversed(DOTENV_RANKS.items()):
+        more = F.when(file.rlike(pattern), by).otherwise(more)
+    live = declarations.where(~F.coalesce(is_template(F.col("path")), F.lit(False)))
+    return live.withColumn("rank", rank + F.when(F.col("source_kind") == "dotenv", more).otherwise(0))
 
 
 def env_truth(declarations: DataFrame, stale_days: int = 30) -> DataFrame:
@@ -150,7 +159,7 @@ def env_truth(declarations: DataFrame, stale_days: int = 30) -> DataFrame:
     rows = _ranked(declarations).select("name", key.alias("k"))
     best = rows.groupBy("name").agg(F.min("k").alias("w"))
     second = rows.join(best, "name").where("k > w").groupBy("name").agg(F.min("k").alias("x"))
-    spread = declarations.groupBy("name").agg(F.count("*").alias("sources"), F.count_distinct("value_hash").alias("hashes"))
+    spread = _ranked(declarations).groupBy("name").agg(F.count("*").alias("sources"), F.count_distinct("value_hash").alias("hashes"))
     stale = F.coalesce(F.col("w.age_days") - F.col("x.age_days") >= stale_days, F.lit(False))
     return best.join(second, "name", "left").join(spread, "name").select(
         "name", F.col("w.path").alias("winner"), F.col("w.source_kind").alias("kind"), F.col("x.path").alias("next_path"), "sources",

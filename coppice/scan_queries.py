@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from coppice.operators import bodies, context, occurrences, search
 from coppice.queries import Tables, one, query
-from coppice.sources import ignore, lexing, resolution
+from coppice.sources import env_sources, ignore, lexing, resolution
 
 # Imports -------------------------------------------------------------------------------------
 
@@ -147,3 +147,39 @@ def _budgeted(t: Tables) -> DataFrame:
     rows = t.files.select("path", "loc").join(importers, "path", "left").select("path", "loc", F.coalesce("n", F.lit(0)).alias("importers"))
     rows = rows.withColumn("section", F.when(F.col("importers") >= 3, "shared").when(F.col("importers") >= 1, "used").otherwise("leaf"))
     return context.within_budget(rows, "section", [F.desc("importers"), F.col("path")], "loc", _BUDGET, {"shared": 0.5, "used": 0.3, "leaf": 0.2})
+
+
+# Environment ---------------------------------------------------------------------------------
+
+#: What a nation's suppliers declare: a format by nation % 5, a line or item per name.
+_FORMATS = {
+    0: (".env.production", "# live\n", "export {n}='{v} # x'"), 1: ("docker-compose.yml", "services:\n  web:\n    environment:\n", '      {n}: "{v} # x"'), 2: ("config.yaml", "kind: Service\n---\nkind: ConfigMap\ndata:\n", "  {n}: {v} # x"),
+    3: ("values.yaml", "app:\n  env:\n", "    - name: {n}\n      value: {v}"), 4: (".github/workflows/ci.yml", "jobs:\n  a:\n    steps:\n      - run: x\n        env:\n", "          {n}: ${{{{ secrets.S_{n} }}}}"),
+}
+_DECLARED = "SELECT DISTINCT s_nationkey AS nation, concat('VAR_', CAST(s_suppkey % 61 AS STRING)) AS name, concat('v', CAST(s_suppkey % 7 AS STRING)) AS v FROM {supplier}"
+
+
+def _env_files(t: Tables) -> DataFrame:
+    rows = t.spark.sql(_DECLARED, supplier=t.raw("supplier")).groupBy("nation", "name").agg(F.min("v").alias("v"))
+    text, path = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (file, head, line) in _FORMATS.items():
+        # An item's text around its name and value.
+        built, rest = [], line.replace("{{", "\1").replace("}}", "\2")
+        for part in rest.replace("{n}", "\0n\0").replace("{v}", "\0v\0").split("\0"):
+            built.append(F.col("name") if part == "n" else F.col("v") if part == "v" else F.lit(part.replace("\1", "{").replace("\2", "}")))
+        mine = F.col("nation") % 5 == k
+        text = F.when(mine, F.concat(*built)).otherwise(text)
+        path = F.when(mine, F.concat(F.lit("n"), F.col("nation").cast("string"), F.lit("/" + file))).otherwise(path)
+    lines = rows.select("nation", path.alias("path"), text.alias("text")).groupBy("nation", "path").agg(F.array_join(F.sort_array(F.collect_list("text")), "\n").alias("body"))
+    head = F.element_at(F.create_map(*[F.lit(x) for k, (_, h, _) in _FORMATS.items() for x in (k, h)]), (F.col("nation") % 5).cast("int"))
+    return lines.select("path", F.concat(head, "body").alias("content"))
+
+
+_FILE_CASE = "CASE nation % 5 " + " ".join(f"WHEN {k} THEN '{f}'" for k, (f, _, _) in _FORMATS.items()) + " END"
+query("declared_environment", f"""
+d AS ({_DECLARED.replace('{supplier}', 'supplier')}), m AS (SELECT nation, name, min(v) AS v FROM d GROUP BY ALL), r AS (SELECT *, 'n' || nation || '/' || {_FILE_CASE} AS path FROM m)
+SELECT name, CASE nation % 5 WHEN 0 THEN 'dotenv' WHEN 1 THEN 'docker_compose' WHEN 2 THEN 'k8s_config_map' WHEN 3 THEN 'helm_values' ELSE 'github_actions_env' END AS source_kind, path,
+  CASE WHEN nation % 5 = 4 THEN 'from' ELSE 'plain' END AS presence,
+  CASE WHEN nation % 5 < 2 THEN substr(sha256(v || ' # x'), 1, 12) WHEN nation % 5 < 4 THEN substr(sha256(v), 1, 12) END AS value_hash FROM r
+UNION ALL SELECT 'S_' || name, 'github_actions_secret', path, 'from', NULL FROM r WHERE nation % 5 = 4""")(
+    lambda t: env_sources.declarations(_env_files(t)).select("name", "source_kind", "path", "presence", "value_hash"))
