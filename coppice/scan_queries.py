@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.operators import bodies, context, occurrences, search
-from coppice.queries import Tables, one, query
+from coppice.operators import bodies, context, moves, occurrences, search
+from coppice.queries import _CLOSURE, Tables, one, query
 from coppice.sources import env_sources, ignore, lexing, resolution
 
 # Imports -------------------------------------------------------------------------------------
@@ -183,3 +183,35 @@ SELECT name, CASE nation % 5 WHEN 0 THEN 'dotenv' WHEN 1 THEN 'docker_compose' W
   CASE WHEN nation % 5 < 2 THEN substr(sha256(v || ' # x'), 1, 12) WHEN nation % 5 < 4 THEN substr(sha256(v), 1, 12) END AS value_hash FROM r
 UNION ALL SELECT 'S_' || name, 'github_actions_secret', path, 'from', NULL FROM r WHERE nation % 5 = 4""")(
     lambda t: env_sources.declarations(_env_files(t)).select("name", "source_kind", "path", "presence", "value_hash"))
+
+
+# Order of moves --------------------------------------------------------------------------------
+
+
+def _layer_sql(c: str) -> str:
+    low = f"lower({c})"
+    return (
+        f"CASE WHEN regexp_matches({low}, '{moves.TEST}') THEN 'test' WHEN regexp_matches({low}, '{moves.UI}') AND NOT regexp_matches({low}, 'use|store') THEN 'ui' "
+        f"WHEN regexp_matches({low}, '{moves.APP}') OR regexp_matches({c}, '(^|/)use[A-Z][^/]*$') THEN 'app' WHEN regexp_matches({low}, '{moves.KERNEL}') THEN 'kernel' WHEN regexp_matches({low}, '{moves.INFRA}') THEN 'infra' ELSE 'unknown' END"
+    )
+
+
+_FOLDER = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in moves.FOLDERS.items()) + " END"
+_MOVES = """
+w AS (SELECT path AS source, path AS node FROM files UNION SELECT w.source, e.src FROM w JOIN edges e ON e.dst = w.node),
+d AS (SELECT source, count(*) FILTER (node <> source) AS dependents FROM w GROUP BY source), k AS (SELECT dst, count(DISTINCT src) AS consumers FROM edges GROUP BY dst),
+""" + _CLOSURE.format("3", "true").strip() + f""",
+li AS (SELECT src, {_layer_sql('dst')} AS l FROM edges ), ln AS (SELECT src, l, count(*) AS n FROM li WHERE l <> 'unknown' GROUP BY src, l), lm AS (SELECT src, min_by(l, (-n, l)) AS most FROM ln GROUP BY src),
+r AS (SELECT f.path, f.loc, f.dir AS base, {_layer_sql('f.path')} AS layer, most, coalesce(consumers, 0) AS consumers, coalesce(dependents, 0) - coalesce(consumers, 0) AS further, m.path IS NOT NULL AS cyclic
+  FROM files f LEFT JOIN d ON d.source = f.path LEFT JOIN k ON k.dst = f.path LEFT JOIN scc3 m ON m.path = f.path LEFT JOIN lm ON lm.src = f.path),
+q AS (SELECT *, CASE WHEN layer <> 'unknown' THEN layer ELSE coalesce(most, 'infra') END AS target_layer,
+  CASE WHEN cyclic OR consumers >= 10 OR further >= 50 OR loc >= 500 THEN 'high' WHEN consumers >= 5 OR further >= 20 OR loc >= 200 THEN 'medium' ELSE 'low' END AS risk
+  FROM r WHERE layer = 'unknown' OR NOT contains(path, {_FOLDER.format('layer')})),
+p AS (SELECT *, CASE risk WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS level FROM q),
+plan AS (SELECT base, path AS source, base || '/' || {_FOLDER.format('target_layer')} || '/' || regexp_extract(path, '[^/]*$') AS target, layer, target_layer, risk, consumers, further, loc,
+  CASE WHEN layer = 'unknown' AND cyclic THEN 'unclassified to ' || target_layer || ', in a cycle' WHEN layer = 'unknown' THEN 'unclassified to ' || target_layer WHEN cyclic THEN 'in a cycle' ELSE 'misplaced' END AS reason,
+  consumers > 3 AS shim, dense_rank() OVER (PARTITION BY base ORDER BY level) AS phase, row_number() OVER (PARTITION BY base ORDER BY level, consumers, loc, path) AS place FROM p)"""
+query("move_plan", _MOVES + " SELECT * FROM plan")(lambda t: moves.move_plan(t.files, t.kept_edges()))
+query("move_shims", _MOVES + """
+SELECT source AS old_path, target AS new_path, (SELECT string_agg(DISTINCT name, ',' ORDER BY name) FROM exports x WHERE x.path = source) AS symbols, consumers AS importers FROM plan WHERE shim""")(
+    lambda t: moves.shims(moves.move_plan(t.files, t.kept_edges()), t.exports).withColumn("symbols", F.array_join("symbols", ",")))
