@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from coppice.functions.paths import dirname, is_non_production, module_key
 from coppice.plans.components import connected_components
 from coppice.plans.storage import materialize
-from coppice.plans.sweeps import dependents
+from coppice.plans.sweeps import dependents, reached
 from coppice.plans.traversal import reach, strongly_connected
 
 
@@ -97,7 +97,9 @@ def blast_radius(edges: DataFrame, targets: DataFrame, labels: tuple[str, ...])
 def dynamic_reach(edges: DataFrame) -> DataFrame:
     """Files that are reached from the targets of lazy imports."""
     lazy = edges.where("label = 'lazy_import'").select(F.lit("dynamic").alias("source"), F.col("dst").alias("node"))
-    return reach(edges, lazy).select(F.col("node").alias("path"), F.col("depth").cast("long").alias("depth"))
+    found = reached(edges, lazy)
+    found = reach(edges, lazy) if found is None else found
+    return found.select(F.col("node").alias("path"), F.col("depth").cast("long").alias("depth"))
 
 
 def components(files: DataFrame, edges: DataFrame) -> DataFrame:

@@ -133,6 +133,19 @@ def _mutual(sources: pa.Table, steps: pa.Table) -> pa.Table:
     return pa.table({"id": ids[rows], "other": best[rows]})
 
 
+def _walked(starts: pa.Table, steps: pa.Table) -> pa.Table:
+    """id and depth of every node that steps lead to from a start, starts at 0."""
+    begin, src, dst = (t[c].to_numpy() if t.num_rows else np.zeros(0, dtype=np.int64) for t, c in ((starts, "a"), (steps, "p"), (steps, "q")))
+    ids = np.unique(np.concatenate([begin, src, dst]))
+    graph, depths = Graph(np.searchsorted(ids, src), np.searchsorted(ids, dst), len(ids)), np.full(len(ids), -1, dtype=np.int64)
+    frontier = np.zeros((len(ids), 1), dtype=np.uint64)
+    frontier[np.searchsorted(ids, begin)] = 1
+    for depth, new in enumerate(graph.rounds(frontier, np.zeros_like(frontier))):
+        depths[new[:, 0] > 0] = depth
+    rows = np.flatnonzero(depths >= 0)
+    return pa.table({"id": ids[rows], "depth": depths[rows]})
+
+
 def _by_blocks(first: DataFrame, steps: DataFrame, run, schema: str) -> DataFrame:
     """run(rows of a block's sources, all steps) for every block of sources."""
     block = F.shiftright("a", SHIFT)
@@ -192,3 +205,19 @@ def mutual(edges: DataFrame) -> DataFrame:
     found = _by_blocks(rows.select("a").distinct(), rows, _mutual, "id long, other long").groupBy("id").agg(F.min("other").alias("other"))
     named = found.select("id", F.least("id", "other").alias("component")).join(names, "id").select("node", "component")
     return named.join(names.select(F.col("id").alias("component"), F.col("node").alias("first")), "component").select("node", F.col("first").alias("component"))
+
+
+def reached(edges: DataFrame, starts: DataFrame, bound: int = EDGES) -> DataFrame | None:
+    """node and depth of every node that edges (src, dst) lead to from the starts (node), which stand at 0; None for more than bound edges.
+
+    One source is one bit, so one task walks the edges.
+    """
+    clean, begin = edges.select("src", "dst").where("src <> dst").distinct(), starts.select("node").where("node IS NOT NULL").distinct()
+    names = numbered(clean.select(F.col("src").alias("node")).union(clean.select("dst")).union(begin))
+    side = lambda c, to: names.select(F.col("node").alias(c), F.col("id").alias(to))
+    steps, seen = measured(clean.join(side("src", "p"), "src").join(side("dst", "q"), "dst").select(F.lit(0).alias("of"), "p", "q"), "walked-edges", n=F.count("*"))
+    if seen["n"] > bound:
+        return None
+    first = begin.join(names, "node").select(F.lit(0).alias("block"), F.col("id").alias("a"))
+    found = first.groupBy("block").cogroup(steps.groupBy("of")).applyInArrow(_walked, "id long, depth long")
+    return found.join(names, "id").select("node", "depth")

@@ -96,3 +96,15 @@ def test_files_with_and_without_dependents(spark):
     targets = spark.createDataFrame([("c012",), ("c002",), ("none",)], "path string")
     rows = lambda df: {r["target"]: (r["direct"], r["dependents"], r["deepest"]) for r in df.collect()}
     assert rows(graph.all_impact_counts(frame, targets)) == rows(graph.impact_counts(frame, targets)) == {"c012": (1, 12, 12), "c002": (1, 3, 2), "none": (0, 0, 0)}
+
+
+def test_walk_from_starts(spark, monkeypatch):
+    edges = GRAPHS["mixed"]
+    labelled = spark.createDataFrame([(a, b, "lazy_import" if b in ("c001", "r003") else "import") for a, b in edges], "src string, dst string, label string")
+    rows = lambda: {(r["path"], r["depth"]) for r in graph.dynamic_reach(labelled).collect()}
+    within = rows()
+    monkeypatch.setattr(graph, "reached", lambda *a: None)
+    assert within == rows() and ("c001", 0) in within and len(within) > 60
+    starts = spark.createDataFrame([("only",), (None,)], "node string")
+    assert [tuple(r) for r in sweeps.reached(labelled.limit(0), starts).collect()] == [("only", 0)]
+    assert sweeps.reached(labelled, starts, bound=3) is None
