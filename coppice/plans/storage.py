@@ -8,6 +8,7 @@ a lost executor costs a re-run of its tasks and nothing else.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -24,13 +25,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/coppice/{name}-{uuid.uuid4().hex}"
 
 
+#: Of every settled() under way the tables that were written since it began.
+_WRITTEN: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet into the shared folder and read it back."""
     path = new_path(df.sparkSession, name)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that build() makes, written; all that was written on the way to it is deleted."""
+    _WRITTEN.append([])
+    try:
+        made = build()
+        path = new_path(spark, name)
+        made.write.parquet(path)
+    finally:
+        for on_the_way in _WRITTEN.pop():
+            delete(spark, on_the_way)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
 def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
     """As materialize(), with aggregates of the rows that the same job takes while it writes them."""
     seen = Observation()
