@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from coppice.llm import decontamination, line_dedup, near_copies, packing, toxicity
-from coppice.plans.storage import drop, materialize, table
+from coppice.plans.storage import drop, materialize, release, settled, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Near copies would lose nearly all their text to each other, and the shreds resemble nothing.
-    groups = materialize(near_copies.groups(docs), "near-copy-groups")
-    return line_dedup.deduplicated(materialize(line_dedup.without_passages(docs, groups), "without-passages"), groups)
+    groups = settled(spark, "near-copy-groups", lambda: near_copies.groups(docs))
+    release(spark)
+    rest = settled(spark, "without-passages", lambda: line_dedup.without_passages(docs, groups))
+    release(spark)
+    return line_dedup.deduplicated(rest, groups)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
