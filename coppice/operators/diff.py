@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.functions.paths import matches_glob
+from coppice.functions.paths import dirname, matches_glob, prefixes
 
 
 def set_diff(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
@@ -75,3 +75,33 @@ def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
     key = ["path", "mtime", "loc"]
     fresh = new.join(old, key, "left_anti").select("path", F.lit("changed").alias("state"))
     return fresh.union(old.join(new, "path", "left_anti").select("path", F.lit("gone").alias("state")))
+
+
+def directory_digests(files: DataFrame) -> DataFrame:
+    """dir, files, and two hashes of all files below every directory ('.' is the top): equal ones mean equal content, in any order.
+
+    files: (path, fingerprint). A file counts in every directory above it; sums and exclusive
+    ors of its hashes are taken where it is read, so only a row per directory is shuffled.
+    """
+    hashes = [F.xxhash64("path", "fingerprint"), F.xxhash64("fingerprint", F.lit(7), "path")]
+    rows = files.select(hashes[0].alias("h1"), hashes[1].alias("h2"), F.explode(prefixes(F.col("path"))).alias("dir"))
+    return rows.groupBy("dir").agg(F.count("*").alias("files"), F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"))
+
+
+def changed_directories(old: DataFrame, new: DataFrame) -> DataFrame:
+    """dir and change (added, removed, changed) of directories whose digests differ."""
+    side = lambda df, n: df.select("dir", F.struct("files", "x1", "x2").alias(n))
+    rows = side(old, "a").join(side(new, "b"), "dir", "full_outer").where("NOT a <=> b")
+    return rows.select("dir", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed").alias("change"))
+
+
+def changed_contents(old: DataFrame, new: DataFrame, old_digests: DataFrame | None = None) -> DataFrame:
+    """path and change of every file (path, fingerprint) that was added, removed or changed; only directories that differ are compared.
+
+    old_digests: those that were stored with the old scan, so that it is read only where it differs.
+    """
+    differ = changed_directories(directory_digests(old) if old_digests is None else old_digests, directory_digests(new)).select("dir")
+    own = F.when(F.contains("path", F.lit("/")), dirname(F.col("path"))).otherwise(".")
+    side = lambda df, n: df.withColumn("dir", own).join(differ, "dir", "left_semi").select("path", F.col("fingerprint").alias(n))
+    rows = side(old, "a").join(side(new, "b"), "path", "full_outer").where("NOT a <=> b")
+    return rows.select("path", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed").alias("change"))

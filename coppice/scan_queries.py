@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.operators import bodies, context, moves, occurrences, search
+from coppice.operators import bodies, context, diff, moves, occurrences, search
 from coppice.queries import _CLOSURE, Tables, one, query
 from coppice.sources import env_sources, ignore, lexing, resolution
 
@@ -215,3 +215,26 @@ query("move_plan", _MOVES + " SELECT * FROM plan")(lambda t: moves.move_plan(t.f
 query("move_shims", _MOVES + """
 SELECT source AS old_path, target AS new_path, (SELECT string_agg(DISTINCT name, ',' ORDER BY name) FROM exports x WHERE x.path = source) AS symbols, consumers AS importers FROM plan WHERE shim""")(
     lambda t: moves.shims(moves.move_plan(t.files, t.kept_edges()), t.exports).withColumn("symbols", F.array_join("symbols", ",")))
+
+
+# Staleness -------------------------------------------------------------------------------------
+
+
+def _scans(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Two scans: of every ninth file the path changes, of every eleventh the content."""
+    mark = F.concat_ws(":", "loc", "name")
+    old = t.files.select("path", mark.alias("fingerprint"), "id")
+    path = F.when(F.col("id") % 9 == 0, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
+    new = old.select(path.alias("path"), F.when(F.col("id") % 11 == 0, F.concat("fingerprint", F.lit("!"))).otherwise(F.col("fingerprint")).alias("fingerprint"))
+    return old.select("path", "fingerprint"), new
+
+
+query("changed_contents", one("""
+SELECT path, CASE WHEN id % 9 = 0 THEN 'removed' ELSE 'changed' END AS change FROM files WHERE id % 9 = 0 OR id % 11 = 0 UNION ALL SELECT 'moved/' || path, 'added' FROM files WHERE id % 9 = 0"""))(
+    lambda t: diff.changed_contents(*_scans(t)))
+query("changed_directories", """
+d AS (SELECT path, id, unnest(CASE WHEN is_test THEN ['.', dir, dir || '/tests'] ELSE ['.', dir] END) AS dir FROM files),
+m AS (SELECT unnest(CASE WHEN is_test THEN ['moved', 'moved/' || dir, 'moved/' || dir || '/tests'] ELSE ['moved', 'moved/' || dir] END) AS dir FROM files WHERE id % 9 = 0),
+o AS (SELECT dir, count(*) AS n, count(*) FILTER (id % 9 = 0) AS gone, count(*) FILTER (id % 9 = 0 OR id % 11 = 0) AS other FROM d GROUP BY dir)
+SELECT dir, CASE WHEN gone = n AND dir <> '.' THEN 'removed' ELSE 'changed' END AS change FROM o WHERE other > 0 UNION SELECT dir, 'added' FROM m""")(
+    lambda t: diff.changed_directories(*map(diff.directory_digests, _scans(t))))

@@ -14,6 +14,8 @@ from coppice.sources import names as found_names
 from coppice.sources.resolution import resolve
 
 TABLES = ("files", "symbols", "edges", "names")
+#: Tables of what a file holds by itself.
+PARTS = ("files", "symbols", "names", "configs")
 #: Files whose content or presence tells how imports are resolved; a table that older snapshots lack.
 CONFIGS = r"(^|/)([\w.-]*(ts|js)config[\w.-]*\.json|svelte\.config\.(js|ts)|pyproject\.toml|setup\.(py|cfg)|Cargo\.toml)$"
 #: Kinds of names that lead to another file.
@@ -33,10 +35,18 @@ class Snapshot:
     @classmethod
     def of_texts(cls, texts: DataFrame) -> Snapshot:
         """From path and content."""
-        files, symbols = extract.file_table(texts), extract.extract(texts)
-        names = found_names.names(texts)
+        return cls.of_parts(cls.parts_of(texts))
+
+    @staticmethod
+    def parts_of(texts: DataFrame) -> dict[str, DataFrame]:
+        """What each file holds by itself, without the edges that need all files."""
         configs = texts.where(F.col("path").rlike(CONFIGS)).select("path", "content")
-        return cls(files, symbols, cls._edges(symbols, files, configs), names, configs)
+        return {"files": extract.file_table(texts), "symbols": extract.extract(texts), "names": found_names.names(texts), "configs": configs}
+
+    @classmethod
+    def of_parts(cls, parts: dict[str, DataFrame]) -> Snapshot:
+        edges = cls._edges(parts["symbols"], parts["files"], parts["configs"])
+        return cls(parts["files"], parts["symbols"], edges, parts["names"], parts["configs"])
 
     @staticmethod
     def _edges(symbols: DataFrame, files: DataFrame, configs: DataFrame) -> DataFrame:

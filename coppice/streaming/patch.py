@@ -13,8 +13,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.plans.storage import delete, new_path
-from coppice.sources.snapshot import Snapshot
+from coppice.plans.storage import delete, new_path, settled
+from coppice.plans.storage import drop as delete_table
+from coppice.sources.snapshot import PARTS, Snapshot
 
 POINTER = "batch bigint, versions array<string>"
 
@@ -72,24 +73,47 @@ class Upsert:
 
 
 class Patch:
-    """A foreachBatch sink of (path, content, ts) changes that keeps a snapshot; a null content deletes the path."""
+    """A foreachBatch sink of (path, content, ts) changes that keeps a snapshot; a null content deletes the path.
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark, self.root = spark, root or new_path(spark, "snapshots")
+    A batch writes what it found in its own paths, and these paths as marks: of a path the
+    rows of its last mark count, and none if it was deleted there. Imports are resolved
+    among all files when the snapshot is read. What a batch writes follows its changes;
+    when more than `most` versions have come together they are merged into one.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None, most: int = 8):
+        self.spark, self.root, self.most = spark, root or new_path(spark, "snapshots"), most
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        last = newest(batch.select("path", "ts", "content"), "path", ["ts"]).cache()
-        changed = Snapshot.of_texts(last.where("content IS NOT NULL").select("path", "content"))
+        last = settled(spark, "changed-files", lambda: newest(batch.select("path", "ts", "content"), "path", ["ts"]))
         _, versions = newest_pointer(spark, self.root, batch_id)
-        if versions:
-            changed = Snapshot.load(spark, f"{self.root}/{versions[0]}").patched(changed, last.select("path"))
-        changed.save(f"{self.root}/state-{batch_id}")
-        point(spark, self.root, batch_id, [f"state-{batch_id}"])
-        last.unpersist()
+        self._write(Snapshot.parts_of(last.where("content IS NOT NULL").select("path", "content")) | {"paths": last.select("path")}, f"delta-{batch_id}", batch_id)
+        delete_table(last)
+        versions = [*versions, f"delta-{batch_id}"]
+        if len(versions) <= self.most:
+            point(spark, self.root, batch_id, versions)
+            return
+        parts = self._read(spark, versions)
+        self._write(parts | {"paths": parts["files"].select("path")}, f"merged-{batch_id}", batch_id)
+        point(spark, self.root, batch_id, [f"merged-{batch_id}"])
+        # What the pointer before this one names stays, should this batch be run again.
+        for old in self.__dict__.pop("merged", []):
+            delete(spark, f"{self.root}/{old}")
+        self.merged = versions
+
+    def _write(self, parts: dict[str, DataFrame], version: str, batch_id: int) -> None:
+        for name, rows in parts.items():
+            rows.withColumn("version", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{self.root}/{version}/{name}")
+
+    def _read(self, spark: SparkSession, versions: list[str]) -> dict[str, DataFrame]:
+        """The parts of the state, each row under its path's last mark."""
+        read = lambda name: spark.read.parquet(*(f"{self.root}/{v}/{name}" for v in versions))
+        marks = read("paths").groupBy("path").agg(F.max("version").alias("version"))
+        return {name: read(name).join(marks, ["path", "version"], "left_semi").drop("version") for name in PARTS}
 
     def snapshot(self) -> Snapshot:
-        return Snapshot.load(self.spark, f"{self.root}/{newest_pointer(self.spark, self.root)[1][0]}")
+        return Snapshot.of_parts(self._read(self.spark, newest_pointer(self.spark, self.root)[1]))
 
 
 def replay(spark: SparkSession, source: str, table_name: str, key: str, order: list[str], files_a_batch: int = 1) -> DataFrame:

@@ -36,3 +36,34 @@ def test_patches_equal_a_new_scan(spark, tmp_path):
         rows = lambda s, n=name: sorted(map(str, getattr(s, n).select(*getattr(fresh, n).columns).collect()))
         assert rows(got) == rows(fresh)
     assert [(r["src"], r["dst"]) for r in got.edges.collect()] == [("a.ts", "b.ts")]
+
+
+def test_a_batch_writes_its_changes_and_versions_merge(spark, tmp_path):
+    root, state = f"file://{tmp_path}/small", {}
+    sizes = []
+    for k in range(7):
+        batch = [(f"f{k}.ts", f"import {{ a }} from './f{k - 1}'\n" if k else "export const a = 1\n")] + ([(f"f{k - 2}.ts", None)] if k == 4 else [])
+        if k == 0:
+            batch += [(f"old{n}.ts", "export const x = 1\n" * 50) for n in range(30)]
+        sink = patch.Patch(spark, root, most=4)
+        sink(spark.createDataFrame([(p, c, AT) for p, c in batch], "path string, content string, ts timestamp"), k)
+        state |= dict(batch)
+        name = patch.newest_pointer(spark, root)[1][-1]
+        sizes.append(spark.read.parquet(f"{root}/{name}/symbols").count())
+    assert sizes[1] < 3 < sizes[0] and len(patch.newest_pointer(spark, root)[1]) <= 4
+    got = patch.Patch(spark, root).snapshot()
+    assert {r["path"] for r in got.files.collect()} == {p for p, c in state.items() if c is not None}
+    assert {(r["src"], r["dst"]) for r in got.edges.collect()} == {(f"f{k}.ts", f"f{k - 1}.ts") for k in range(1, 7) if k not in (2, 3)}
+
+
+def test_digests_of_directories(spark):
+    from coppice.operators import diff
+
+    files = lambda rows: spark.createDataFrame(rows, "path string, fingerprint string")
+    old = files([("a/x", "1"), ("a/b/y", "2"), ("a/b/z", "3"), ("c/w", "4"), ("top", "5"), ("gone/q", "6")])
+    new = files([("a/b/z", "3"), ("a/b/y", "9"), ("a/x", "1"), ("c/w", "4"), ("top", "5"), ("d/e/n", "7")])
+    dirs = {(r["dir"], r["change"]) for r in diff.changed_directories(diff.directory_digests(old), diff.directory_digests(new)).collect()}
+    assert dirs == {(".", "changed"), ("a", "changed"), ("a/b", "changed"), ("gone", "removed"), ("d", "added"), ("d/e", "added")}
+    want = {("a/b/y", "changed"), ("gone/q", "removed"), ("d/e/n", "added")}
+    assert {tuple(r) for r in diff.changed_contents(old, new).collect()} == want == {tuple(r) for r in diff.changed_contents(old, new, diff.directory_digests(old)).collect()}
+    assert diff.changed_contents(old, old).collect() == [] and diff.changed_contents(old.limit(0), old.limit(0)).collect() == []
