@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from coppice import evidence_queries  # noqa: F401
+from coppice import evidence_queries, scan_queries  # noqa: F401
 from coppice.queries import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
