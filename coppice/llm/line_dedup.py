@@ -75,60 +75,17 @@ def exploded(docs: DataFrame) -> DataFrame:
     return rows.where(multi_line(F.col("chunk"))).withColumn("h", F.xxhash64("chunk", F.octet_length("chunk")))
 
 
-def _own(found: Column, *keys: str) -> Column:
-    """An array of structs with keys and a place k: each with `own`, whether an equal one of a smaller k is there."""
-
-    def marked(held: Column) -> Column:
-        same = lambda x, y: F.coalesce(F.struct(*(x[c] for c in keys)) == F.struct(*(y[c] for c in keys)), F.lit(False))
-        before = F.slice(F.concat(F.slice(held, 1, 1), held), 1, F.size(held))
-        return F.transform(F.arrays_zip(held.alias("x"), before.alias("y")), lambda z, i: z["x"].withField("own", (i > 0) & same(z["x"], z["y"])))
-
-    # transform over a one-element array evaluates what it holds once.
-    ordered = F.array_sort(F.transform(found, lambda x: F.struct(*(x[c].alias(c) for c in keys), x["k"].alias("k"))))
-    return F.get(F.transform(F.array(ordered), marked), F.lit(0))
-
-
-def _repeats_by_group(docs: DataFrame, groups: DataFrame, found: Column, keys: tuple[str, ...], name: str) -> DataFrame:
-    """doc_id, text_hash and gone: the places k of the structs `found` (keys, k) of each text that go.
-
-    groups: (doc_id, root) of documents that are copies of each other. Within a group no
-    document loses what it shares with the others, only what it repeats itself; all of a
-    group lose alike what an earlier group has, so they stay copies.
-    """
-    named = groups.select(F.col("doc_id").alias("grouped"), "root")
-    rooted = docs.select("doc_id", "text").join(named, F.col("doc_id").eqNullSafe(F.col("grouped")), "left")
-    rows = rooted.select("doc_id", F.xxhash64("text").alias("text_hash"), "root", F.inline(_own(found, *keys)))
-    # A key of one group alone takes nothing from others, so its rows needn't meet.
-    often = rows.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("h", F.lit(True).alias("hit"))
-    often = materialize(often, f"repeated-{name}-hashes")
-    rows = rows.join(F.broadcast(often) if often.count() <= BROADCAST_ROWS else often, "h", "left").where("own OR hit")
-    rows = materialize(rows, f"candidate-{name}s")
-    first = rows.where("hit").groupBy(*keys).agg(F.min_by("root", F.struct("doc_id", "k", "text_hash")).alias("first"))
-    elsewhere = rows.where("hit AND NOT own").join(first, list(keys)).where("root <> first").select("doc_id", "text_hash", "k")
-    again = elsewhere.unionByName(rows.where("own").select("doc_id", "text_hash", "k"))
-    return again.groupBy("doc_id", "text_hash").agg(F.collect_set("k").alias("gone"))
-
-
-def repeated(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """Chunks to remove, per document: doc_id, text_hash and the places k. groups: as _repeats_by_group()."""
-    if groups is not None:
-        listed = F.filter(F.transform(chunks(F.col("text")), lambda c, i: F.struct(i.alias("k"), c.alias("chunk"))), lambda x: multi_line(x["chunk"]))
-        found = F.transform(listed, lambda x: F.struct(F.xxhash64(x["chunk"], F.octet_length(x["chunk"])).alias("h"), x["chunk"].alias("chunk"), x["k"].alias("k")))
-        return _repeats_by_group(docs, groups, found, ("h", "chunk"), "chunk")
+def repeated(docs: DataFrame) -> DataFrame:
+    """Chunks to remove, per document: doc_id, text_hash and the places k."""
     often = materialize(
         exploded(docs).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-chunk-hashes"
     )
     rows = exploded(docs).join(F.broadcast(often) if often.count() <= BROADCAST_ROWS else often, "h", "left_semi")
     rows = materialize(rows.select("h", "doc_id", "text_hash", "k", "chunk"), "candidate-chunks")
     # Grouping by the chunk itself is the comparison of bytes.
-    return _repeats(rows, ["h", "chunk"])
-
-
-def _repeats(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """doc_id, text_hash and gone: the places k of the rows (keys, doc_id, text_hash, k) that have an earlier equal."""
     place = F.struct("doc_id", "k", "text_hash")
-    first = rows.groupBy(*keys).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = rows.join(first, keys).where(~place.eqNullSafe(F.col("first")))
+    first = rows.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = rows.join(first, ["h", "chunk"]).where(~place.eqNullSafe(F.col("first")))
     return again.groupBy("doc_id", "text_hash").agg(F.collect_set("k").alias("gone"))
 
 
@@ -144,16 +101,19 @@ def _kept(text: Column) -> Column:
     return F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n"))
 
 
-def _rewritten(docs: DataFrame, gone: DataFrame, kept: Callable[[Column], Column]) -> DataFrame:
+def _rewritten(docs: DataFrame, gone: DataFrame, kept: Callable[[Column], Column], least_left: float = 0.0) -> DataFrame:
     new = {"text": kept(F.col("row.text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length(new["text"]).cast(docs.schema["n_chars"].dataType))
-    return _joined(docs, gone).select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+    rows = _joined(docs, gone)
+    if least_left:
+        rows = rows.where(F.col("gone").isNull() | (F.length(new["text"]) >= least_left * F.length("row.text")))
+    return rows.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
-def deduplicated(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """Every row with its text less the repeated chunks; n_chars, if there, is that of the new text. groups: as _repeats_by_group()."""
-    return _rewritten(docs, repeated(docs, groups), _kept)
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """Every row with its text less the repeated chunks; n_chars, if there, is that of the new text."""
+    return _rewritten(docs, repeated(docs), _kept)
 
 
 def words(text: Column) -> Column:
@@ -195,18 +155,17 @@ def windows(text: Column) -> Column:
     return F.coalesce(long, F.array().cast("array<struct<k:int,passage:string>>"))
 
 
-def repeated_windows(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """Windows to remove, per document: doc_id, text_hash and the places k of their first words. groups: as _repeats_by_group()."""
-    hashes = lambda c: (F.xxhash64(c).alias("h"), F.xxhash64(F.lit(WINDOW), c).alias("h2"))
-    if groups is not None:
-        found = F.transform(windows(F.col("text")), lambda x: F.struct(*hashes(x["passage"]), x["k"].alias("k")))
-        return _repeats_by_group(docs, groups, found, ("h", "h2"), "window")
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """Windows to remove, per document: doc_id, text_hash and the places k of their first words."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.inline(windows(F.col("text"))))
-    rows = rows.select(*hashes(F.col("passage")), "doc_id", "text_hash", "k")
+    rows = rows.select(F.xxhash64("passage").alias("h"), F.xxhash64(F.lit(WINDOW), "passage").alias("h2"), "doc_id", "text_hash", "k")
     often = materialize(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-window-hashes")
     rows = rows.join(F.broadcast(often) if often.count() <= BROADCAST_ROWS else often, "h", "left_semi")
     rows = materialize(rows, "candidate-windows")
-    return _repeats(rows, ["h", "h2"])
+    place = F.struct("doc_id", "k", "text_hash")
+    first = rows.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = rows.join(first, ["h", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    return again.groupBy("doc_id", "text_hash").agg(F.collect_set("k").alias("gone"))
 
 
 def _outside(text: Column) -> Column:
@@ -226,9 +185,14 @@ def _outside(text: Column) -> Column:
     return F.when(F.col("gone").isNull(), text).otherwise(F.get(F.transform(F.array(words(text)), rest), F.lit(0)))
 
 
-def without_passages(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """Every row with its text less the repeated passages; n_chars, if there, is that of the new text. groups: as _repeats_by_group()."""
-    return _rewritten(docs, repeated_windows(docs, groups), _outside)
+def without_passages(docs: DataFrame, least_left: float = 0.0) -> DataFrame:
+    """Every row with its text less the repeated passages; n_chars, if there, is that of the new text.
+
+    least_left: a row that keeps a smaller share of its characters goes whole. It is a near
+    copy of what came before, and its shreds would resemble nothing; no row without a
+    repeated passage goes.
+    """
+    return _rewritten(docs, repeated_windows(docs), _outside, least_left)
 
 
 def counted(docs: DataFrame) -> DataFrame:

@@ -156,14 +156,6 @@ def components(docs: DataFrame, each: DataFrame) -> DataFrame:
     return found if more.isEmpty() else connected_components(links.union(more))
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id and root (equal for near copies) of every document; rows of one doc_id are one group."""
-    each = materialize(sketches(docs), "near-copy-sketches")
-    found = components(docs, each).withColumnRenamed("node", "linked")
-    rows = each.select("doc_id", "node").join(found, F.col("node") == F.col("linked"), "left")
-    return rows.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("root"))
-
-
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of every component of near copies; all columns."""
     each = materialize(sketches(docs), "near-copy-sketches")
