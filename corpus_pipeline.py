@@ -2,7 +2,7 @@
 
 toxicity          documents whose restored text scores at least a half go
 line_dedup        passages, then multi-line chunks, that an earlier place has go from the texts;
-                  what near copies share with each other is left to the next stage
+                  documents that would keep less than LEAST_LEFT of their characters go whole
 near_duplicates   of documents linked by similar five-word shingles one stays
 decontamination   documents in which a benchmark window occurs go
 packing           what is left is packed into sequences of 2048 tokens
@@ -17,7 +17,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from coppice.llm import decontamination, line_dedup, near_copies, packing, toxicity
-from coppice.plans.storage import drop, materialize, release, settled, table
+from coppice.plans.storage import drop, materialize, table
+
+#: The share of its characters that a document keeps at least when passages are taken out.
+LEAST_LEFT = 0.25
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,12 +28,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Near copies would lose nearly all their text to each other, and the shreds resemble nothing.
-    groups = settled(spark, "near-copy-groups", lambda: near_copies.groups(docs))
-    release(spark)
-    rest = settled(spark, "without-passages", lambda: line_dedup.without_passages(docs, groups))
-    release(spark)
-    return line_dedup.deduplicated(rest, groups)
+    return line_dedup.deduplicated(materialize(line_dedup.without_passages(docs, LEAST_LEFT), "without-passages"))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
