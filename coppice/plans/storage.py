@@ -76,5 +76,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def join_by_size(spark: SparkSession) -> None:
+    """Have joins broadcast a side only after a shuffle has shown its size.
+
+    Spark's guess for a file is that of its compressed columns, and made-up columns (paths, texts) count 20 bytes, so
+    that it would send tables of many times the threshold through the driver.
+    """
+    if spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None:
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

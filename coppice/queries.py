@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from coppice.functions import paths
 from coppice.operators import bridges, coverage, diff, facts, graph, metrics, search, symbols
-from coppice.plans.storage import materialize, table
+from coppice.plans.storage import join_by_size, materialize, table
 from coppice.sources import extract
 from coppice.sources import projection as p
 from coppice.streaming import patch
@@ -24,6 +24,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self._links = spark, sf_dir, None
+        join_by_size(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         select = getattr(p, name.upper())
