@@ -18,11 +18,11 @@ DEFINING = [
 
 
 def definitions(lexed: DataFrame) -> DataFrame:
-    """path, name, line and depth of every definition that stands in code."""
+    """path, name, line, depth and body_end of every definition that stands in code."""
     ext, found = extension(F.col("path")), F.lit(None)
     for endings, pattern in reversed(DEFINING):
         found = F.when(ext.isin(*endings), F.regexp_extract("code", pattern, 1)).otherwise(found)
-    rows = lexed.where("code IS NOT NULL").select("path", found.alias("name"), "line", "depth")
+    rows = lexed.where("code IS NOT NULL").select("path", found.alias("name"), "line", "depth", "body_end")
     return rows.where("name <> ''")
 
 
@@ -30,9 +30,12 @@ def bodies(named: DataFrame, lexed: DataFrame) -> DataFrame:
     """path, name, line and last_line of definitions (path, name, line): to the bracket or line that ends them.
 
     A statement that nothing ends goes to the line before the next definition of its depth.
-    Definitions in files without lexed lines have no row.
+    Definitions in files without lexed lines have no row; those of definitions() know their line's depth and end already.
     """
-    rows = named.select("path", "name", "line").join(lexed.select("path", "line", "depth", "body_end"), ["path", "line"]).where("body_end IS NOT NULL")
+    rows = named
+    if not {"depth", "body_end"} <= set(named.columns):
+        rows = named.select("path", "name", "line").join(lexed.select("path", "line", "depth", "body_end"), ["path", "line"])
+    rows = rows.where("body_end IS NOT NULL")
     following = F.lead("line").over(Window.partitionBy("path", "depth").orderBy("line", "name"))
     # In Python depth is indentation, and bodies end by it already.
     rows = rows.withColumn("next", F.when((following > F.col("line")) & ~extension(F.col("path")).isin("py", "pyi"), following))

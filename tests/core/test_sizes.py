@@ -15,3 +15,8 @@ def _plan(df):
 @pytest.mark.parametrize("name", ["sarif_results", "exact_twins", "sniff", "idiom_free_twins", "zombies", "callers", "dead_truth", "structural_defects", "health_score", "lexed_places"])
 def test_no_join_is_broadcast_by_a_guess(spark, name):
     assert "BroadcastHashJoin" not in _plan(QUERIES[name](spark, SF))
+
+
+def test_definitions_know_their_ends(spark):
+    plan = _plan(QUERIES["symbol_bodies"](spark, SF))
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
