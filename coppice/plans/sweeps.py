@@ -2,8 +2,9 @@
 
 Every node holds one bit per source that reaches it. A round pushes the bits that are
 new along the edges and ORs what meets in a node, so 64 sources move with one word and
-their number is a population count. Sources are dealt in blocks; a block is a task of
-its own that holds the edges, as long as these are at most EDGES by count. Beyond that
+their number is a population count. Blocks of sources are dealt to at most GROUPS groups;
+a group has its own copy of the edges, as long as these are at most EDGES by count, and
+sweeps a run of sources over the part of the graph that the run reaches. Beyond EDGES
 the same rounds are made of tables of (node, word, bits), ORed by Spark's `bit_or`.
 """
 
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 
 from coppice.plans.storage import drop, materialize, measured
 
-#: Edges that a task may hold.
-EDGES = 4_000_000
-#: Sources of a block are 2^SHIFT neighbours in the order of nodes.
+#: Edges that a task may hold; 6.5 million took a task 760 MB in all.
+EDGES = 8_000_000
+#: Sources of a block, and of a run within a task, are 2^SHIFT neighbours in the order of nodes.
 SHIFT = 11
+#: Groups that blocks are dealt to, and copies of the edges, at most: copies grow with the edges alone.
+GROUPS = 32
 #: Words of the bitsets that a task has at once, and words that a round moves at once.
 WORDS, MOVED = 1 << 22, 1 << 21
 
@@ -80,55 +83,101 @@ def _parts(sources: np.ndarray, n: int) -> Iterator[np.ndarray]:
         yield sources[at : at + 64 * width]
 
 
+class Ways:
+    """Edges inside a task by their beginnings, to find the part of the graph that some nodes reach."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, n: int):
+        self.dst, self.starts = dst[np.argsort(src, kind="stable")], np.searchsorted(np.sort(src), np.arange(n + 1))
+        self.seen = np.zeros(n, dtype=bool)
+
+    def out(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both ends of the edges that leave nodes."""
+        many = self.starts[nodes + 1] - self.starts[nodes]
+        at = np.repeat(self.starts[nodes] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return np.repeat(nodes, many), self.dst[at]
+
+    def reach(self, nodes: np.ndarray) -> np.ndarray:
+        """nodes and all that edges lead to from them, in order."""
+        found, new = [], np.unique(nodes)
+        while len(new):
+            self.seen[new] = True
+            found.append(new)
+            to = self.out(new)[1]
+            new = np.unique(to[~self.seen[to]])
+        out = np.sort(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+        self.seen[out] = False
+        return out
+
+
+def _runs(sources: np.ndarray) -> Iterator[np.ndarray]:
+    """Sorted sources in runs of neighbours."""
+    for at in range(0, len(sources), 1 << SHIFT):
+        yield sources[at : at + (1 << SHIFT)]
+
+
 def _counted(first: pa.Table, steps: pa.Table) -> pa.Table:
-    """Per node of a block: direct, dependents, deepest."""
+    """Per node of a group: direct, dependents, deepest."""
     if not steps.num_rows:  # a side without rows has no columns
         steps = pa.table({"p": pa.array([], pa.int64()), "q": pa.array([], pa.int64())})
     source, node = first["a"].to_numpy(), first["b"].to_numpy()
+    order = np.argsort(source, kind="stable")
+    source, node = source[order], node[order]
     src, dst = steps["p"].to_numpy(), steps["q"].to_numpy()
     ids = np.unique(np.concatenate([node, src, dst]))
-    graph = Graph(np.searchsorted(ids, src), np.searchsorted(ids, dst), len(ids))
+    ways = Ways(np.searchsorted(ids, src), np.searchsorted(ids, dst), len(ids))
     at, out = np.searchsorted(ids, node), np.zeros((3, len(ids)), dtype=np.int64)
-    for some in _parts(np.unique(source), len(ids)):
-        mine = np.isin(source, some)
-        width = (len(some) + 63) >> 6
-        own = np.searchsorted(ids, some)
-        there = (own < len(ids)) & (ids[np.minimum(own, len(ids) - 1)] == some)
-        seen = _bits(own[there], np.flatnonzero(there), len(ids), width)
-        begin = _bits(at[mine], np.searchsorted(some, source[mine]), len(ids), width)
-        for depth, frontier in enumerate(graph.rounds(begin, seen), 1):
-            found = np.bitwise_count(frontier).sum(axis=1, dtype=np.int64)
-            out[1] += found
-            out[2][found > 0] = np.maximum(out[2][found > 0], depth)
-            if depth == 1:
-                out[0] += found
+    for run in _runs(np.unique(source)):
+        here = slice(np.searchsorted(source, run[0]), np.searchsorted(source, run[-1], side="right"))
+        local = ways.reach(at[here])
+        graph = Graph(*(np.searchsorted(local, x) for x in ways.out(local)), len(local))
+        for some in _parts(run, len(local)):
+            mine = slice(np.searchsorted(source, some[0]), np.searchsorted(source, some[-1], side="right"))
+            width = (len(some) + 63) >> 6
+            own = np.searchsorted(ids[local], some)
+            there = (own < len(local)) & (ids[local][np.minimum(own, len(local) - 1)] == some)
+            seen = _bits(own[there], np.flatnonzero(there), len(local), width)
+            begin = _bits(np.searchsorted(local, at[mine]), np.searchsorted(some, source[mine]), len(local), width)
+            for depth, frontier in enumerate(graph.rounds(begin, seen), 1):
+                found = np.bitwise_count(frontier).sum(axis=1, dtype=np.int64)
+                out[1][local] += found
+                hit = local[found > 0]
+                out[2][hit] = np.maximum(out[2][hit], depth)
+                if depth == 1:
+                    out[0][local] += found
     rows = np.flatnonzero(out[1])
     return pa.table({"id": ids[rows], "direct": out[0][rows], "dependents": out[1][rows], "deepest": out[2][rows]})
 
 
 def _mutual(sources: pa.Table, steps: pa.Table) -> pa.Table:
-    """Per node the smallest source of a block that it reaches and that reaches it, itself left out."""
+    """Per node the smallest source of a group that it reaches and that reaches it, itself left out."""
     src, dst = steps["p"].to_numpy(), steps["q"].to_numpy()
     ids = np.unique(np.concatenate([src, dst]))
     src, dst = np.searchsorted(ids, src), np.searchsorted(ids, dst)
-    both = [Graph(src, dst, len(ids)), Graph(dst, src, len(ids))]
+    ahead, back = Ways(src, dst, len(ids)), Ways(dst, src, len(ids))
     best = np.full(len(ids), -1, dtype=np.int64)
-    for some in _parts(np.unique(sources["a"].to_numpy()), len(ids)):
-        own = np.searchsorted(ids, some)
-        begin = _bits(own, np.arange(len(some)), len(ids), (len(some) + 63) >> 6)
-        reached = []
-        for graph in both:
-            seen = np.zeros_like(begin)
-            for _ in graph.rounds(begin, seen):
-                pass
-            reached.append(seen)
-        shared = reached[0] & reached[1] & ~begin
-        rows = np.flatnonzero(shared.any(axis=1))
-        word = (shared[rows] != 0).argmax(axis=1)
-        low = shared[rows, word]
-        bit = np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)).astype(np.int64)
-        smallest = some[word * 64 + bit]
-        best[rows] = np.where(best[rows] < 0, smallest, np.minimum(best[rows], smallest))
+    for run in _runs(np.unique(sources["a"].to_numpy())):
+        # A cycle through a source lies in what the run reaches and what reaches the run.
+        begins = np.searchsorted(ids, run)
+        local = np.intersect1d(ahead.reach(begins), back.reach(begins), assume_unique=True)
+        a, b = ahead.out(local)
+        kept = np.isin(b, local)
+        a, b = np.searchsorted(local, a[kept]), np.searchsorted(local, b[kept])
+        both = [Graph(a, b, len(local)), Graph(b, a, len(local))]
+        for some in _parts(run, len(local)):
+            begin = _bits(np.searchsorted(local, np.searchsorted(ids, some)), np.arange(len(some)), len(local), (len(some) + 63) >> 6)
+            reached = []
+            for graph in both:
+                seen = np.zeros_like(begin)
+                for _ in graph.rounds(begin, seen):
+                    pass
+                reached.append(seen)
+            shared = reached[0] & reached[1] & ~begin
+            rows = np.flatnonzero(shared.any(axis=1))
+            word = (shared[rows] != 0).argmax(axis=1)
+            low = shared[rows, word]
+            bit = np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+            smallest, to = some[word * 64 + bit], local[rows]
+            best[to] = np.where(best[to] < 0, smallest, np.minimum(best[to], smallest))
     rows = np.flatnonzero(best >= 0)
     return pa.table({"id": ids[rows], "other": best[rows]})
 
@@ -147,8 +196,8 @@ def _walked(starts: pa.Table, steps: pa.Table) -> pa.Table:
 
 
 def _by_blocks(first: DataFrame, steps: DataFrame, run, schema: str) -> DataFrame:
-    """run(rows of a block's sources, all steps) for every block of sources."""
-    block = F.shiftright("a", SHIFT)
+    """run(rows of a group's sources, all steps) for every group of blocks of sources."""
+    block = F.pmod(F.xxhash64(F.shiftright("a", SHIFT)), F.lit(GROUPS)).cast("long")
     blocks = [r["block"] for r in first.select(block.alias("block")).distinct().collect()]
     # New names, since both sides come of one table.
     everywhere = steps.select(F.explode(F.array(*map(F.lit, blocks)).cast("array<bigint>")).alias("of"), F.col("a").alias("p"), F.col("b").alias("q"))
