@@ -88,6 +88,8 @@ SILENCERS = {
     "type-ignore": r"#\s*type\s*:\s*ignore(\[[\w,\s-]+\])?", "pylint-disable": r"#\s*pylint\s*:\s*disable\s*=\s*[\w,\s-]+", "mypy-ignore": r"#\s*mypy\s*:\s*[\w=,\s-]+",
     "shellcheck": r"#\s*shellcheck\s+disable\s*=\s*[\w,\s]+",
 }
+#: What every line with a silencer holds, whichever of them it is.
+SILENCER_HINT = r"nosemgrep|#!?\[|unsafe|@ts-|eslint-disable|noqa|ignore|pylint|mypy|shellcheck"
 #: A style declaration that says something about layout: z-index, position and display, with its value.
 STYLE = r"(?i)(z-index|position|display)\s*:\s*([^;}\"'<]+)"
 # Lints of scripts, by line.
@@ -124,7 +126,7 @@ def silencer_places(lexed: DataFrame) -> DataFrame:
     """
     where = lambda k: F.coalesce("code" if k in IN_CODE else "comments", "text")
     kinds = F.filter(F.array(*[F.when(where(k).rlike(p), k) for k, p in SILENCERS.items()]), lambda x: x.isNotNull())
-    return lexed.select("path", "line", F.explode(kinds).alias("kind"))
+    return lexed.where(F.col("text").rlike(SILENCER_HINT)).select("path", "line", F.explode(kinds).alias("kind"))
 
 
 def silencer_inventory(lexed: DataFrame) -> DataFrame:

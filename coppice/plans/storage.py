@@ -87,5 +87,14 @@ def join_by_size(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by a key to a fixed number of parts, for small rows that take long to work on.
+
+    Without the number adaptive execution would put parts together by their bytes, down to a few tasks.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(parts, key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

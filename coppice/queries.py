@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from coppice.functions import paths
 from coppice.operators import bridges, coverage, diff, facts, graph, metrics, search, symbols
-from coppice.plans.storage import join_by_size, materialize, table
+from coppice.plans.storage import dealt, join_by_size, materialize, table
 from coppice.sources import extract
 from coppice.sources import projection as p
 from coppice.streaming import patch
@@ -35,6 +35,10 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    def dealt_files(self) -> DataFrame:
+        """The files, for what takes long per file: the table they are made of may be one partition."""
+        return self.spark.sql(p.FILES, part=dealt(self.raw("part"), "p_partkey"))
+
     def kept_edges(self) -> DataFrame:
         """The edges as a table of the shared folder, for operators that walk them many times."""
         return materialize(self.edges, "edges")

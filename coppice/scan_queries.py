@@ -76,7 +76,7 @@ FROM {files}"""
 
 
 def _texts(t: Tables) -> DataFrame:
-    return t.spark.sql(_CODE, files=t.files).select("path", "content")
+    return t.spark.sql(_CODE, files=t.dealt_files()).select("path", "content")
 
 
 _CODED = f"s AS ({_CODE.replace('{files}', 'files').replace('CAST(id AS STRING)', 'CAST(id AS VARCHAR)')}), k AS (SELECT path, a, b, regexp_extract(content, 'function (f[0-9]+)', 1) AS f FROM s)"

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from coppice.operators import bodies, occurrences, search
 from coppice.sources import lexing
@@ -137,3 +138,22 @@ def test_random_nesting_against_a_stack():
         for k, w in enumerate(want):
             if w is not None:
                 assert got[k] == w, (lines, k)
+
+
+def test_texts_stay_dealt_out_and_go_in_batches(spark):
+    few = spark.range(40).selectExpr("concat('f', id, '.ts') AS path", "'let a = 1\n// @ts-ignore' AS content").coalesce(1)
+    lines = lexing.lexed(few)
+    assert "REPARTITION_BY_NUM" in lines._jdf.queryExecution().executedPlan().toString()
+    assert search.silencer_places(lines).count() == 40
+    # Adaptive execution put parts of few bytes together before.
+    assert lines.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_hint_lets_every_silencer_through(spark):
+    lines = {
+        "nosemgrep": "x // nosemgrep", "dead-code": "#[allow(dead_code)]", "allow": "#![allow(unused)]", "ignore": "  #[ignore]", "unsafe": "unsafe { go() }", "unsafe-env-var": "unsafe { std::env::set_var(a, b) }",
+        "ts-ignore": "// @ts-ignore", "ts-expect-error": "// @ts-expect-error", "ts-nocheck": "// @ts-nocheck", "eslint-disable": "// eslint-disable-next-line", "noqa": "#noqa", "type-ignore": "# type:ignore",
+        "pylint-disable": "# pylint: disable=a", "mypy-ignore": "# mypy: ignore-errors", "shellcheck": "# shellcheck disable=SC1",
+    }
+    got = {(r["path"], r["kind"]) for r in search.silencer_places(lexing.lexed(spark.createDataFrame([*lines.items()], "path string, content string"))).collect()}
+    assert {(kind, kind) for kind in search.SILENCERS} <= got
