@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from coppice.functions.paths import basename, stem
 from coppice.operators import graph
 from coppice.operators.context import prefix_sums
+from coppice.plans.storage import materialize
 
 # The folder of each layer, and patterns of lower-case paths; the first layer that holds.
 FOLDERS = {"ui": "ui", "app": "app", "kernel": "kernel", "infra": "infra", "test": "tests", "unknown": "misc"}
@@ -51,7 +52,8 @@ def move_plan(files: DataFrame, edges: DataFrame, base: Column | None = None) ->
     stand by risk, then fewer consumers, fewer lines, path; a phase is a risk that occurs.
     """
     base = F.substring_index("path", "/", 1) if base is None else base
-    rows = files.select("path", "loc", base.alias("base")).join(target_layers(files, edges), "path")
+    # Written, since what is asked of a layer would otherwise be asked where files are read, which may be one task.
+    rows = materialize(files.select("path", "loc", base.alias("base")).join(target_layers(files, edges), "path"), "layers")
     own = F.element_at(F.create_map(*[F.lit(x) for kv in FOLDERS.items() for x in kv]), F.col("layer"))
     rows = rows.where((F.col("layer") == "unknown") | ~F.contains("path", own))
     counts = graph.all_impact_counts(edges, files).withColumnRenamed("target", "path")

@@ -211,10 +211,10 @@ p AS (SELECT *, CASE risk WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS l
 plan AS (SELECT base, path AS source, base || '/' || {_FOLDER.format('target_layer')} || '/' || regexp_extract(path, '[^/]*$') AS target, layer, target_layer, risk, consumers, further, loc,
   CASE WHEN layer = 'unknown' AND cyclic THEN 'unclassified to ' || target_layer || ', in a cycle' WHEN layer = 'unknown' THEN 'unclassified to ' || target_layer WHEN cyclic THEN 'in a cycle' ELSE 'misplaced' END AS reason,
   consumers > 3 AS shim, dense_rank() OVER (PARTITION BY base ORDER BY level) AS phase, row_number() OVER (PARTITION BY base ORDER BY level, consumers, loc, path) AS place FROM p)"""
-query("move_plan", _MOVES + " SELECT * FROM plan")(lambda t: moves.move_plan(t.files, t.kept_edges()))
+query("move_plan", _MOVES + " SELECT * FROM plan")(lambda t: moves.move_plan(t.dealt_files(), t.kept_edges()))
 query("move_shims", _MOVES + """
 SELECT source AS old_path, target AS new_path, (SELECT string_agg(DISTINCT name, ',' ORDER BY name) FROM exports x WHERE x.path = source) AS symbols, consumers AS importers FROM plan WHERE shim""")(
-    lambda t: moves.shims(moves.move_plan(t.files, t.kept_edges()), t.exports).withColumn("symbols", F.array_join("symbols", ",")))
+    lambda t: moves.shims(moves.move_plan(t.dealt_files(), t.kept_edges()), t.exports).withColumn("symbols", F.array_join("symbols", ",")))
 
 
 # Staleness -------------------------------------------------------------------------------------

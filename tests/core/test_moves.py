@@ -1,9 +1,12 @@
 """Layers of paths and the order of moves."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from coppice.operators import moves
+from coppice.queries import Tables
 
 LAYERS = {
     "src/components/Button.js": "ui", "src/views/use_x.tsx": "unknown", "src/App.tsx": "ui", "src/store.vue": "unknown", "src/hooks/a.ts": "app", "src/useThing.ts": "app", "src/use.ts": "unknown", "src/user.ts": "unknown", "src/core/a.rs": "kernel",
@@ -35,3 +38,19 @@ def test_order_phases_targets_and_shims(spark):
 def test_no_files(spark, n):
     none = spark.createDataFrame([], "path string, loc long")
     assert moves.move_plan(none, spark.createDataFrame([], "src string, dst string, label string")).count() == n
+
+
+def test_layers_are_found_in_dealt_parts(spark, monkeypatch):
+    plans = []
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        raise InterruptedError
+
+    monkeypatch.setattr(moves, "materialize", written, raising=False)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    with pytest.raises(InterruptedError):
+        moves.move_plan(t.dealt_files(), t.edges)
+    # Patterns over paths were asked in the one task that reads the files.
+    dealt = re.findall("REPARTITION_BY_NUM.*?Scan parquet", plans[0], re.S)
+    assert dealt and not any("RLIKE" in part for part in dealt)
