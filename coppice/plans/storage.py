@@ -76,14 +76,25 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bytes of a side that is sent through the driver at most; a query's joins are few, so what they send doesn't grow with the input.
+BROADCAST = 1 << 20
+_UNITS = {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30, "t": 40, "tb": 40, "p": 50, "pb": 50}
+
+
+def _bytes(size: str) -> int:
+    digits = size.strip().lower().rstrip("bkmgtp")
+    return int(digits) << _UNITS[size.strip().lower()[len(digits) :]]
+
+
 def join_by_size(spark: SparkSession) -> None:
-    """Have joins broadcast a side only after a shuffle has shown its size.
+    """Have joins broadcast a side only after a shuffle has shown that it is small, BROADCAST bytes or fewer.
 
     Spark's guess for a file is that of its compressed columns, and made-up columns (paths, texts) count 20 bytes, so
-    that it would send tables of many times the threshold through the driver.
+    that it would send tables of many times the threshold through the driver. A side at Spark's own threshold is 42 MB
+    as a hash table, and a dozen of such joins send half a gigabyte.
     """
-    if spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None:
-        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    asked = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) or spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", str(min(_bytes(asked), BROADCAST)))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
 
 

@@ -5,8 +5,8 @@ import pyarrow as pa
 import pytest
 
 import __spark_entry__  # noqa: F401  (registers all queries)
-from coppice.plans import sweeps
-from coppice.queries import QUERIES
+from coppice.plans import storage, sweeps
+from coppice.queries import QUERIES, Tables
 from coppice.sources import lexing
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +58,12 @@ def test_runs_sweep_what_they_reach():
                 direct, dependents, deepest = want.get(x, (0, 0, 0))
                 want[x] = direct + (depth == 1), dependents + 1, max(deepest, depth)
     assert got == want
+
+
+@pytest.mark.parametrize(("asked", "got"), [("10485760b", storage.BROADCAST), ("64MB", storage.BROADCAST), ("300k", 300 << 10), ("-1", -1)])
+def test_what_a_join_sends_is_bounded(spark, monkeypatch, asked, got):
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", asked)
+    for _ in range(2):
+        Tables(session, SF)
+        assert session.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == str(got) and session.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
