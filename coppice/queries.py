@@ -29,7 +29,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         select = getattr(p, name.upper())
         if "{links}" in select and self._links is None:
-            self._links = materialize(p.project(self.spark, self.sf_dir, p.LINKS), "links")
+            self._links = materialize(p.brand_links(self.spark, self.sf_dir), "links")
         return p.project(self.spark, self.sf_dir, select, self._links)
 
     def raw(self, name: str) -> DataFrame:

@@ -12,7 +12,8 @@ emits    events of a value of at least 25, listens: the others; name from type a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from coppice.plans.storage import table
 
@@ -107,11 +108,27 @@ SYMBOL_USES = f"SELECT DISTINCT d.path AS owner, d.name AS name, s.path AS path
 INPUTS = ("part", "lineitem", "orders", "customer", "supplier", "events", "documents", "pages")
 
 
+def brand_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of LINKS, found by brand: lines learn their part's brand first, so that only lines of one order and brand meet.
+
+    LINKS makes all successions first and drops 24 of 25 after two more joins. Lines go through two shuffles here; an
+    order may have a line number more than once. Rows differ from each other.
+    """
+    label = F.when(F.col("l_returnflag") == "A", "reexport").when(F.col("l_returnflag") == "R", "lazy_import").otherwise("import")
+    brands = table(spark, sf_dir, "part").where("p_brand IS NOT NULL").select(F.col("p_partkey").alias("l_partkey"), "p_brand").distinct()
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL")
+    lines = lines.select("l_orderkey", "l_linenumber", "l_partkey", label.alias("label"), F.col("l_linestatus").alias("half")).join(brands.hint("shuffle_hash"), "l_partkey")
+    order = Window.partitionBy("l_orderkey", "p_brand").orderBy("l_linenumber")
+    several = lines.withColumn("n", F.count("*").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("n > 1")
+    following = several.withColumn("next", F.collect_set("l_partkey").over(order.rangeBetween(1, 1)))
+    return following.withColumn("dst_id", F.explode("next")).where("l_partkey <> dst_id").select(F.col("l_partkey").alias("src_id"), "dst_id", "label", "half").distinct()
+
+
 def project(spark: SparkSession, sf_dir: str, select: str, links: DataFrame | None = None) -> DataFrame:
     """A projected table over the Parquet tables of a directory; links: the table of that name, if it is already there."""
     used = {name: table(spark, sf_dir, name) for name in INPUTS if f"{{{name}}}" in select}
     if "{links}" in select:
-        used["links"] = project(spark, sf_dir, LINKS) if links is None else links
+        used["links"] = brand_links(spark, sf_dir) if links is None else links
     return spark.sql(select, **used)
 
 
