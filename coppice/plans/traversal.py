@@ -39,7 +39,8 @@ def reach(
     end. Null ends never match; seeds without edges are returned at depth 0. Rounds go on
     until nothing new is found, or to max_depth if one is asked for.
     """
-    steps = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    # Written, since every round reads it and would make it again.
+    steps = materialize(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "steps")
     chain = {"chain": F.array("node")} if chains else {}
     frontier = materialize(seeds.select("source", "node").distinct().select("*", F.lit(0).alias("depth"), *(c.alias(k) for k, c in chain.items())), "frontier")
     reached = [frontier]

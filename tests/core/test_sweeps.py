@@ -5,7 +5,7 @@ import random
 import pytest
 
 from coppice.operators import graph
-from coppice.plans import sweeps
+from coppice.plans import storage, sweeps, traversal
 
 rng = random.Random(11)
 
@@ -108,3 +108,15 @@ def test_walk_from_starts(spark, monkeypatch):
     starts = spark.createDataFrame([("only",), (None,)], "node string")
     assert [tuple(r) for r in sweeps.reached(labelled.limit(0), starts).collect()] == [("only", 0)]
     assert sweeps.reached(labelled, starts, bound=3) is None
+
+
+def test_steps_of_a_walk_are_made_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(traversal, "materialize", lambda df, name: written.append(name) or storage.materialize(df, name))
+    walked = []
+    monkeypatch.setattr(traversal, "measured", lambda df, name, **m: walked.append(df._jdf.queryExecution().optimizedPlan().toString()) or storage.measured(df, name, **m))
+    edges = spark.createDataFrame(ring(3), "src string, dst string")
+    rows = traversal.reach(edges, spark.createDataFrame([("r000", "r000")], "source string, node string"), chains=True).collect()
+    assert {(r["node"], r["depth"], tuple(r["chain"])) for r in rows} == {("r000", 0, ("r000",)), ("r001", 1, ("r000", "r001")), ("r002", 2, ("r000", "r001", "r002"))}
+    # Rounds removed double edges anew, a shuffle of all edges each.
+    assert written.count("steps") == 1 and len(walked) == 3 and not any("LogicalRDD" in plan for plan in walked)
